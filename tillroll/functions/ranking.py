@@ -16,18 +16,26 @@ _ROW_BITS = 33
 _BUCKETS_PER_OCTAVE = 512
 
 
+def range_partition(df: DataFrame, order_by: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
+    """Range partitioning that also splits a run of rows equal in all of ``order_by``.
+
+    The input partition of a row is the last key, so copies from different inputs may part.
+    """
+    marked = df.withColumn("_input", F.spark_partition_id())
+    keys = [*order_by, "_input"]
+    ranged = marked.repartitionByRange(partitions, *keys) if partitions else marked.repartitionByRange(*keys)
+    return ranged.drop("_input")
+
+
 def dense_sequence(
     df: DataFrame, order_by: Sequence[Column], name: str, *, partitions: int | None = None
 ) -> DataFrame:
     """Append ``name`` = 1..n in the global order ``order_by``.
 
     Rows are range partitioned and sorted per partition, then written once; the size of
-    each partition gives the offset of the next. Only one row per partition is broadcast,
-    and a run of equal leading keys is split because the whole key list sets the ranges.
+    each partition gives the offset of the next. Only one row per partition is broadcast.
     """
-    ranged = (
-        df.repartitionByRange(partitions, *order_by) if partitions else df.repartitionByRange(*order_by)
-    )
+    ranged = range_partition(df, order_by, partitions)
     placed = stage(
         ranged.sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id()), "sequence"
     )
@@ -40,65 +48,69 @@ def dense_sequence(
     return numbered.select(*df.columns, (F.col("_offset") + row + 1).cast("bigint").alias(name))
 
 
-def _bucket(value: Column) -> Column:
-    """Logarithmic bucket that never decreases as ``value`` grows."""
-    size = F.log2(F.abs(value.cast("double")) * 10000 + 1)
-    return (F.signum(value.cast("double")) * F.floor(size * _BUCKETS_PER_OCTAVE)).cast("bigint")
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], *, weight: str | None = None
+) -> DataFrame:
     """Linearly interpolated quantiles as rows (field, p, value); missing values are left out.
 
-    Equal values are counted first, which also folds any hot value before the shuffle. The
-    counts are then summed per logarithmic bucket (a bounded number), the running totals tell
-    which bucket holds each wanted rank, and only the values of those buckets are sorted. No
-    task sees a whole column, unlike the built-in ``percentile``, which keeps all distinct
-    values of a group in one buffer.
+    ``weight`` names a column that tells how many equal rows each row stands for.
+
+    A first pass counts rows per logarithmic bucket, which leaves a bounded table whose running
+    totals tell the bucket of each wanted rank. A second pass keeps the rows of those buckets
+    alone, counts equal values (a hot value folds before the shuffle) and sorts within the
+    bucket. No task sees a whole column, unlike the built-in ``percentile``, which keeps all
+    distinct values of a group in one buffer. Only the buckets of the wanted ranks are
+    broadcast, at most two per column and probability.
     """
-    counts = (
-        df.select(*columns)
-        .unpivot([], list(columns), "field", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("field", "value")
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", _bucket(F.col("value")))
-    )
-    by_field = Window.partitionBy("field")
-    running = by_field.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    in_bucket = lambda rank: (F.col(rank) >= F.col("before")) & (F.col(rank) < F.col("before") + F.col("rows"))
-    targets = (
-        counts.groupBy("field", "bucket")
-        .agg(F.sum("n").alias("rows"))
-        .select(
-            "field", "bucket", "rows",
-            (F.sum("rows").over(running) - F.col("rows")).alias("before"),
-            F.sum("rows").over(by_field).alias("total"),
+    # The bucket never decreases as the value grows and is known for every value.
+    size = f"floor(log2(abs(cast(value as double)) * 10000 + 1) * {_BUCKETS_PER_OCTAVE})"
+    values = (
+        df.select(*columns, (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"))
+        .unpivot("_weight", list(columns), "field", "value")
+        .filter("value is not null")
+        .selectExpr(
+            "field", "value", "_weight",
+            f"coalesce(cast(signum(cast(value as double)) * {size} as bigint), 0L) as bucket",
         )
-        .select("*", wanted.alias("p"))
-        .withColumn("position", F.col("p") * (F.col("total") - 1))
-        .withColumn("low", F.floor("position"))
-        .withColumn("high", F.ceil("position"))
-        .filter(in_bucket("low") | in_bucket("high"))
-        .groupBy("field", "bucket", "before")
-        .agg(F.collect_list(F.struct("p", "position", "low", "high")).alias("wanted"))
-    )
-    inside = Window.partitionBy("field", "bucket").orderBy("value")
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        counts.join(F.broadcast(targets), ["field", "bucket"])
-        .withColumn("until", F.col("before") + F.sum("n").over(inside))
-        .withColumn("since", F.col("until") - F.col("n"))
     )
-    covers = lambda rank: (rank >= F.col("since")) & (rank < F.col("until"))
-    hits = placed.select(
-        "field", F.col("value").cast("double").alias("value"), "since", "until",
-        F.explode(F.filter("wanted", lambda t: covers(t["low"]) | covers(t["high"]))).alias("t"),
+    wanted = ", ".join(f"{float(p)!r}d" for p in probabilities)
+    return df.sparkSession.sql(
+        f"""
+        with lines as (select * from {{values}}),
+        filled as (
+          select field, bucket, sum(_weight) as size from lines group by field, bucket),
+        placed as (
+          select *, sum(size) over (partition by field order by bucket) - size as start,
+            sum(size) over (partition by field) - 1 as last
+          from filled),
+        ranks as (
+          select field, bucket, start, size, p, p * last as position, floor(p * last) as low, ceil(p * last) as high
+          from placed lateral view explode(array({wanted})) as p),
+        targets as (
+          select field, bucket, start, p, position, low, high from ranks
+          where low between start and start + size - 1 or high between start and start + size - 1),
+        counted as (
+          select /*+ broadcast(targets) */ field, bucket, value, sum(_weight) as n
+          from lines left semi join targets using (field, bucket)
+          group by field, bucket, value),
+        ordered as (
+          select field, bucket, cast(value as double) as value, n,
+            sum(n) over (partition by field, bucket order by value) - n as skip
+          from counted),
+        hits as (
+          select /*+ broadcast(targets) */ field, p, position, value,
+            low between start + skip and start + skip + n - 1 as is_low,
+            high between start + skip and start + skip + n - 1 as is_high
+          from ordered join targets using (field, bucket))
+        select field, p,
+          max(case when is_low then value end)
+            + (max(case when is_high then value end) - max(case when is_low then value end))
+            * max(position - floor(position)) as value
+        from hits where is_low or is_high
+        group by field, p
+        """,
+        values=values,
     )
-    low = F.max(F.when(covers(F.col("t.low")), F.col("value")))
-    high = F.max(F.when(covers(F.col("t.high")), F.col("value")))
-    share = F.max(F.col("t.position") - F.col("t.low"))
-    return hits.groupBy("field", F.col("t.p").alias("p")).agg((low + (high - low) * share).alias("value"))
 
 
 def quantile_name(p: float) -> str:
@@ -120,6 +132,5 @@ def quantiles_wide(
             "field", *[F.col("sketch")[i].alias(quantile_name(p)) for i, p in enumerate(probabilities)]
         )
     long = exact_quantiles(df, columns, probabilities)
-    return long.groupBy("field").agg(
-        *[F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(quantile_name(p)) for p in probabilities]
-    )
+    at = [f"max(case when p = {float(p)!r}d then value end) as {quantile_name(p)}" for p in probabilities]
+    return long.groupBy("field").agg(*[F.expr(text) for text in at])

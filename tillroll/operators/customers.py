@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.expressions import money, month_of, months_apart, percent, quotient
-from tillroll.functions.ranking import exact_quantiles, quantile_name, quantiles_wide
+from tillroll.functions.ranking import quantile_name, quantiles_wide
 from tillroll.operators.profiling import describe_numeric
 from tillroll.operators.views import invoices
 
@@ -69,35 +69,29 @@ def orders_histogram(orders: DataFrame, *, upper: float = 0.99, bins: int = 30)
     Equal-width bins from the smallest to the largest kept value; the last one is closed and
     empty ones are listed. Bin numbers come from whole-number division, so a value on an edge
     always opens the bin to its right.
+
+    After customers are counted per number of orders, few rows are left: k different numbers
+    need at least k * k / 2 invoices. The windows over the whole table run on those rows.
     """
-    limit = exact_quantiles(orders, ["orders_count"], [upper]).agg(F.max("value").alias("v")).scalar()
-    sizes = orders.groupBy("orders_count").agg(F.count("*").alias("n")).filter(F.col("orders_count") <= limit)
-    ends = sizes.agg(F.min("orders_count").alias("lo"), F.max("orders_count").alias("hi"))
-    span = F.col("ends.hi") - F.col("ends.lo")
-    place = F.when(span == 0, F.lit(bins // 2)).otherwise(
-        F.least(F.expr(f"((orders_count - ends.lo) * {bins}) div nullif(ends.hi - ends.lo, 0)"), F.lit(bins - 1))
-    )
-    bounds = ends.agg(F.max(F.struct("lo", "hi")).alias("ends"))
-    filled = (
-        sizes.withColumn("ends", bounds.scalar())
-        .groupBy((place + 1).cast("int").alias("bin"))
-        .agg(F.sum("n").alias("customers"))
-    )
-    low = F.when(span == 0, F.col("ends.lo") - 0.5).otherwise(F.col("ends.lo").cast("double"))
-    width = F.when(span == 0, F.lit(1.0)).otherwise(span.cast("double")) / bins
-    frame = bounds.filter(F.col("ends").isNotNull()).select(
-        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), low.alias("low"), width.alias("width")
-    )
-    return (
-        frame.join(filled, "bin", "left")
-        .select(
-            "bin",
-            (F.col("low") + F.col("width") * (F.col("bin") - 1)).alias("bin_from"),
-            (F.col("low") + F.col("width") * F.col("bin")).alias("bin_to"),
-            F.coalesce("customers", F.lit(0)).alias("customers"),
-        )
-        .orderBy("bin")
+    sizes = orders.groupBy("orders_count").agg(F.count("*").alias("n"))
+    everything = Window.partitionBy()
+    limit = F.percentile("orders_count", F.lit(upper), F.col("n")).over(everything)
+    kept = sizes.withColumn("limit", limit).filter(F.col("orders_count") <= F.col("limit"))
+    ends = kept.select(
+        "orders_count", "n", F.min("orders_count").over(everything).alias("lo"),
+        F.max("orders_count").over(everything).alias("hi"),
     )
+    place = f"if(hi = lo, {bins // 2}, least((orders_count - lo) * {bins} div nullif(hi - lo, 0), {bins - 1})) + 1"
+    filled = ends.groupBy("lo", "hi", F.expr(f"cast({place} as int)").alias("bin")).agg(F.sum("n").alias("n"))
+    frame = filled.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"))
+    return frame.select(
+        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "found",
+        F.expr("if(hi = lo, lo - 0.5d, cast(lo as double))").alias("low"),
+        F.expr(f"if(hi = lo, 1d, cast(hi - lo as double)) / {bins}").alias("width"),
+    ).selectExpr(
+        "bin", "low + width * (bin - 1) as bin_from", "low + width * bin as bin_to",
+        "coalesce(found[bin], 0L) as customers",
+    ).orderBy("bin")
 
 
 def order_groups(
@@ -221,30 +215,32 @@ def rfm_quantiles(rfm: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row with r25..r75, f25..f75, m25..m75, linearly interpolated."""
     letters = {"r": "recency", "f": "frequency", "m": "monetary"}
     rows = quantiles_wide(rfm, list(letters.values()), QUARTILES, approx=approx)
-    pick = lambda field, p: F.max(F.when(F.col("field") == field, F.col(quantile_name(p))))
+    pick = "max(case when field = '{0}' then {1} end) as {2}{3:g}"
     return rows.agg(
-        *[pick(field, p).alias(f"{letter}{p * 100:g}") for letter, field in letters.items() for p in QUARTILES]
+        *[
+            F.expr(pick.format(field, quantile_name(p), letter, p * 100))
+            for letter, field in letters.items()
+            for p in QUARTILES
+        ]
     )
 
 
-def rfm_scores(rfm: DataFrame, quantiles: DataFrame | None = None, *, c: LineColumns = RETAIL) -> DataFrame:
+def rfm_scores(rfm: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
     """Scores 1..4: each quartile edge that a value passes costs recency a point and earns one
     for frequency and money; a value on an edge has not passed it. ``rfm_score`` is the sum.
     """
     edges = quantiles if quantiles is not None else rfm_quantiles(rfm)
     with_edges = rfm.withColumn("q", edges.agg(F.max(F.struct(*edges.columns)).alias("q")).scalar())
-    passed = lambda letter, name: sum(
-        (F.col(name).cast("double") > F.col(f"q.{letter}{p * 100:g}")).cast("int") for p in QUARTILES
+    passed = lambda letter, name: " + ".join(
+        f"cast(cast({name} as double) > q.{letter}{p * 100:g} as int)" for p in QUARTILES
     )
-    scored = with_edges.withColumns(
-        {
-            "r_score": 4 - passed("r", "recency"),
-            "f_score": 1 + passed("f", "frequency"),
-            "m_score": 1 + passed("m", "monetary"),
-        }
+    scored = with_edges.select(
+        *rfm.columns,
+        F.expr(f"4 - ({passed('r', 'recency')})").alias("r_score"),
+        F.expr(f"1 + {passed('f', 'frequency')}").alias("f_score"),
+        F.expr(f"1 + {passed('m', 'monetary')}").alias("m_score"),
     )
-    total = F.col("r_score") + F.col("f_score") + F.col("m_score")
-    return scored.drop("q").withColumn("rfm_score", total)
+    return scored.withColumn("rfm_score", F.expr("r_score + f_score + m_score"))
 
 
 def rfm_segments(scores: DataFrame) -> DataFrame:

@@ -102,27 +102,18 @@ def describe_numeric(
     approx: bool = False,
 ) -> DataFrame:
     """One row per column: count, mean, sample deviation, minimum, percentiles, maximum."""
-    one_pass = {
-        "count": lambda x: F.count(x),
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-    }
+    one_pass = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
     numbers = df.select(*columns)
     stats = numbers.agg(
-        *[f(F.col(x)).cast("double").alias(f"{x}|{stat}") for x in columns for stat, f in one_pass.items()]
-    )
-    per_field = F.array(
         *[
-            F.struct(
-                F.lit(x).alias("field"),
-                *[F.col(f"`{x}|{stat}`").alias(stat) for stat in one_pass],
-            )
+            F.expr(f"{function}(`{x}`) as `{x}|{stat}`") if stat == "count"
+            else F.expr(f"cast({function}(`{x}`) as double) as `{x}|{stat}`")
             for x in columns
+            for stat, function in one_pass.items()
         ]
     )
-    rows = stats.select(F.inline(per_field)).withColumn("count", F.col("count").cast("bigint"))
+    cells = ", ".join(f"'{x}', " + ", ".join(f"`{x}|{stat}`" for stat in one_pass) for x in columns)
+    rows = stats.selectExpr(f"stack({len(columns)}, {cells}) as (field, {', '.join(one_pass)})")
     quantiles = quantiles_wide(numbers, columns, probabilities, approx=approx)
     names = [name for name in quantiles.columns if name != "field"]
     joined = rows.join(F.broadcast(quantiles), "field", "left")

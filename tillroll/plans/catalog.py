@@ -743,12 +743,8 @@ def _activity(ws: Workspace) -> DataFrame:
     return customers.cohort_activity(ws.receipts)
 
 
-def _rfm(ws: Workspace) -> DataFrame:
-    return customers.rfm_customer(ws.receipts, single=True)
-
-
 def _segments(ws: Workspace) -> DataFrame:
-    return customers.rfm_segments(customers.rfm_scores(_rfm(ws)))
+    return customers.rfm_segments(ws.scores)
 
 
 @query
@@ -820,7 +816,7 @@ def retention_summary_mean(ws):
 
 @query
 def rfm_customer(ws):
-    return comparable(_rfm(ws))
+    return comparable(customers.rfm_customer(ws.receipts, single=True))
 
 
 @query
@@ -830,13 +826,13 @@ def rfm_customer_elapsed(ws):
 
 @query
 def rfm_quantiles(ws):
-    frame = customers.rfm_quantiles(_rfm(ws))
+    frame = customers.rfm_quantiles(ws.rfm)
     return comparable(frame, **{name: 6 for name in frame.columns})
 
 
 @query
 def rfm_scores(ws):
-    return comparable(customers.rfm_scores(_rfm(ws)))
+    return comparable(customers.rfm_scores(ws.rfm))
 
 
 @query
@@ -852,13 +848,13 @@ def rfm_segments_elapsed(ws):
 
 @query
 def rfm_describe(ws):
-    return _described(customers.rfm_describe(_rfm(ws)))
+    return _described(customers.rfm_describe(ws.rfm))
 
 
 @query
 def rfm_describe_scores(ws):
     columns = ["r_score", "f_score", "m_score", "rfm_score"]
-    return _described(customers.rfm_describe(customers.rfm_scores(_rfm(ws)), customers.QUARTILES, columns))
+    return _described(customers.rfm_describe(ws.scores, customers.QUARTILES, columns))
 
 
 @query
@@ -962,6 +958,10 @@ def known_unknown_revenue(ws):
     return comparable(sales.known_unknown_revenue(ws.receipts, single=True))
 
 
+def query_named(name: str) -> Query:
+    return _QUERIES[name]
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries as callables of a session and an input folder."""
 

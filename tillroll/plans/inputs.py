@@ -27,15 +27,17 @@ def _copies(k: Column, ln: Column) -> Column:
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw order lines with cancellations, service codes, blanks, gaps and copies.
 
-    Four equi-joins from the lines to their parents; parents are broadcast only when their
-    measured size allows it. The copies are an explode of at most three, not a join.
+    Four equi-joins from the lines to their parents. Lines and orders grow together, so that
+    join is always a sort-merge join (whose hot keys the adaptive skew join splits); the other
+    parents are broadcast only when their measured size allows it. The copies are an explode of
+    at most three, not a join.
     """
     lineitem, orders, customer, nation, part = (read_table(spark, sf_dir, name) for name in TABLES)
     placed = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(
         nation, F.col("n_nationkey") == F.col("c_nationkey")
     )
     goods = part.select("p_partkey", "p_name", "p_brand", "p_retailprice")
-    base = lineitem.join(placed, F.col("o_orderkey") == F.col("l_orderkey")).join(
+    base = lineitem.join(placed.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).join(
         goods, F.col("p_partkey") == F.col("l_partkey")
     )
     k, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.functions.columns import LOAD_ORDER
 from tillroll.functions.staging import stage
-from tillroll.operators import cleaning, entities, views
+from tillroll.operators import cleaning, customers, entities, views
 from tillroll.plans.inputs import TABLES, raw_lines
 
 
 class Workspace:
-    """Raw lines, clean lines, entities, sales and receipts of one input folder.
+    """Raw lines, clean lines, entities, sales, receipts and customer scores of one input folder.
 
     Each table is made once, on first use, and written to the shared folder; everything
     after it reads the written table. That is the hand-over between the steps of the flow
@@ -71,6 +71,15 @@ class Workspace:
         """Receipts of ``v_sales``: one row per invoice."""
         return self._staged("receipts", lambda: views.receipts(self.sales))
 
+    @property
+    def rfm(self) -> DataFrame:
+        """Recency, frequency and money per customer of ``v_sales``."""
+        return self._staged("rfm", lambda: customers.rfm_customer(self.receipts, single=True))
+
+    @property
+    def scores(self) -> DataFrame:
+        return self._staged("scores", lambda: customers.rfm_scores(self.rfm))
+
     @property
     def line_sales(self) -> DataFrame:
         """Clean sales lines with their own time, customer and country."""

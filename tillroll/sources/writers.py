@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import LOAD_ORDER, RETAIL, LineColumns
 from tillroll.functions.expressions import month_of
+from tillroll.functions.ranking import range_partition
 from tillroll.operators import checks
 from tillroll.sources.readers import CSV_OPTIONS
 
@@ -84,12 +85,12 @@ def layout_tables(
     """Store lines for pruning by date, country, customer, product and cancellation.
 
     One folder per month, files range partitioned by month, country and invoice, rows sorted
-    inside so that Parquet row-group bounds prune the other filters. A month or country that
-    holds most rows is spread over many range partitions by the invoice.
+    inside so that Parquet row-group bounds prune the other filters. A month, country or
+    invoice that holds most rows is spread over many range partitions.
     """
     keys = ["order_month", c.country, c.invoice]
     monthly = lines.withColumn("order_month", month_of(c.invoice_date))
-    ranged = monthly.repartitionByRange(partitions, *keys) if partitions else monthly.repartitionByRange(*keys)
+    ranged = range_partition(monthly, keys, partitions)
     order = ["order_month", c.country, c.cancelled, c.customer_id, c.invoice_date, c.stock_code]
     present = [name for name in order if name in monthly.columns]
     ranged.sortWithinPartitions(*present).write.mode(mode).partitionBy("order_month").parquet(path)
