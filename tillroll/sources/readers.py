@@ -23,6 +23,9 @@ CSV_OPTIONS = {
     "dateFormat": "yyyy-MM-dd",
 }
 
+# Reading tells a quoted empty text from a missing one by giving the latter a mark of its own.
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\x01", "emptyValue": ""}
+
 
 def scan_typed_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType, *, multi_line: bool = False
@@ -32,7 +35,7 @@ def scan_typed_csv(
     ``multi_line`` allows line breaks inside quoted text, at the price of one task per file.
     """
     return (
-        spark.read.options(**CSV_OPTIONS)
+        spark.read.options(**CSV_READ_OPTIONS)
         .option("mode", "FAILFAST")
         .option("enforceSchema", "false")
         .option("multiLine", str(multi_line).lower())
