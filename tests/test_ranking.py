@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tillroll.functions.ranking import dense_sequence, exact_quantiles, quantile_name, quantiles_wide
+from tillroll.operators.profiling import describe_numeric
 
 PROBABILITIES = (0.0, 0.25, 0.5, 0.9, 0.999, 1.0)
 
@@ -56,6 +57,15 @@ def test_empty_and_missing_columns(spark):
     assert sketch["x"] in (1.0, 3.0)
 
 
+def test_nan_and_infinity(spark):
+    values = [float("nan"), float("-inf"), -1.0, None, 2.0, 5.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], [0.25, 0.5, 0.75]).collect()}
+    assert found == {0.25: -1.0, 0.5: 2.0, 0.75: 5.0}
+    row = describe_numeric(df.filter("abs(x) < 9 or isnan(x)"), ["x"]).first()
+    assert (row["count"], row["mean"], row["min"], row["p50"], row["max"]) == (3, 2.0, -1.0, 2.0, 5.0)
+
+
 def test_quantile_names():
     assert [quantile_name(p) for p in (0.25, 0.5, 0.99, 0.999)] == ["p25", "p50", "p99", "p99_9"]
 

@@ -120,3 +120,11 @@ def test_workspace_is_shared_and_made_once(spark, sf_dir):
     first, second = workspace(spark, sf_dir), workspace(spark, sf_dir + "/")
     assert first is second
     assert first.receipts is second.receipts
+
+
+def test_statistics_of_a_catalog_table(spark, clean):
+    clean.write.option("path", new_path(spark, "catalog")).saveAsTable("tillroll_lines")
+    writers.analyze_table(spark, "tillroll_lines")
+    details = {r["col_name"]: r["data_type"] for r in spark.sql("describe extended tillroll_lines").collect()}
+    assert "15 rows" in details["Statistics"]
+    spark.sql("drop table tillroll_lines")

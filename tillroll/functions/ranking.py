@@ -28,24 +28,29 @@ def range_partition(df: DataFrame, order_by: Sequence[Column | str], partitions:
 
 
 def dense_sequence(
-    df: DataFrame, order_by: Sequence[Column], name: str, *, partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[Column],
+    name: str,
+    *,
+    keep: Sequence[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Append ``name`` = 1..n in the global order ``order_by``.
+    """Append ``name`` = 1..n in the global order ``order_by``; ``keep`` names the columns to return.
 
     Rows are range partitioned and sorted per partition, then written once; the size of
     each partition gives the offset of the next. Only one row per partition is broadcast.
     """
+    kept = list(keep or df.columns)
     ranged = range_partition(df, order_by, partitions)
-    placed = stage(
-        ranged.sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id()), "sequence"
-    )
+    ordered = ranged.sortWithinPartitions(*order_by)
+    placed = stage(ordered.select(*kept, F.monotonically_increasing_id().alias("_at")), "sequence")
     part = F.shiftright("_at", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     row = F.col("_at") - F.shiftleft(part, _ROW_BITS)
     numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return numbered.select(*df.columns, (F.col("_offset") + row + 1).cast("bigint").alias(name))
+    return numbered.select(*kept, (F.col("_offset") + row + 1).cast("bigint").alias(name))
 
 
 def exact_quantiles(
@@ -62,12 +67,12 @@ def exact_quantiles(
     distinct values of a group in one buffer. Only the buckets of the wanted ranks are
     broadcast, at most two per column and probability.
     """
-    # The bucket never decreases as the value grows and is known for every value.
-    size = f"floor(log2(abs(cast(value as double)) * 10000 + 1) * {_BUCKETS_PER_OCTAVE})"
+    # The bucket never decreases as the value grows and is known for every value, infinity included.
+    size = f"floor(least(log2(abs(cast(value as double)) * 10000 + 1) * {_BUCKETS_PER_OCTAVE}, 1e9d))"
     values = (
         df.select(*columns, (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"))
         .unpivot("_weight", list(columns), "field", "value")
-        .filter("value is not null")
+        .filter("value is not null and not isnan(cast(value as double))")
         .selectExpr(
             "field", "value", "_weight",
             f"coalesce(cast(signum(cast(value as double)) * {size} as bigint), 0L) as bucket",

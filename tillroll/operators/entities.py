@@ -62,10 +62,11 @@ def fact_order_items(
 
     The key depends on the rows alone, not on partitioning, so a second run gives the same.
     """
-    order = [F.col(name).asc_nulls_last() for name in line_order(c) if name in clean.columns]
+    keys = [name for name in line_order(c) if name in clean.columns]
     wanted = [c.invoice, c.stock_code, c.quantity, c.price, c.line_total]
-    carried = list(dict.fromkeys([name for name in line_order(c) if name in clean.columns] + wanted))
-    numbered = dense_sequence(clean.select(*carried), order, item_id, partitions=partitions)
+    lines = clean.select(*dict.fromkeys(keys + wanted))
+    order = [F.col(name).asc_nulls_last() for name in keys]
+    numbered = dense_sequence(lines, order, item_id, keep=wanted, partitions=partitions)
     return numbered.select(item_id, *wanted)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.expressions import percent
@@ -101,9 +102,13 @@ def describe_numeric(
     *,
     approx: bool = False,
 ) -> DataFrame:
-    """One row per column: count, mean, sample deviation, minimum, percentiles, maximum."""
+    """One row per column: count, mean, sample deviation, minimum, percentiles, maximum.
+
+    Missing values and NaN are left out.
+    """
     one_pass = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-    numbers = df.select(*columns)
+    floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    numbers = df.select(*[F.nanvl(x, F.lit(None)).alias(x) if x in floating else F.col(x) for x in columns])
     stats = numbers.agg(
         *[
             F.expr(f"{function}(`{x}`) as `{x}|{stat}`") if stat == "count"
