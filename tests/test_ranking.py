@@ -1,7 +1,6 @@
 """Global numbering and exact quantiles against plain Python and numpy."""
 
 import random
-from decimal import Decimal
 
 import numpy as np
 import pytest

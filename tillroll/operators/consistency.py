@@ -27,7 +27,11 @@ def fd_check(df: DataFrame, key: str, dependants: Mapping[str, str]) -> DataFram
     names = list(dependants)
     summary = counts.agg(
         *[
-            F.struct(F.lit(x).alias("dependant"), F.max(x).alias("max_values"), F.count_if(F.col(x) > 1).alias("violating_keys")).alias(x)
+            F.struct(
+                F.lit(x).alias("dependant"),
+                F.max(x).alias("max_values"),
+                F.count_if(F.col(x) > 1).alias("violating_keys"),
+            ).alias(x)
             for x in names
         ]
     )

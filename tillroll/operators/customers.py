@@ -83,7 +83,8 @@ def orders_histogram(orders: DataFrame, *, upper: float = 0.99, bins: int = 30)
     )
     place = f"if(hi = lo, {bins // 2}, least((orders_count - lo) * {bins} div nullif(hi - lo, 0), {bins - 1})) + 1"
     filled = ends.groupBy("lo", "hi", F.expr(f"cast({place} as int)").alias("bin")).agg(F.sum("n").alias("n"))
-    frame = filled.groupBy("lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"))
+    bars = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    frame = filled.groupBy("lo", "hi").agg(bars.alias("found"))
     return frame.select(
         F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"), "found",
         F.expr("if(hi = lo, lo - 0.5d, cast(lo as double))").alias("low"),
@@ -108,7 +109,9 @@ def order_groups(
     )
     listed = F.array(
         *[
-            F.struct(F.lit(i).alias("place"), F.lit(label).alias("orders_group"), F.col(f"`{label}`").alias("customers"))
+            F.struct(
+                F.lit(i).alias("place"), F.lit(label).alias("orders_group"), F.col(f"`{label}`").alias("customers")
+            )
             for i, (label, _, _) in enumerate(groups)
         ]
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
-from tillroll.functions.expressions import iso_weekday, money, month_of, percent, quotient, weekday_name
+from tillroll.functions.expressions import iso_weekday, money, percent, quotient, weekday_name
 from tillroll.operators.views import invoices, v_monthly_metrics
 
 # Fixed value: names of the days in calendar order.
@@ -69,9 +69,13 @@ def monthly_metrics(rc: DataFrame, *, single: bool = False, c: LineColumns = RET
 
 def full_months(monthly: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     """Months strictly between two bounds, by default the first and last (partial) month."""
-    after = F.lit(first).cast("date") if first else monthly.agg(F.min("month").alias("m")).scalar()
-    before = F.lit(last).cast("date") if last else monthly.agg(F.max("month").alias("m")).scalar()
-    return monthly.filter((F.col("month") > after) & (F.col("month") < before))
+    everything = Window.partitionBy()
+    bounds = {
+        "_after": F.lit(first).cast("date") if first else F.min("month").over(everything),
+        "_before": F.lit(last).cast("date") if last else F.max("month").over(everything),
+    }
+    inside = monthly.withColumns(bounds).filter("month > _after and month < _before")
+    return inside.drop(*bounds).orderBy("month")
 
 
 def best_worst_month(monthly: DataFrame) -> DataFrame:
@@ -96,9 +100,12 @@ def mom_growth(monthly: DataFrame, *, fill_months: bool = False) -> DataFrame:
     """
     rows = monthly.select("month", "revenue")
     if fill_months:
-        span = rows.agg(F.min("month").alias("a"), F.max("month").alias("z")).filter(F.col("a").isNotNull())
-        calendar = span.select(F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("month"))
-        rows = calendar.join(rows, "month", "left")
+        following = F.coalesce(F.add_months(F.lead("month").over(Window.orderBy("month")), -1), F.col("month"))
+        stretched = rows.withColumn("_until", following).select(
+            F.explode(F.sequence("month", "_until", F.expr("interval 1 month"))).alias("at"), "month", "revenue"
+        )
+        sold = F.when(F.col("at") == F.col("month"), F.col("revenue"))
+        rows = stretched.select(F.col("at").alias("month"), sold.alias("revenue"))
     previous = F.lag("revenue").over(Window.orderBy("month"))
     grown = rows.withColumn("previous_revenue", previous)
     change = percent(F.col("revenue") - F.col("previous_revenue"), F.col("previous_revenue"))

@@ -337,11 +337,10 @@ def statements() -> dict[str, str]:
         "select * exclude (source_period), min(source_period) as source_period from raw group by all"
     )
     q["duplicates_removed"] = (
-        f"{_with(RAW, TRIMMED)}\nselect sum(n)::bigint as rows_before, (sum(n) - count(*))::bigint as duplicates_removed,"
-        " count(*) as rows_after from (select count(*) as n from trimmed group by all, "
-        f"{RAW_COLUMNS})"
+        f"{_with(RAW, TRIMMED)}\nselect sum(n)::bigint as rows_before,"
+        " (sum(n) - count(*))::bigint as duplicates_removed, count(*) as rows_after"
+        f" from (select count(*) as n from trimmed group by {RAW_COLUMNS})"
     )
-    q["duplicates_removed"] = q["duplicates_removed"].replace("group by all, ", "group by ")
     q["flag_cancelled"] = raw("select invoice, quantity, left(invoice, 1) = 'C' as is_cancelled from raw")
     q["flag_cancelled_any_case"] = raw(
         "select invoice, quantity, left(invoice, 1) in ('C', 'c') as is_cancelled from raw"
@@ -750,8 +749,7 @@ def statements() -> dict[str, str]:
     q["rfm_customer"] = sales(rfm_out, RFM)
     q["rfm_customer_elapsed"] = line_sales(rfm_out, RFM_ELAPSED)
     q["rfm_quantiles"] = sales(
-        "select " + ", ".join(f"{r(x, 6)} as {x}" for x in ("r25", "r50", "r75", "f25", "f50", "f75", "m25", "m50", "m75"))
-        + " from edges",
+        "select " + ", ".join(f"{r(x + p, 6)} as {x}{p}" for x in "rfm" for p in ("25", "50", "75")) + " from edges",
         RFM, EDGES,
     )
     q["rfm_scores"] = sales(
