@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.ranking import dense_sequence
+from tillroll.functions.staging import stage
 
 
 def dim_customers(clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
@@ -70,11 +71,15 @@ def fact_order_items(
     return numbered.select(item_id, *wanted)
 
 
-def normalise(clean: DataFrame, *, c: LineColumns = RETAIL) -> dict[str, DataFrame]:
-    """All four entities; ``clean`` should be a staged table, since each entity scans it."""
-    return {
+def normalise(clean: DataFrame, *, c: LineColumns = RETAIL, staged: bool = False) -> dict[str, DataFrame]:
+    """All four entities; ``clean`` should be a staged table, since each entity scans it.
+
+    ``staged`` writes each entity to the shared folder, for use by several checks and views.
+    """
+    made = {
         "customers": dim_customers(clean, c=c),
         "products": dim_products(clean, c=c),
         "orders": fact_orders(clean, c=c),
         "order_items": fact_order_items(clean, c=c),
     }
+    return {name: stage(frame, name) for name, frame in made.items()} if staged else made

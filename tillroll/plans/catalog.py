@@ -177,30 +177,20 @@ def layout_tables_pruned(ws):
 # --- cleaning ------------------------------------------------------------------------------
 
 
-def _untyped(ws: Workspace) -> DataFrame:
-    """Raw lines as a sheet reader leaves them: a floating customer id, texts for the time."""
-    return ws.raw.withColumns(
-        {
-            "customer_id": F.col("customer_id").cast("double"),
-            "invoice_date": F.col("invoice_date").cast("string"),
-            "stock_code": F.when(F.col("stock_code").rlike("^[0-9]+$"), F.col("stock_code")),
-        }
-    )
-
-
 @query
 def cast_types(ws):
-    typed = cleaning.cast_types(_untyped(ws).withColumn("stock_code", F.col("stock_code").cast("int")))
-    return typed.select("invoice", "stock_code", "customer_id", "invoice_date")
+    """Raw lines as a sheet reader leaves them: a floating customer id, a text for the time."""
+    untyped = ws.raw.withColumns(
+        {"customer_id": F.col("customer_id").cast("double"), "invoice_date": F.col("invoice_date").cast("string")}
+    )
+    return cleaning.cast_types(untyped).select("invoice", "stock_code", "customer_id", "invoice_date")
 
 
 @query
 def cast_rejects(ws):
-    broken = _untyped(ws).withColumn(
-        "customer_id",
-        F.when(F.col("quantity") % 7 == 0, F.col("customer_id") + 0.5).otherwise(F.col("customer_id")),
-    )
-    return cleaning.cast_rejects(broken)
+    """Values lost if codes and prices were whole numbers: service codes and fractions."""
+    whole = {name: T.IntegerType() for name in ("invoice", "stock_code", "price", "customer_id")}
+    return cleaning.cast_rejects(ws.raw, whole)
 
 
 @query
@@ -722,9 +712,7 @@ def mom_growth(ws):
 
 @query
 def mom_growth_filled(ws):
-    """Months without the sales of every March, so that the calendar has gaps to fill."""
-    gaps = _monthly(ws).filter(F.month("month") != 3)
-    return comparable(sales.mom_growth(gaps, fill_months=True))
+    return comparable(sales.mom_growth(_monthly(ws), fill_months=True))
 
 
 @query
@@ -779,8 +767,7 @@ def order_groups(ws):
 
 @query
 def order_groups_filled(ws):
-    """Groups as the report lists them, those without customers included."""
-    return comparable(customers.order_groups(_orders(ws).filter(F.col("orders_count") > 5), fill=True))
+    return comparable(customers.order_groups(_orders(ws), fill=True))
 
 
 @query
@@ -927,9 +914,7 @@ def weekday_activity_by_time(ws):
 
 @query
 def weekday_activity_filled(ws):
-    """Sales of working days only; the weekend is listed without a count."""
-    few = ws.receipts.filter(F.weekday("invoice_date") < 5)
-    return sales.weekday_activity(few, fill_days=True, single=True)
+    return sales.weekday_activity(ws.receipts, fill_days=True, single=True)
 
 
 @query

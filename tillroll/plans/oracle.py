@@ -323,13 +323,12 @@ def statements() -> dict[str, str]:
     )
 
     # cleaning
-    q["cast_types"] = raw(
-        "select invoice, case when regexp_full_match(stock_code, '[0-9]+') then stock_code end as stock_code,"
-        " customer_id, invoice_date from raw"
-    )
+    q["cast_types"] = raw("select invoice, stock_code, customer_id, invoice_date from raw")
     q["cast_rejects"] = raw(
-        "select unnest(['invoice', 'stock_code', 'customer_id', 'invoice_date']) as column_name,"
-        " unnest([0, 0, count(customer_id) filter (where quantity % 7 = 0), 0]) as rejected_rows from raw"
+        "select unnest(['invoice', 'stock_code', 'price', 'customer_id']) as column_name,"
+        " unnest([count(*) filter (where not regexp_full_match(invoice, '[0-9]+')),"
+        " count(*) filter (where not regexp_full_match(trim(stock_code), '[0-9]+')),"
+        " count(*) filter (where price <> floor(price)), 0]) as rejected_rows from raw"
     )
     q["trim_strings"] = f"{_with(RAW, TRIMMED)}\nselect * from trimmed"
     q["drop_exact_duplicates"] = raw("select distinct * from raw")
@@ -664,8 +663,7 @@ def statements() -> dict[str, str]:
     q["mom_growth"] = sales(f"{growth} {shifted.format('monthly')}", MONTHLY)
     calendar = (
         "(select cast(t as date) as month, revenue from (select unnest(generate_series(min(month)::timestamp,"
-        " max(month)::timestamp, interval '1' month)) as t from monthly where month(month) <> 3)"
-        " left join (select * from monthly where month(month) <> 3) on month = cast(t as date))"
+        " max(month)::timestamp, interval '1' month)) as t from monthly) left join monthly on month = cast(t as date))"
     )
     q["mom_growth_filled"] = sales(f"{growth} {shifted.format(calendar)}", MONTHLY)
     q["yoy_compare"] = sales(
@@ -708,10 +706,10 @@ def statements() -> dict[str, str]:
     )
     q["order_groups_filled"] = sales(
         f"select {labels}[g] as orders_group, count(p) as customers,"
-        f" {pct('count(p)', '(select count(*) from busy)')} as customer_share"
-        " from (select unnest([1, 2, 3, 4]) as g) left join busy on p = g group by g",
+        f" {pct('count(p)', '(select count(*) from placed)')} as customer_share"
+        " from (select unnest([1, 2, 3, 4]) as g) left join placed on p = g group by g",
         FREQUENCY,
-        f"busy as (select {position} as p from frequency where orders_count > 5)",
+        f"placed as (select {position} as p from frequency)",
     )
     as_date = lambda x: f"make_date(cast({x} // 12 as int), cast({x} % 12 + 1 as int), 1)"
     q["cohort_activity"] = sales(
@@ -805,10 +803,10 @@ def statements() -> dict[str, str]:
     moments = f"(select {DAY}, hour(invoice_date) as hour from (select distinct invoice, invoice_date from line_sales))"
     by_day = f"(select weekday, count(*) as invoices from {moments} group by 1)"
     q["weekday_activity_by_time"] = line_sales(f"select * from {WEEK} left join {by_day} using (weekday)")
-    working = f"(select {DAY}, invoice from sales where isodow(invoice_date) < 6)"
+    dated = f"(select {DAY}, invoice from sales)"
     q["weekday_activity_filled"] = sales(
         f"select weekday, weekday_number, invoices from {WEEK} left join"
-        f" (select weekday, count(distinct invoice) as invoices from {working} group by 1) using (weekday)"
+        f" (select weekday, count(distinct invoice) as invoices from {dated} group by 1) using (weekday)"
     )
     q["busiest_weekday"] = line_sales(
         f"select weekday, invoices from {WEEK} join {by_day} using (weekday)"
