@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tillroll.functions.columns import LineColumns
 from tillroll.operators import checks, cleaning, consistency, customers, entities, profiling, sales, views
 
 
@@ -312,3 +313,50 @@ def test_service_codes_from_a_table(spark, raw):
     assert flagged.count() == raw.count()
     assert {r["stock_code"] for r in flagged.filter("is_service").collect()} == {"POST", "B"}
     assert flagged.filter("is_service is null").count() == 0
+
+
+def test_other_column_names(clean, receipts):
+    names = {"invoice": "receipt_no", "customer_id": "client", "invoice_date": "at", "country": "land",
+             "stock_code": "sku", "line_total": "amount"}
+    c = LineColumns(**names)
+    sold = cleaning.filter_sales(clean.withColumnsRenamed(names), c=c)
+    rc = views.receipts(sold, c=c)
+    plain = views.receipts(cleaning.filter_sales(clean))
+    assert rows(sales.monthly_metrics(rc, c=c)) == rows(sales.monthly_metrics(plain))
+    assert rows(sales.country_summary(rc, c=c)) == rows(sales.country_summary(plain))
+    assert rows(sales.weekday_activity(rc, c=c)) == rows(sales.weekday_activity(plain))
+    assert rows(sales.core_metrics(sold, rc, c=c)) == rows(
+        sales.core_metrics(cleaning.filter_sales(clean), plain)
+    )
+    assert sorted(rows(customers.rfm_customer(rc, c=c))) == sorted(rows(customers.rfm_customer(plain)))
+    assert customers.cohort_activity(rc, c=c).columns[0] == "client"
+
+
+@pytest.mark.parametrize("zone", ["America/Sao_Paulo", "Asia/Tokyo"])
+def test_session_zone_plays_no_part(spark, clean, receipts, zone):
+    def found():
+        return [
+            rows(sales.weekday_activity(receipts)), rows(sales.hour_activity(receipts)),
+            rows(sales.monthly_metrics(receipts)), rows(consistency.invoice_time_spread(clean)),
+            sorted(rows(customers.rfm_customer(receipts, recency="elapsed"))),
+            sorted(rows(customers.cohort_activity(receipts))),
+        ]
+
+    before = found()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert found() == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_time_spread_across_a_clock_change(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        df = spark.sql(
+            "select '1' as invoice, timestamp_ntz'2011-03-27 00:30:00' as invoice_date"
+            " union all select '1', timestamp_ntz'2011-03-27 03:00:30'"
+        )
+        assert [r["diff_minutes"] for r in consistency.invoice_time_spread(df).collect()] == [150.5]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -14,6 +14,10 @@ WHITESPACE = (
 )
 
 
+# Fixed value: names of the days in calendar order.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
 def strip(col: Column | str) -> Column:
     """Remove leading and trailing white space of every kind."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -40,7 +44,16 @@ def iso_weekday(col: Column | str) -> Column:
 
 
 def weekday_name(col: Column | str) -> Column:
-    return F.date_format(col, "EEEE")
+    return F.element_at(F.array(*[F.lit(name) for name in WEEKDAYS]), F.weekday(col) + 1)
+
+
+def minutes_between(earlier: Column | str, later: Column | str) -> Column:
+    """Difference of two times in minutes, free of the session's time zone."""
+    gap = (F.col(later) if isinstance(later, str) else later) - (
+        F.col(earlier) if isinstance(earlier, str) else earlier
+    )
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("double")
+    return part("DAY") * 1440 + part("HOUR") * 60 + part("MINUTE") + part("SECOND") / 60
 
 
 def money(col: Column, digits: int = 2) -> Column:

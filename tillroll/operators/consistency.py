@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
+from tillroll.functions.expressions import minutes_between
 from tillroll.operators.profiling import describe_numeric
 
 
@@ -57,8 +58,7 @@ def multi_date_rows(df: DataFrame, n: int | None = 30, *, c: LineColumns = RETAI
 def invoice_time_spread(df: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
     """(invoice, min, max, diff_minutes) of the invoices whose lines differ in time."""
     bounds = df.groupBy(c.invoice).agg(F.min(c.invoice_date).alias("min"), F.max(c.invoice_date).alias("max"))
-    seconds = F.timestamp_diff("SECOND", F.col("min"), F.col("max"))
-    return bounds.filter(F.col("max") > F.col("min")).withColumn("diff_minutes", seconds / F.lit(60.0))
+    return bounds.filter(F.col("max") > F.col("min")).withColumn("diff_minutes", minutes_between("min", "max"))
 
 
 def invoice_time_spread_describe(

@@ -13,12 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
-from tillroll.functions.expressions import iso_weekday, money, percent, quotient, weekday_name
+from tillroll.functions.expressions import WEEKDAYS, iso_weekday, money, percent, quotient, weekday_name
 from tillroll.operators.views import invoices, v_monthly_metrics
 
-# Fixed value: names of the days in calendar order.
-WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-
 
 def _distinct(frame: DataFrame, name: str) -> Column:
     values = frame.select(name).filter(F.col(name).isNotNull()).distinct()
