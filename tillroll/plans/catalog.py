@@ -685,6 +685,11 @@ def core_metrics(ws):
     return comparable(sales.core_metrics(ws.sales, ws.receipts, single=True))
 
 
+@query
+def core_metrics_by_line(ws):
+    return comparable(sales.core_metrics(ws.line_sales, ws.line_receipts))
+
+
 @query
 def monthly_metrics(ws):
     return comparable(sales.monthly_metrics(ws.receipts, single=True))
@@ -700,11 +705,21 @@ def full_months(ws):
     return comparable(sales.full_months(_monthly(ws)))
 
 
+@query
+def full_months_by_line(ws):
+    return comparable(sales.full_months(views.v_monthly_metrics(ws.line_receipts)))
+
+
 @query
 def best_worst_month(ws):
     return comparable(sales.best_worst_month(sales.full_months(_monthly(ws))))
 
 
+@query
+def best_worst_month_by_line(ws):
+    return comparable(sales.best_worst_month(sales.full_months(views.v_monthly_metrics(ws.line_receipts))))
+
+
 @query
 def mom_growth(ws):
     return comparable(sales.mom_growth(_monthly(ws)))
@@ -720,6 +735,11 @@ def yoy_compare(ws):
     return comparable(sales.yoy_compare(_monthly(ws), *YEARS))
 
 
+@query
+def yoy_compare_by_line(ws):
+    return comparable(sales.yoy_compare(views.v_monthly_metrics(ws.line_receipts), *YEARS))
+
+
 # --- customers -----------------------------------------------------------------------------
 
 
@@ -750,11 +770,21 @@ def repeat_rate(ws):
     return comparable(customers.repeat_rate(_orders(ws)))
 
 
+@query
+def repeat_rate_by_line(ws):
+    return comparable(customers.repeat_rate(customers.orders_per_customer(ws.line_receipts)))
+
+
 @query
 def orders_distribution(ws):
     return _described(customers.orders_distribution(_orders(ws)))
 
 
+@query
+def orders_distribution_by_line(ws):
+    return _described(customers.orders_distribution(customers.orders_per_customer(ws.line_receipts)))
+
+
 @query
 def orders_histogram(ws):
     return comparable(customers.orders_histogram(_orders(ws)), bin_from=6, bin_to=6)
@@ -765,6 +795,11 @@ def order_groups(ws):
     return comparable(customers.order_groups(_orders(ws)))
 
 
+@query
+def order_groups_by_line(ws):
+    return comparable(customers.order_groups(customers.orders_per_customer(ws.line_receipts), fill=True))
+
+
 @query
 def order_groups_filled(ws):
     return comparable(customers.order_groups(_orders(ws), fill=True))
@@ -780,6 +815,12 @@ def cohort_retention(ws):
     return comparable(customers.cohort_retention(_activity(ws), FIRST_COHORT, LAST_COHORT))
 
 
+@query
+def cohort_retention_by_line(ws):
+    activity = customers.cohort_activity(ws.line_receipts)
+    return comparable(customers.cohort_retention(activity, FIRST_COHORT, LAST_COHORT))
+
+
 @query
 def retention_matrix(ws):
     return comparable(customers.retention_matrix(_activity(ws), range(13)))
@@ -849,6 +890,12 @@ def rfm_segment_summary(ws):
     return comparable(customers.rfm_segment_summary(_segments(ws)))
 
 
+@query
+def rfm_segment_summary_elapsed(ws):
+    rfm = customers.rfm_customer(ws.line_receipts, recency="elapsed")
+    return comparable(customers.rfm_segment_summary(customers.rfm_segments(customers.rfm_scores(rfm))))
+
+
 @query
 def segment_actions(ws):
     return customers.segment_actions(customers.rfm_segment_summary(_segments(ws)))
@@ -872,16 +919,31 @@ def home_country_share(ws):
     return comparable(sales.home_country_share(ws.receipts, HOME))
 
 
+@query
+def home_country_share_by_line(ws):
+    return comparable(sales.home_country_share(ws.line_receipts, HOME))
+
+
 @query
 def top_countries_excluding(ws):
     return comparable(sales.top_countries_excluding(ws.receipts, HOME))
 
 
+@query
+def top_countries_excluding_by_line(ws):
+    return comparable(sales.top_countries_excluding(ws.line_receipts, HOME))
+
+
 @query
 def product_summary(ws):
     return comparable(sales.product_summary(ws.sales, ws.products, 20))
 
 
+@query
+def product_summary_by_line(ws):
+    return comparable(sales.product_summary(ws.line_sales, ws.products, 15))
+
+
 @query
 def product_summary_by_quantity(ws):
     return comparable(sales.product_summary(ws.line_sales, ws.products, 15, by="quantity"))
@@ -902,6 +964,11 @@ def product_concentration(ws):
     return comparable(sales.product_concentration(ws.sales))
 
 
+@query
+def product_concentration_by_line(ws):
+    return comparable(sales.product_concentration(ws.line_sales))
+
+
 @query
 def weekday_activity(ws):
     return sales.weekday_activity(ws.receipts, single=True)

@@ -180,6 +180,10 @@ frequency as (
   select customer_id, count(distinct invoice) as orders_count
   from sales where customer_id is not null group by customer_id)"""
 
+POSITION = "1 + cast(orders_count > 1 as int) + cast(orders_count > 5 as int) + cast(orders_count > 10 as int)"
+
+GROUPED = f"placed as (select {POSITION} as p from frequency)"
+
 # Months are numbered so that cohort arithmetic is a subtraction.
 COHORTS = """
 visits as (
@@ -268,6 +272,10 @@ def one_of_each(table: str, conditions: dict[str, str], label: str, value: str)
     return f"select unnest([{names}]) as {label}, unnest([{counts}]) as {value} from {table}"
 
 
+def _of_lines(sql: str) -> str:
+    return sql.replace("from sales", "from line_sales")
+
+
 def statements() -> dict[str, str]:
     y1, y2 = YEARS
     q: dict[str, str] = {}
@@ -648,7 +656,7 @@ def statements() -> dict[str, str]:
         f" {avg('sum(line_total)', 'count(distinct invoice)')} as average_invoice from sales"
     )
     q["monthly_metrics"] = q["v_monthly_metrics"]
-    q["monthly_metrics_by_line"] = line_sales("select * from monthly", MONTHLY.replace("from sales", "from line_sales"))
+    q["monthly_metrics_by_line"] = line_sales("select * from monthly", _of_lines(MONTHLY))
     q["full_months"] = sales("select * from inner_months", MONTHLY, FULL)
     q["best_worst_month"] = sales(
         "(select 'best' as kind, * from inner_months order by revenue desc, month limit 1) union all"
@@ -676,9 +684,7 @@ def statements() -> dict[str, str]:
 
     # customers
     q["orders_per_customer"] = sales("select * from frequency", FREQUENCY)
-    q["orders_per_customer_by_line"] = line_sales(
-        "select * from frequency", FREQUENCY.replace("from sales", "from line_sales")
-    )
+    q["orders_per_customer_by_line"] = line_sales("select * from frequency", _of_lines(FREQUENCY))
     q["repeat_rate"] = sales(
         "select count(*) as customers, count(*) - count(nullif(orders_count, 1)) as one_time_customers,"
         " count(nullif(orders_count, 1)) as repeat_customers,"
@@ -698,10 +704,9 @@ def statements() -> dict[str, str]:
         " (select quantile_cont(cast(orders_count as double), 0.99) from frequency))",
     )
     labels = "['1', '2-5', '6-10', '>10']"
-    position = "1 + cast(orders_count > 1 as int) + cast(orders_count > 5 as int) + cast(orders_count > 10 as int)"
     q["order_groups"] = sales(
         f"select {labels}[g] as orders_group, customers, {pct('customers', 'sum(customers) over ()')} as customer_share"
-        f" from (select {position} as g, count(*) as customers from frequency group by 1)",
+        f" from (select {POSITION} as g, count(*) as customers from frequency group by 1)",
         FREQUENCY,
     )
     q["order_groups_filled"] = sales(
@@ -709,7 +714,7 @@ def statements() -> dict[str, str]:
         f" {pct('count(p)', '(select count(*) from placed)')} as customer_share"
         " from (select unnest([1, 2, 3, 4]) as g) left join placed on p = g group by g",
         FREQUENCY,
-        f"placed as (select {position} as p from frequency)",
+        GROUPED,
     )
     as_date = lambda x: f"make_date(cast({x} // 12 as int), cast({x} % 12 + 1 as int), 1)"
     q["cohort_activity"] = sales(
@@ -824,4 +829,25 @@ def statements() -> dict[str, str]:
         " (select customer_id is not null as known, count(distinct invoice) as invoices, sum(line_total) as total"
         " from sales group by 1)"
     )
+
+    # the same reports over lines with their own time, customer and country
+    of_lines = {
+        "core_metrics": (), "full_months": (MONTHLY, FULL), "best_worst_month": (MONTHLY, FULL),
+        "yoy_compare": (MONTHLY,), "repeat_rate": (FREQUENCY,), "orders_distribution": (FREQUENCY,),
+        "cohort_retention": (COHORTS,), "home_country_share": (), "top_countries_excluding": (),
+        "product_concentration": (),
+    }
+    for name, parts in of_lines.items():
+        report = q[name].removeprefix(_with(RAW, CLEAN, SALES, *parts) + "\n")
+        q[f"{name}_by_line"] = line_sales(_of_lines(report), *map(_of_lines, parts))
+    q["order_groups_by_line"] = line_sales(
+        _of_lines(q["order_groups_filled"].removeprefix(_with(RAW, CLEAN, SALES, FREQUENCY, GROUPED) + "\n")),
+        _of_lines(FREQUENCY), GROUPED,
+    )
+    q["rfm_segment_summary_elapsed"] = line_sales("select * from summary", RFM_ELAPSED, SEGMENTS, SUMMARY)
+    q["product_summary_by_line"] = line_sales(
+        f"select * from (select stock_code, {PRODUCT} from line_sales group by stock_code"
+        " order by revenue desc, stock_code limit 15) left join goods using (stock_code)",
+        GOODS,
+    )
     return q
