@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 import compare
+from tillroll.plans import catalog, oracle
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = catalog.registered()
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def duck(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
