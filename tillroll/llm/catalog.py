@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import bpe
+from tillroll.llm import bpe, sharding, toxicity
+from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,8 +20,30 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
 
 
+def nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def registered() -> dict:
-    return {"op4_byte_bpe": byte_bpe}
+    return {
+        "op1_nnpu_toxicity": nnpu_toxicity,
+        "op4_byte_bpe": byte_bpe,
+        "op7_vector_sharding": vector_sharding,
+    }
 
 
 def statements() -> dict[str, str]:
