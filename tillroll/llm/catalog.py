@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, sharding, toxicity
+from tillroll.llm import bpe, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,11 @@ def nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.fit(docs))
+
+
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -41,6 +46,7 @@ def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict:
     return {
         "op1_nnpu_toxicity": nnpu_toxicity,
+        "op2_secret_network": secret_network,
         "op4_byte_bpe": byte_bpe,
         "op7_vector_sharding": vector_sharding,
     }
