@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, secrets, sharding, toxicity
+from tillroll.llm import bpe, jaccard, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,10 @@ def secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(docs, secrets.fit(docs))
 
 
+def jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -48,6 +52,7 @@ def registered() -> dict:
         "op1_nnpu_toxicity": nnpu_toxicity,
         "op2_secret_network": secret_network,
         "op4_byte_bpe": byte_bpe,
+        "op5_jaccard_tiles": jaccard_tiles,
         "op7_vector_sharding": vector_sharding,
     }
 
