@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, jaccard, secrets, sharding, toxicity
+from tillroll.llm import bpe, jaccard, repeats, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,10 @@ def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_read(spark, sf_dir, "documents"))
+
+
 def registered() -> dict:
     return {
         "op1_nnpu_toxicity": nnpu_toxicity,
@@ -54,6 +58,7 @@ def registered() -> dict:
         "op4_byte_bpe": byte_bpe,
         "op5_jaccard_tiles": jaccard_tiles,
         "op7_vector_sharding": vector_sharding,
+        "op9_repeated_passages": repeated_passages,
     }
 
 
