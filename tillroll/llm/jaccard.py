@@ -40,7 +40,7 @@ COMMON_SHARE, LEAST_COMMON = 2_000, 64
 #: Sets on each side of a tile.
 TILE = 256
 #: Postings a task gathers before it hands them on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: A table of pairs of this many rows (16 bytes each) may be broadcast.
 BROADCAST_ROWS = 300_000
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are worked on at once; the arrays made from them take some fifty times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -37,7 +37,7 @@ def slices(batches, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.Rec
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each text begins (one more entry for the end)."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
