@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, jaccard, repeats, secrets, sharding, toxicity
+from tillroll.llm import bpe, contamination, jaccard, repeats, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -51,6 +51,10 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_read(spark, sf_dir, "documents"))
 
 
+def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def registered() -> dict:
     return {
         "op1_nnpu_toxicity": nnpu_toxicity,
@@ -59,6 +63,7 @@ def registered() -> dict:
         "op5_jaccard_tiles": jaccard_tiles,
         "op7_vector_sharding": vector_sharding,
         "op9_repeated_passages": repeated_passages,
+        "op10_latent_decontamination": latent_decontamination,
     }
 
 
