@@ -46,3 +46,41 @@ def jaccard_components(texts, percent=75):
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             union.join(a, b)
     return {i: (len(s), union.find(i)) for i, s in sets.items()}
+
+
+def grams(line, k=5):
+    return frozenset([line] if len(line) < k else (line[i : i + k] for i in range(len(line) - k + 1)))
+
+
+def line_dedup(texts, similarity=0.8):
+    """{doc_id: text} with one line kept of each component of alike lines, by comparing all lines that share a gram."""
+    places = defaultdict(list)
+    for i in sorted(texts):
+        for n, line in enumerate((texts[i] or "").split("\n")):
+            line = line.removesuffix("\r").strip(" ")
+            if line:
+                places[line].append((i, n))
+    every = list(places)
+    sets = [grams(line) for line in every]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    union = Union()
+    for i, s in enumerate(sets):
+        common = defaultdict(int)
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    common[j] += 1
+        for j, n in common.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n):
+                union.join(i, j)
+    groups = defaultdict(list)
+    for i, line in enumerate(every):
+        groups[union.find(i)] += places[line]
+    gone = {p for held in groups.values() for p in sorted(held)[1:]}
+    return {
+        i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        for i, t in texts.items()
+    }

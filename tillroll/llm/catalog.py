@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contamination, jaccard, repeats, secrets, sharding, toxicity
+from tillroll.llm import bpe, contamination, jaccard, lines, repeats, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,10 @@ def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove(_read(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+
+
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(_read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def registered() -> dict:
         "op4_byte_bpe": byte_bpe,
         "op5_jaccard_tiles": jaccard_tiles,
         "op7_vector_sharding": vector_sharding,
+        "op8_minhash_lines": minhash_lines,
         "op9_repeated_passages": repeated_passages,
         "op10_latent_decontamination": latent_decontamination,
     }
