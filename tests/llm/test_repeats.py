@@ -57,6 +57,8 @@ def test_against_every_window(make_docs, seed):
 def test_large_buckets_are_counted(make_docs, monkeypatch):
     monkeypatch.setattr(repeats, "MEMBERS", 3)
     monkeypatch.setattr(repeats, "TOGETHER", 5)
+    monkeypatch.setattr(repeats, "BOUNDED", 2)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(repeats, "PIECE", 1000)
     texts = corpus(5)
     assert rows_of(repeats.digest(make_docs(texts))) == dict(enumerate(expected(texts)))

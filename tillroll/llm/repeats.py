@@ -6,8 +6,9 @@ A suffix array sorts every suffix; here only suffixes that can repeat are sorted
    anchor (the last of equals), so two equal stretches have the same anchor at the same distance. Anchors with the same
    q-gram form a bucket; a bucket of one anchor has no repeat. Tasks count before they send.
 2. Anchors whose whole surroundings are equal are one class of the bucket; all stretches over them repeat.
-3. Bucket-pointer refinement of what is left. The surroundings of a bucket's classes are aligned at the anchor. Each
-   offset gets the bucket number of its 25 bytes; sorting on this number and the one 25 bytes later gives the bucket
+3. Bucket-pointer refinement of what is left. The surroundings of a bucket's classes are aligned at the anchor. First
+   the blocks of 25 bytes next to the anchor are refined outwards; a class whose equal neighbours on both sides cannot
+   add up to 400 bytes is done. Then each offset that is left gets the bucket number of its 25 bytes; sorting on this number and the one 25 bytes later gives the bucket
    numbers of 50 bytes, and these in turn those of 100, 200 and 400. Offsets alone in their bucket drop out at once.
    Where a bucket of 400 bytes has two members, the stretch repeats.
 
@@ -33,8 +34,10 @@ CHOICES = LENGTH - GRAM + 1
 REACH = CHOICES - 1
 AROUND = REACH + LENGTH
 MEMBERS = 8_000
-#: Classes that are refined together.
-TOGETHER = 2_000
+#: Classes whose reach is bounded together, and classes that are refined together.
+BOUNDED, TOGETHER = 2_000, 4_000
+#: A table of so many document keys may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Bytes whose hashes are held at once.
 PIECE = 1 << 20
 
@@ -92,27 +95,61 @@ def _numbered(key: np.ndarray) -> np.ndarray:
     return np.where(count[number] > 1, number, -1).astype(np.int32)
 
 
-def refine(around: list[bytes], left: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Whether the stretch that begins ``REACH - j`` bytes before the anchor repeats in the bucket: [j, member]."""
-    m, columns = len(around), AROUND - STEP + 1
-    grid = np.zeros((m, AROUND), np.uint8)
-    there = np.zeros((m, AROUND + 1), np.int32)
+def _aligned(around: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The surroundings as rows of a grid with the anchors in one column; where each begins and ends."""
+    grid = np.zeros((len(around), AROUND), np.uint8)
+    first = REACH - left
+    last = first + np.array([len(text) for text in around], np.int64)
     for i, text in enumerate(around):
-        grid[i, REACH - left[i] : REACH - left[i] + len(text)] = np.frombuffer(text, np.uint8)
-        there[i, REACH - left[i] + 1 : REACH - left[i] + len(text) + 1] = 1
-    np.cumsum(there, axis=1, out=there)
-    sums = rolling(grid.ravel())
-    base = np.arange(m) * AROUND
-    own = mixed(bucket.astype(_U))
+        grid[i, first[i] : last[i]] = np.frombuffer(text, np.uint8)
+    return grid, first, last
+
+
+def bounded(grid: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray):
+    """The first and last offset at which a repeated stretch of each member can begin (none if first > last).
+
+    Blocks next to the anchor are refined outwards: a member keeps its number while others share all blocks so far.
+    """
+    m = len(grid)
+    sums, base = rolling(grid.ravel()), np.arange(m) * AROUND
+    ends = []
+    for direction in (-1, 1):
+        number, edge = _numbered(mixed(bucket.astype(_U))), np.full(m, REACH if direction < 0 else LENGTH - STEP)
+        edge += STEP if direction > 0 else 0
+        at = REACH
+        while True:
+            low = at - STEP if direction < 0 else at
+            if low < 0 or low + STEP > AROUND:
+                break
+            alive = np.flatnonzero((number >= 0) & (low >= first) & (low + STEP <= last))
+            fresh = np.full(m, -1, np.int32)
+            if len(alive) > 1:
+                key = span_hash(sums, base[alive] + low, base[alive] + low + STEP)
+                fresh[alive] = _numbered(mixed(key ^ mixed(number[alive].astype(_U))))
+            number = fresh
+            if not (number >= 0).any():
+                break
+            at += direction * STEP
+            edge[number >= 0] = at
+        ends.append(edge)
+    lowest = np.maximum(first, ends[0] - STEP + 1)
+    highest = np.minimum(last, np.maximum(ends[1], REACH) + STEP - 1) - LENGTH
+    return np.maximum(lowest, 0), np.minimum(highest, REACH)
+
+
+def refine(grid: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether the stretch that begins at offset j repeats in the bucket: [j, member]; j is from low to high."""
+    m, columns = len(grid), AROUND - STEP + 1
+    sums, base, own = rolling(grid.ravel()), np.arange(m) * AROUND, mixed(bucket.astype(_U))
     number = np.full((columns, m), -1, np.int32)
     for j in range(columns):
-        whole = np.flatnonzero(there[:, j + STEP] - there[:, j] == STEP)
-        if len(whole) > 1:
-            key = span_hash(sums, base[whole] + j, base[whole] + j + STEP) ^ own[whole]
-            number[j, whole] = _numbered(key)
+        asked = np.flatnonzero((low <= j) & (j <= high + LENGTH - STEP))
+        if len(asked) > 1:
+            number[j, asked] = _numbered(span_hash(sums, base[asked] + j, base[asked] + j + STEP) ^ own[asked])
     size = STEP
     while size < LENGTH:
-        for j in range(columns - size):
+        columns -= size
+        for j in range(columns):
             here, later = number[j], number[j + size]
             both = np.flatnonzero((here >= 0) & (later >= 0))
             fresh = np.full(m, -1, np.int32)
@@ -120,7 +157,6 @@ def refine(around: list[bytes], left: np.ndarray, bucket: np.ndarray) -> np.ndar
                 fresh[both] = _numbered(here[both].astype(np.int64) * (m + 1) + later[both])
             number[j] = fresh
         size *= 2
-        columns -= size // 2
     return number[:CHOICES] >= 0
 
 
@@ -157,9 +193,19 @@ def _anchors(documents: DataFrame) -> DataFrame:
     return documents.select("doc", "text").mapInArrow(run, "bucket long, kind long, doc long, place long")
 
 
+def _only(documents: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The documents with (or, by ``left_anti``, without) one of the keys, before any shuffle if the keys are few."""
+    return documents.join(F.broadcast(keys.select("doc")), "doc", how) if _few(keys) else documents
+
+
+def _few(keys: DataFrame) -> bool:
+    return keys.count() <= BROADCAST_ROWS
+
+
 def _surroundings(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes around each wanted anchor (bucket, kind, doc, place) and how many of them lie before it."""
     asked = wanted.groupBy("doc").agg(F.collect_list(F.struct("bucket", "kind", "place")).alias("asked"))
+    asked = stage(asked, "anchors-asked")
 
     def run(batches):
         for batch in slices(batches, 0):
@@ -179,7 +225,7 @@ def _surroundings(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["bucket", "kind", "before", "around"],
             )
 
-    return documents.join(asked, "doc").select("text", "asked").mapInArrow(
+    return _only(documents, asked).join(asked, "doc").select("text", "asked").mapInArrow(
         run, "bucket long, kind long, before int, around binary"
     )
 
@@ -189,27 +235,39 @@ def _refined(around: DataFrame) -> DataFrame:
     n = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = around.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
-    def out(rows):
-        bucket, kind = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-        repeats = refine([r[3] for r in rows], np.array([r[2] for r in rows]), bucket)
+    def bound(rows):
+        bucket = np.array([r[0] for r in rows], np.int64)
+        grid, first, last = _aligned([r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
+        low, high = bounded(grid, first, last, bucket)
+        kept = np.flatnonzero(low <= high)
+        kind = np.array([r[1] for r in rows], np.int64)
+        return [x[kept] for x in (bucket, kind, grid, low, high)]
+
+    def out(parts):
+        bucket, kind, grid, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+        found = covered(refine(grid, low, high, bucket))
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(kind), pa.array(covered(repeats), pa.binary())],
-            names=["bucket", "kind", "stretches"],
+            [pa.array(bucket), pa.array(kind), pa.array(found, pa.binary())], names=["bucket", "kind", "stretches"]
         )
 
     def run(batches):
-        rows = []
+        rows, parts, held = [], [], 0
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for row in zip(*columns, strict=True):
                 if rows and row[:2] == rows[-1][:2]:
                     continue  # the same class from a repeated document
-                if len(rows) >= TOGETHER and row[0] != rows[-1][0]:
-                    yield out(rows)
+                if len(rows) >= BOUNDED and row[0] != rows[-1][0]:
+                    parts.append(bound(rows))
+                    held += len(parts[-1][0])
                     rows = []
+                    if held >= TOGETHER:
+                        yield out(parts)
+                        parts, held = [], 0
                 rows.append(row)
         if rows:
-            yield out(rows)
+            parts.append(bound(rows))
+            yield out(parts)
 
     return dealt.mapInArrow(run, "bucket long, kind long, stretches binary")
 
@@ -258,23 +316,22 @@ def _counted(around: DataFrame) -> DataFrame:
 def repeated_stretches(documents: DataFrame) -> DataFrame:
     """doc and the repeated stretches of its text: pairs (from, to) of byte places, in no order, not merged."""
     found = stage(_anchors(documents), "anchors")
-    buckets = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    shared = stage(found.join(buckets, "bucket"), "anchors-shared")
-    kinds = shared.groupBy("bucket", "kind").agg(
+    kinds = found.groupBy("bucket", "kind").agg(
         F.count("*").alias("n"), F.min("doc").alias("doc"), F.expr("min_by(place, doc)").alias("place")
     )
-    kinds = stage(kinds, "anchor-classes")
-    several = kinds.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1")
-    unequal = kinds.join(several, "bucket")
+    buckets = kinds.groupBy("bucket").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).filter("total > 1")
+    kinds = stage(kinds.join(buckets, "bucket"), "anchor-classes")
+    unequal = kinds.filter("classes > 1")
     around = lambda df: _surroundings(documents, df.select("bucket", "kind", "doc", "place"))
     parts = _refined(around(unequal.filter(F.col("classes") <= MEMBERS)))
-    if not several.filter(F.col("classes") > MEMBERS).isEmpty():
-        parts = parts.union(_counted(around(unequal.filter(F.col("classes") > MEMBERS))))
+    large = unequal.filter(F.col("classes") > MEMBERS)
+    if not large.isEmpty():
+        parts = parts.union(_counted(around(large)))
     ends = np.array([-REACH, LENGTH], np.int32).tobytes()
     whole = kinds.filter("n > 1").select("bucket", "kind", F.lit(ends).alias("stretches"))
     alone = kinds.filter("n = 1").select("bucket", "kind")
-    parts = parts.filter("length(stretches) > 0").join(alone, ["bucket", "kind"])
-    marked = shared.join(whole.union(parts), ["bucket", "kind"])
+    parts = parts.filter("length(stretches) > 0").join(alone, ["bucket", "kind"], "left_semi")
+    marked = found.join(whole.union(parts), ["bucket", "kind"])
     return marked.groupBy("doc").agg(F.collect_list(F.struct("place", "stretches")).alias("found"))
 
 
@@ -294,7 +351,7 @@ def merged(found, size: int) -> list[tuple[int, int]]:
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the removed ``runs`` (byte places) and the ``kept`` bytes of every document."""
     documents = _documents(docs)
-    found = repeated_stretches(documents)
+    found = stage(repeated_stretches(documents), "stretches-found")
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -314,7 +371,13 @@ def remove(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "runs", "kept"],
             )
 
-    joined = documents.join(found, "doc", "left").select("doc_id", "text", "found")
+    columns = ["doc_id", "text", "found"]
+    if _few(found):
+        joined = _only(documents, found).join(found, "doc").select(*columns)
+        clean = _only(documents, found, "left_anti").withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+        joined = joined.union(clean.select(*columns))
+    else:
+        joined = documents.join(found, "doc", "left").select(*columns)
     return joined.mapInArrow(run, "doc_id long, n_bytes long, runs array<struct<start:long,end:long>>, kept binary")
 
 
