@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contamination, jaccard, lines, repeats, secrets, sharding, toxicity
+from tillroll.llm import bpe, contamination, hilbert, jaccard, lines, repeats, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,10 @@ def jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
 
+def hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(_read(spark, sf_dir, "embeddings"))
+
+
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -65,6 +69,7 @@ def registered() -> dict:
         "op2_secret_network": secret_network,
         "op4_byte_bpe": byte_bpe,
         "op5_jaccard_tiles": jaccard_tiles,
+        "op6_hilbert_neighbours": hilbert_neighbours,
         "op7_vector_sharding": vector_sharding,
         "op8_minhash_lines": minhash_lines,
         "op9_repeated_passages": repeated_passages,
@@ -72,5 +77,25 @@ def registered() -> dict:
     }
 
 
+_NEIGHBOURS = """
+with held as (
+    select distinct vec_id, embedding::double[] as e from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, x -> x <> 0)) > 0
+), width as (
+    select len(e) as n from held group by 1 order by count(*) desc, 1 limit 1
+), v as (
+    select vec_id, e from held where len(e) = (select n from width)
+), d as (
+    select q.vec_id as query_id, p.vec_id, list_distance(q.e, p.e) as score
+    from v q join v p on p.vec_id <> q.vec_id where q.vec_id % 100 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank, vec_id,
+       round(score, 9) as score
+from d qualify rank <= 10
+"""
+
+
 def statements() -> dict[str, str]:
     return {}
