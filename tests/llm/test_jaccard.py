@@ -68,7 +68,8 @@ def test_bitmaps_bound_the_overlap():
     for _ in range(200):
         pool = rng.integers(0, 1 << 62, 400).astype(np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        bits = [np.frombuffer(jaccard.bitmaps(x, np.array([0, len(x)]))[0], np.uint8) for x in (a, b)]
+        times = int(rng.choice([1, 8]))
+        bits = [np.frombuffer(jaccard.bitmaps(x, np.array([0, len(x)]), times)[0], np.uint8) for x in (a, b)]
         width = min(map(len, bits))
         differ = int(np.bitwise_count(jaccard.folded(bits[0], width) ^ jaccard.folded(bits[1], width)).sum())
         assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - differ) // 2

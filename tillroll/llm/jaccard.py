@@ -11,8 +11,9 @@ A document's set holds its distinct word shingles (64-bit hashes). Two sets link
    components, so that large groups of near copies are not compared pair by pair.
 4. Remaining links run between components. Shingles are ordered with the very common ones last; sets with a common
    prefix shingle meet in tiles: sorted by size, cut into blocks, and only blocks whose sizes can reach the similarity
-   meet. In a tile, the bits in which two parity bitmaps differ bound the overlap from above; pairs that pass are
-   verified exactly.
+   meet. In a tile, the bits in which two parity bitmaps differ bound the overlap from above; pairs that pass meet
+   wider bitmaps, then the exact intersection of their arrays: first each set's most promising pair, then those that
+   still lie in different components.
 
 What the driver gets is bounded: the very common shingles (at most ``COMMON_SHARE`` times a mean set size).
 A null text or one without words has an empty set and links with nothing. Rows without a doc_id take no part; rows
@@ -31,8 +32,8 @@ from tillroll.llm.components import components
 from tillroll.llm.text import mixed, packed, shingle_sets, slices, unpacked
 
 PERCENT = 75
-#: Shingles of a set that must be shared in the first filter, as a part of its size.
-SHARED_PART = 20
+#: Shingles of a set that must be shared in the first filter: one in so many.
+SHARED_PART = 5
 #: Smallest shingles by which a set finds its leader.
 LEADER_KEYS = 16
 #: A shingle is very common if more than one in so many of the remaining sets has it, and LEAST_COMMON at least.
@@ -78,11 +79,11 @@ def heads(bounds: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bounds[:-1][owner] + np.arange(len(owner)) - first[owner], owner
 
 
-def bitmaps(shingle: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity bitmaps as wide as the power of two at or above the size (64 bits at least), by the lowest hash bits."""
+def bitmaps(shingle: np.ndarray, bounds: np.ndarray, times: int = 1) -> list[bytes]:
+    """Parity bitmaps by the lowest hash bits, ``times`` as wide as the power of two at or above the size (and 64)."""
     found = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        width = max(64, 1 << int(b - a - 1).bit_length()) if b > a else 64
+        width = times * max(64, 1 << int(b - a - 1).bit_length()) if b > a else 64
         odd = np.bincount((shingle[a:b] & _U(width - 1)).astype(np.int64), minlength=width) & 1
         found.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return found
@@ -279,6 +280,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
+def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that wide bitmaps let pass, with the similarity they allow at most."""
+    pairs = stage(pairs, "bounded-pairs")
+    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+    met = side("b").join(small(side("a").join(small(pairs), "a")), "b").select("a", "b", "na", "nb", "wa", "wb")
+
+    def run(batches):
+        for batch in batches:
+            size, held, found = [batch.column(i).to_numpy() for i in (2, 3)], [], []
+            bits = [[np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()] for i in (4, 5)]
+            for i, (x, y) in enumerate(zip(*bits, strict=True)):
+                width = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
+                a, b = int(size[0][i]), int(size[1][i])
+                most = min(a, b, (a + b - differ) // 2)
+                if linked(most, a, b):
+                    held.append(i)
+                    found.append(most / (a + b - most))
+            kept = batch.select(["a", "b"]).take(pa.array(held, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(found, pa.float64())], names=["a", "b", "similarity"]
+            )
+
+    return met.mapInArrow(run, "a long, b long, similarity double")
+
+
 def _leaders(sets: DataFrame) -> DataFrame:
     """Each set with the set that is the smallest holder of most of its first shingles."""
 
@@ -435,17 +463,27 @@ def _candidates(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     met = met.repartition(n, "tile").sortWithinPartitions("tile", "side")
 
     def compare(rows):
-        sides = [[r for r in rows if r[1] in (s, 2)] for s in (0, 1)]
-        found = []
-        width = min(len(r[5]) for r in rows)
-        parts = [np.array([folded(np.frombuffer(r[5], np.uint8), width) for r in side]) for side in sides]
+        sides = [sorted((r for r in rows if r[1] in (s, 2)), key=lambda r: r[4]) for s in (0, 1)]
         meta = [np.array([r[2:5] for r in side], np.int64).reshape(-1, 3) for side in sides]
-        for i in range(len(sides[0])):
-            differ = np.bitwise_count(parts[1] ^ parts[0][i]).sum(axis=1, dtype=np.int64)
-            a, b = meta[0][i, 2], meta[1][:, 2]
-            bound = (a + b - differ) // 2
-            ok = (meta[0][i, 1] != meta[1][:, 1]) & linked(np.minimum(bound, np.minimum(a, b)), a, b)
-            found += [(meta[0][i, 0], x) for x in meta[1][ok, 0]]
+        bits = [[np.frombuffer(r[5], np.uint8) for r in side] for side in sides]
+        at_width: dict[int, np.ndarray] = {}  # the later side folded to a width, from the first set that is as wide
+        found = []
+        for i, own in enumerate(bits[0]):
+            sid, root, size = meta[0][i]
+            low = np.searchsorted(meta[1][:, 2], least_overlap(size))
+            high = np.searchsorted(meta[1][:, 2], 100 * size // PERCENT, "right")
+            if low >= high:
+                continue
+            width = min(len(own), len(bits[1][low]))
+            if width not in at_width:
+                at_width[width] = np.array(
+                    [folded(x, width) if len(x) >= width else np.zeros(width, np.uint8) for x in bits[1]]
+                )
+            differ = np.bitwise_count(at_width[width][low:high] ^ folded(own, width)).sum(axis=1, dtype=np.int64)
+            other = meta[1][low:high, 2]
+            most = np.minimum((size + other - differ) // 2, np.minimum(size, other))
+            ok = (meta[1][low:high, 1] != root) & linked(most, size, other)
+            found += [(sid, x) for x in meta[1][low:high, 0][ok]]
         return found
 
     def bound(batches):
@@ -494,23 +532,32 @@ def join(docs: DataFrame) -> DataFrame:
             size = bounds[1:] - bounds[:-1]
             found = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), packed(shingle, bounds),
-                 pa.array(bitmaps(shingle, bounds), pa.binary())],
-                names=["sid", "size", "elements", "bits"],
+                 pa.array(bitmaps(shingle, bounds), pa.binary()), pa.array(bitmaps(shingle, bounds, 8), pa.binary())],
+                names=["sid", "size", "elements", "bits", "wide"],
             )
             # an id that several rows share may name another row's text
             yield found.filter(pa.array(fingerprints(shingle, bounds).view(np.int64) == batch.column(0).to_numpy()))
 
     whole = docs.select("doc_id", "text").join(small(kept), F.col("doc_id") == F.col("rep")).select("sid", "text")
-    sets = stage(whole.mapInArrow(gather, "sid long, size long, elements binary, bits binary"), "sets")
-    stars = stage(verified(_leaders(sets), sets), "set-links")
-    first = components(stars)
-    rooted = stage(
-        sets.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")),
-        "sets-rooted",
-    )
+    sets = stage(whole.mapInArrow(gather, "sid long, size long, elements binary, bits binary, wide binary"), "sets")
+    links = stage(verified(promising(_leaders(sets), sets).select("a", "b"), sets), "set-links")
+
+    def rooted(links):
+        found = stage(components(links).withColumnRenamed("node", "sid"), "set-roots")
+        return small(found) if found.count() <= BROADCAST_ROWS else found
+
+    def with_root(df, found, name="sid", root="root"):
+        named = found.withColumnsRenamed({"sid": name, "root": root})
+        return df.join(named, name, "left").withColumn(root, F.coalesce(root, name))
+
+    grouped = with_root(sets, rooted(links))
     common = _common_shingles(sets, max(LEAST_COMMON, n_kept // COMMON_SHARE))
-    more = verified(_candidates(_between(rooted, common), rooted), sets)
-    root = components(stars.union(more))
+    pairs = stage(promising(_candidates(_between(grouped, common), grouped), sets), "set-candidates")
+    best = pairs.groupBy("a").agg(F.max_by("b", "similarity").alias("b"))
+    links = stage(links.union(verified(best, sets)), "set-links")
+    found = rooted(links)
+    apart = with_root(with_root(pairs, found, "a", "root_a"), found, "b", "root_b").filter("root_a <> root_b")
+    root = components(links.union(verified(apart.select("a", "b"), sets)))
     rep = classes.join(root.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = rep.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = rep.join(smallest, "root").select("sid", "component_id")
