@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contamination, hilbert, jaccard, lines, repeats, secrets, sharding, toxicity
+from tillroll.llm import bpe, contamination, hilbert, jaccard, lines, pages, repeats, secrets, sharding, toxicity
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.digest(_read(spark, sf_dir, "pages"))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS))
 
@@ -67,6 +71,7 @@ def registered() -> dict:
     return {
         "op1_nnpu_toxicity": nnpu_toxicity,
         "op2_secret_network": secret_network,
+        "op3_page_differencing": page_text,
         "op4_byte_bpe": byte_bpe,
         "op5_jaccard_tiles": jaccard_tiles,
         "op6_hilbert_neighbours": hilbert_neighbours,
