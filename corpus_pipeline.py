@@ -1,12 +1,45 @@
-"""The corpus pipeline: filters and deduplicates documents, then tokenises what is left."""
+"""The corpus pipeline: toxic documents go, repeated lines go, one document of each group of near copies stays,
+documents with benchmark items go, and the rest is tokenised.
+
+Each stage works on all that its predecessor kept. All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
-from tillroll.llm import bpe, catalog
+from tillroll.llm import bpe, catalog, contamination, jaccard, lines, toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Positive-unlabelled toxicity: documents with a score of 0.5 or more go."""
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, name="__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fuzzy line dedup: of each component of alike lines one stays. Documents stay, if need be with an empty text."""
+    changed = lines.remove(docs)
+    return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document with the smallest id of each group stays."""
+    groups = stage(jaccard.join(docs), "pipeline-groups")
+    copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stage(copies, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Latent semantic retrieval: documents that hold a benchmark item go."""
+    return contamination.remove(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +47,21 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, public_tokenizers.path(catalog.BPE_RANKS))
 
 
-STAGES = [("byte_bpe", tokens)]
+STAGES = [
+    ("toxicity", toxic),
+    ("line_dedup", repeated_lines),
+    ("jaccard_join", near_copies),
+    ("decontamination", benchmark_items),
+    ("byte_bpe", tokens),
+]
 
-#: Several stages have no SQL form; tests/llm holds the whole run against brute force instead.
+#: No stage but the last has a SQL form that ends; tests/llm holds each stage against a plain form instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
