@@ -7,8 +7,9 @@ A document's set holds its distinct word shingles (64-bit hashes). Two sets link
 2. With every set in hash order, two linked sets share at least ``need`` shingles among their first ones (prefix
    filter for more than one common element). Prefix shingles are dealt by hash, counted per task first, and a set
    stays only if enough of its prefix occurs in other sets. Most sets of a corpus end here.
-3. Each remaining set is compared with one leader that shares its smallest shingles. Verified links give first
-   components, so that large groups of near copies are not compared pair by pair.
+3. Each remaining set is compared with one leader that shares its smallest shingles: the set with the largest part of
+   its prefix in other sets, which is the least edited of a family. Verified links give first components, so that large
+   groups of near copies are not compared pair by pair.
 4. Remaining links run between components. Shingles are ordered with the very common ones last; sets with a common
    prefix shingle meet in tiles: sorted by size, cut into blocks, and only blocks whose sizes can reach the similarity
    meet. In a tile, the bits in which two parity bitmaps differ bound the overlap from above; pairs that pass meet
@@ -308,20 +309,21 @@ def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
-    """Each set with the set that is the smallest holder of most of its first shingles."""
+    """Each set with the set that is the best holder of most of its first shingles."""
 
     def keys(batches):
         for batch in batches:
-            shingle, bounds = unpacked(batch.column(1), _U)
+            shingle, bounds = unpacked(batch.column(2), _U)
             at, owner = heads(bounds, np.minimum(bounds[1:] - bounds[:-1], LEADER_KEYS))
-            sid = batch.column(0).to_numpy()[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[at].view(np.int64)), pa.array(sid, pa.int64())], names=["key", "sid"]
+                [pa.array(shingle[at].view(np.int64)), *(batch.column(i).take(pa.array(owner)) for i in (0, 1))],
+                names=["key", "sid", "alone"],
             )
 
-    key = stage(sets.select("sid", "elements").mapInArrow(keys, "key long, sid long"), "leader-keys")
-    least = key.groupBy("key").agg(F.min("sid").alias("leader"))
-    both = key.join(least, "key").filter("leader < sid").groupBy("sid", "leader").agg(F.count("*").alias("n"))
+    own = sets.select("sid", "alone", "elements")
+    key = stage(own.mapInArrow(keys, "key long, sid long, alone double"), "leader-keys")
+    least = key.groupBy("key").agg(F.min(F.struct("alone", "sid"))["sid"].alias("leader"))
+    both = key.join(least, "key").filter("leader <> sid").groupBy("sid", "leader").agg(F.count("*").alias("n"))
     best = both.groupBy("sid").agg(F.max("n").alias("n"))
     return (
         both.join(best, ["sid", "n"])
@@ -487,21 +489,27 @@ def _candidates(tiles: DataFrame, sets: DataFrame) -> DataFrame:
         return found
 
     def bound(batches):
+        """A pair that several tiles of a task propose leaves it once (or once per ``GATHERED`` pairs)."""
+
         def out(found):
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            pairs.sort(axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
+            pairs = np.array(list(found), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (0, 1)], names=["a", "b"])
 
-        rows = []
+        rows, found = [], set()
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for row in zip(*columns, strict=True):
                 if rows and rows[0][0] != row[0]:
-                    yield out(compare(rows))
+                    found.update((max(pair), min(pair)) for pair in compare(rows))
                     rows = []
+                    if len(found) > GATHERED:
+                        yield out(found)
+                        found = set()
                 rows.append(row)
         if rows:
-            yield out(compare(rows))
+            found.update((max(pair), min(pair)) for pair in compare(rows))
+        if found:
+            yield out(found)
 
     return met.mapInArrow(bound, "a long, b long").distinct()
 
@@ -520,26 +528,27 @@ def join(docs: DataFrame) -> DataFrame:
     size = F.col("n_shingles")
     least = F.floor((PERCENT * size + 99) / 100)
     kept = classes.withColumn("short", F.shiftrightunsigned("sid", 32)).join(shared, "short")
-    kept = stage(
-        kept.filter(F.col("shared") >= F.floor((least + SHARED_PART - 1) / SHARED_PART)).select("sid", "rep"), "set-kept"
-    )
+    kept = kept.filter(F.col("shared") >= F.floor((least + SHARED_PART - 1) / SHARED_PART))
+    alone = F.greatest(F.lit(0.0), 1 - F.col("shared") / size).alias("alone")
+    kept = stage(kept.select("sid", "rep", alone), "set-kept")
     n_kept = kept.count()
     small = F.broadcast if n_kept <= BROADCAST_ROWS else lambda df: df
 
     def gather(batches):
-        for batch in slices(batches, 1):
-            shingle, bounds = shingle_sets(batch.column(1))
+        for batch in slices(batches, 2):
+            shingle, bounds = shingle_sets(batch.column(2))
             size = bounds[1:] - bounds[:-1]
             found = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), packed(shingle, bounds),
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), packed(shingle, bounds),
                  pa.array(bitmaps(shingle, bounds), pa.binary()), pa.array(bitmaps(shingle, bounds, 8), pa.binary())],
-                names=["sid", "size", "elements", "bits", "wide"],
+                names=["sid", "alone", "size", "elements", "bits", "wide"],
             )
             # an id that several rows share may name another row's text
             yield found.filter(pa.array(fingerprints(shingle, bounds).view(np.int64) == batch.column(0).to_numpy()))
 
-    whole = docs.select("doc_id", "text").join(small(kept), F.col("doc_id") == F.col("rep")).select("sid", "text")
-    sets = stage(whole.mapInArrow(gather, "sid long, size long, elements binary, bits binary, wide binary"), "sets")
+    whole = docs.select("doc_id", "text").join(small(kept), F.col("doc_id") == F.col("rep")).select("sid", "alone", "text")
+    shape = "sid long, alone double, size long, elements binary, bits binary, wide binary"
+    sets = stage(whole.mapInArrow(gather, shape), "sets")
     links = stage(verified(promising(_leaders(sets), sets).select("a", "b"), sets), "set-links")
 
     def rooted(links):
