@@ -2,6 +2,7 @@ import datetime
 import decimal
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -23,6 +24,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="tillroll-tests-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
@@ -89,4 +91,4 @@ def sales_view(tables):
 
 @pytest.fixture(scope="session")
 def receipts(sales_view):
-    return views.receipts(sales_view).cache()
+    return views.invoice_receipts(sales_view).stored(lambda rows: rows.cache())

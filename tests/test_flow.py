@@ -1,5 +1,6 @@
 """The whole flow on the hand-written lines, and where its stages are kept."""
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -18,6 +19,8 @@ def test_flow(spark, raw):
         sheet = headed.filter(f"source_period = '{label}'").drop("source_period")
         sheet.write.options(**readers.CSV_OPTIONS).csv(sheets[label])
     folder = new_path(spark, "flow")
+    stages = f"{shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(stages))
     out = run_flow(spark, sheets, folder, fmt="csv", view_prefix="flow_")
     assert {r["table_name"]: r["rows_count"] for r in out["table_counts"].collect()} == {
         "customers": 4, "products": 7, "orders": 11, "order_items": 15
@@ -27,6 +30,9 @@ def test_flow(spark, raw):
     assert spark.read.option("header", True).csv(f"{folder}/summaries/country_summary").count() == 3
     total = spark.sql("select sum(revenue) from flow_v_monthly_metrics").first()[0]
     assert float(total) == 1110.5
+    left = set(os.listdir(stages)) - before
+    assert left == {os.path.basename(folder)}, "only what the flow publishes is left"
+    assert set(os.listdir(folder)) == {"raw", "clean", "tables", "summaries"}
 
 
 def session(master, folder=None):
@@ -40,4 +46,6 @@ def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("yarn"))
     assert shared_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
-    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.warns(UserWarning, match="spark.checkpoint.dir is not set"):
+        first = shared_folder(session("local[2]"))
+    assert shared_folder(session("local[2]")) == first

@@ -22,7 +22,7 @@ def test_clean_counts(raw, clean):
     assert raw.count() == 16
     assert clean.count() == 15
     assert cleaning.clean_lines(raw, ignore=["source_period"]).count() == 14
-    assert dict(rows(cleaning.cleaning_report(raw, clean))) == {
+    assert dict(rows(cleaning.cleaning_report(raw, clean, ignoring_source=True))) == {
         "raw_rows": 16, "clean_rows": 15, "sales_rows": 11, "customer_sales_rows": 9, "duplicates_removed": 1,
         "cancelled_rows": 1, "negative_quantity_rows": 2, "service_rows": 2, "duplicates_ignoring_source": 2,
     }
@@ -118,12 +118,44 @@ def test_consistency(clean):
 
 def test_core_metrics(sales_view, receipts):
     expected = [(11, 8, 4, 4, Decimal("1110.50"), Decimal("138.81"))]
-    assert rows(sales.core_metrics(sales_view, receipts, single=True)) == expected
     assert rows(sales.core_metrics(sales_view, receipts)) == expected
+    assert rows(sales.core_metrics(sales_view, receipts)) == expected
+
+
+def test_receipts_of_lines_do_not_pass_for_invoices(clean, sales_view):
+    lines = cleaning.filter_sales(clean)
+    with pytest.raises(ValueError, match="v_sales"):
+        views.invoice_receipts(lines)
+    assert not views.receipts(lines).by_invoice and views.invoice_receipts(sales_view).by_invoice
+
+
+def test_lines_without_a_key_are_orphans(tables):
+    items = tables["order_items"].withColumns(
+        {name: F.when(F.col("order_item_id") > 1, F.col(name)) for name in ("invoice", "stock_code")}
+    )
+    assert rows(checks.check_fk_items_orders(items, tables["orders"])) == [(1,)]
+    assert rows(checks.check_fk_items_products(items, tables["products"])) == [(1,)]
+    assert rows(checks.check_fk_orders_customers(tables["orders"], tables["customers"])) == [(0,)]
+
+
+def test_unlisted_label_fails(raw):
+    with pytest.raises(Exception, match="unlisted value"):
+        cleaning.drop_exact_duplicates(raw, ignore=["source_period"], values={"source_period": ["P1"]}).collect()
+
+
+def test_retention_matrix_holds_every_month(receipts):
+    activity = customers.cohort_activity(receipts)
+    matrix = customers.retention_matrix(activity)
+    cells = {
+        (row["cohort_month"], int(name.removeprefix("month_")))
+        for row in matrix.collect() for name in matrix.columns[1:] if row[name] is not None
+    }
+    assert cells == {tuple(r) for r in customers.cohort_sizes(activity).select("cohort_month", "month_number").collect()}
+    assert customers.retention_matrix(activity.limit(0)).count() == 0
 
 
 def test_months(receipts):
-    monthly = sales.monthly_metrics(receipts, single=True)
+    monthly = sales.monthly_metrics(receipts)
     assert [(r["month"], r["invoices"], r["customers"], r["revenue"]) for r in monthly.collect()] == [
         (month("2010-01"), 1, 1, Decimal("7.00")), (month("2010-02"), 2, 2, Decimal("36.50")),
         (month("2010-03"), 4, 2, Decimal("67.00")), (month("2011-01"), 1, 1, Decimal("1000.00")),
@@ -151,7 +183,7 @@ def test_best_month_takes_the_first_of_a_tie(receipts):
 
 
 def test_countries(receipts):
-    summary = sales.country_summary(receipts, single=True)
+    summary = sales.country_summary(receipts)
     assert [(r["country"], r["revenue"], r["invoices"]) for r in summary.collect()] == [
         ("EIRE", Decimal("1040.00"), 2), ("France", Decimal("43.50"), 4), ("United Kingdom", Decimal("27.00"), 2)
     ]
@@ -174,7 +206,7 @@ def test_products(sales_view, tables):
 
 
 def test_activity(clean, receipts):
-    assert dict(rows(sales.hour_activity(receipts, single=True))) == {8: 1, 9: 1, 11: 1, 12: 3, 15: 2}
+    assert dict(rows(sales.hour_activity(receipts))) == {8: 1, 9: 1, 11: 1, 12: 3, 15: 2}
     lines = views.receipts(cleaning.filter_sales(clean))
     assert dict(rows(sales.hour_activity(lines, unit="invoice_ts", by_hour=True)))[9] == 2
     assert dict(rows(sales.hour_activity(lines)))[9] == 1
@@ -187,7 +219,7 @@ def test_activity(clean, receipts):
 
 
 def test_known_and_unknown(receipts):
-    assert rows(sales.known_unknown_revenue(receipts, single=True)) == [
+    assert rows(sales.known_unknown_revenue(receipts)) == [
         ("known customer", 7, Decimal("1090.50"), Decimal("98.20")),
         ("unknown customer", 1, Decimal("20.00"), Decimal("1.80")),
     ]

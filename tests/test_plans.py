@@ -39,10 +39,10 @@ def test_sales_view_joins_by_key(ws):
 
 def test_invoice_metrics_need_no_expand(ws):
     for frame in (
-        views.v_monthly_metrics(ws.receipts, single=True),
-        sales.country_summary(ws.receipts, single=True),
-        sales.core_metrics(ws.sales, ws.receipts, single=True),
-        customers.rfm_customer(ws.receipts, single=True),
+        views.v_monthly_metrics(ws.receipts),
+        sales.country_summary(ws.receipts),
+        sales.core_metrics(ws.sales, ws.receipts),
+        customers.rfm_customer(ws.receipts),
         profiling.profile_main_info(ws.raw),
         profiling.distinct_counts(ws.raw),
     ):
@@ -51,7 +51,7 @@ def test_invoice_metrics_need_no_expand(ws):
 
 def test_row_level_steps_have_no_single_partition_window(ws):
     for frame in (
-        entities.dim_products(ws.clean), entities.fact_orders(ws.clean), views.receipts(ws.sales),
+        entities.dim_products(ws.clean), entities.fact_orders(ws.clean), views.receipts(ws.sales).rows,
         customers.cohort_activity(ws.receipts), cleaning.drop_exact_duplicates(ws.raw),
         profiling.duplicate_rows(ws.raw, None), checks.check_fk_items_orders(ws.order_items, ws.orders),
     ):
@@ -65,6 +65,26 @@ def test_duplicates_are_folded_before_the_shuffle(ws):
     assert text.count("HashAggregate") == 2 and text.count("Exchange") == 1
 
 
+def operators(frame):
+    """Names of the physical operators from the scan upwards, along the longest branch."""
+    lines = [line for line in plan(frame).split("\n") if re.search(r"[A-Za-z]", line) and "AdaptiveSparkPlan" not in line]
+    return [re.sub(r"^[\s:+*()\d-]*", "", line).split(" ")[0] for line in lines][::-1]
+
+
+def test_no_sort_below_the_first_aggregate(ws):
+    sources = {"source_period": ["P1", "P2"]}
+    for frame in (
+        entities.fact_orders(ws.clean),
+        cleaning.drop_exact_duplicates(ws.raw, ignore=["source_period"], values=sources),
+        customers.cohort_activity(ws.receipts),
+    ):
+        names = operators(frame)
+        first = next(i for i, name in enumerate(names) if "Aggregate" in name)
+        assert names[first].startswith("HashAggregate") and "Sort" not in names[:first], names
+    assert "Aggregate" not in plan(views.v_invoice_summary(ws.receipts))
+    assert "SortAggregate" not in plan(cleaning.drop_exact_duplicates(ws.raw, ignore=["source_period"], values=sources))
+
+
 def test_no_python_in_the_plans(ws):
-    for frame in (ws.line_receipts, customers.rfm_segments(customers.rfm_scores(ws.rfm))):
+    for frame in (ws.line_receipts.rows, customers.rfm_segments(customers.rfm_scores(ws.rfm))):
         assert "Python" not in plan(frame) and "Pandas" not in plan(frame)

@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tillroll.functions.ranking import dense_sequence, exact_quantiles, quantile_name, quantiles_wide
+from tillroll.functions.ranking import _PARTS, dense_sequence, exact_quantiles, quantile_name, quantiles_wide
 from tillroll.operators.profiling import describe_numeric
 
 PROBABILITIES = (0.0, 0.25, 0.5, 0.9, 0.999, 1.0)
@@ -41,6 +41,19 @@ def test_quantiles_of_close_doubles(spark):
     assert [found[p] for p in PROBABILITIES] == pytest.approx(list(np.quantile(values, PROBABILITIES)), rel=1e-14)
 
 
+def test_close_doubles_are_sorted_in_many_parts(spark):
+    """200,000 values within one logarithmic bucket: no sorted part holds more than a small share of them."""
+    values = [1.7e9 + i / 1000 for i in range(200_000)]
+    df = spark.range(0, 200_000, 1, 8).select((F.lit(1.7e9) + F.col("id") / 1000).alias("x"))
+    found = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], PROBABILITIES).collect()}
+    assert [found[p] for p in PROBABILITIES] == pytest.approx(list(np.quantile(values, PROBABILITIES)), rel=1e-15)
+    text = exact_quantiles(df, ["x"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in text and "part#" in text
+    low, high = min(values), max(values)
+    part = F.floor((F.col("x") - low) / (high - low) * _PARTS)
+    assert df.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0] <= 200_000 / 500
+
+
 def test_weighted_quantiles(spark):
     df = spark.createDataFrame([(1, 5), (2, 1), (9, 4)], "x int, n long")
     found = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], [0.5, 0.55, 0.7], weight="n").collect()}

@@ -1,6 +1,7 @@
 """Files written and read back, with the values that break careless CSV."""
 
 import datetime
+import os
 from decimal import Decimal
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.errors import PySparkException
 from tillroll.functions.columns import ENTITY_SCHEMAS, LOAD_ORDER, SOURCE_HEADERS, SOURCE_SCHEMA
 from tillroll.functions.staging import new_path, shared_folder, stage
 from tillroll.operators import checks, views
-from tillroll.plans.workspace import workspace
+from tillroll.plans.workspace import Workspace, workspace
 from tillroll.sources import readers, writers
 
 AT = datetime.datetime(2010, 1, 5, 9, 0)
@@ -51,6 +52,14 @@ def test_line_breaks_inside_text(spark):
     assert same(readers.scan_typed_csv(spark, path, SOURCE_SCHEMA, multi_line=True), sheet)
 
 
+def test_union_of_sheets_with_line_breaks(spark):
+    odd = [ODD[0][:2] + ('two\nlines, a "quote"',) + ODD[0][3:], ODD[1][:2] + ("",) + ODD[1][3:]]
+    sheet = spark.createDataFrame(odd, SOURCE_SCHEMA)
+    paths = writers.sink_csv({"a": sheet, "b": sheet}, new_path(spark, "sheets"))
+    lines = readers.scan_labelled_union(spark, paths, SOURCE_SCHEMA, fmt="csv", multi_line=True)
+    assert same(lines.filter("source_period = 'b'").drop("source_period"), sheet)
+
+
 def test_wrong_header_and_wrong_value_fail(spark):
     path = new_path(spark, "bad")
     spark.createDataFrame([("x", "text")], "invoice string, qty string").write.options(**readers.CSV_OPTIONS).csv(path)
@@ -122,6 +131,25 @@ def test_workspace_is_shared_and_made_once(spark, sf_dir):
     assert first.receipts is second.receipts
 
 
+def test_published_catalog(spark, tables):
+    names = writers.publish_catalog(tables, "tillroll_test", new_path(spark, "catalog"))
+    assert {n.split(".")[1]: spark.table(n).count() for n in names} == {
+        "customers": 4, "products": 7, "orders": 11, "order_items": 15, "v_sales": 11, "v_customer_sales": 10,
+        "v_invoice_summary": 8, "v_monthly_metrics": 4,
+    }
+    spark.sql("drop schema tillroll_test cascade")
+
+
+def test_a_workspace_can_be_dropped(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    path = ws.raw.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    ws.drop()
+    assert not os.path.exists(path)
+    assert ws.raw.count() > 0
+    ws.drop()
+
+
 def test_statistics_of_a_catalog_table(spark, clean):
     clean.write.option("path", new_path(spark, "catalog")).saveAsTable("tillroll_lines")
     writers.analyze_table(spark, "tillroll_lines")

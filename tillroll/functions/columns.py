@@ -69,6 +69,7 @@ SOURCE_SCHEMA = T.StructType(
     [T.StructField(header, RAW_TYPES[name]) for header, name in SOURCE_HEADERS.items()]
 )
 
+# Columns, types and required fields of the entities.
 ENTITY_SCHEMAS = {
     "customers": T.StructType([T.StructField("customer_id", T.IntegerType(), False)]),
     "products": T.StructType(
@@ -95,7 +96,7 @@ ENTITY_SCHEMAS = {
     ),
 }
 
-# Parents before children, the order in which foreign keys can be satisfied.
+# Fixed value: parents before children, the order in which foreign keys can be satisfied.
 LOAD_ORDER = ("customers", "products", "orders", "order_items")
 
 PRIMARY_KEYS = {

@@ -12,8 +12,9 @@ from tillroll.functions.staging import stage
 # monotonically_increasing_id keeps the partition above bit 33 and the row below it.
 _ROW_BITS = 33
 
-# Buckets per doubling of a value's size in exact_quantiles.
+# Buckets per doubling of a value's size in exact_quantiles, and parts of a bucket that is sorted.
 _BUCKETS_PER_OCTAVE = 512
+_PARTS = 1024
 
 
 def range_partition(df: DataFrame, order_by: Sequence[Column | str], partitions: int | None = None) -> DataFrame:
@@ -62,10 +63,10 @@ def exact_quantiles(
 
     A first pass counts rows per logarithmic bucket, which leaves a bounded table whose running
     totals tell the bucket of each wanted rank. A second pass keeps the rows of those buckets
-    alone, counts equal values (a hot value folds before the shuffle) and sorts within the
-    bucket. No task sees a whole column, unlike the built-in ``percentile``, which keeps all
-    distinct values of a group in one buffer. Only the buckets of the wanted ranks are
-    broadcast, at most two per column and probability.
+    alone and counts equal values (a hot value folds before the shuffle). A bucket is cut into
+    equal parts between its smallest and largest value, so a column whose values all lie close
+    together is spread as well, and values are sorted within a part. Broadcast are the buckets
+    of the wanted ranks, at most two per column and probability, and their parts.
     """
     # The bucket never decreases as the value grows and is known for every value, infinity included.
     size = f"floor(least(log2(abs(cast(value as double)) * 10000 + 1) * {_BUCKETS_PER_OCTAVE}, 1e9d))"
@@ -83,25 +84,38 @@ def exact_quantiles(
         f"""
         with lines as (select * from {{values}}),
         filled as (
-          select field, bucket, sum(_weight) as size from lines group by field, bucket),
+          select field, bucket, sum(_weight) as size, min(cast(value as double)) as lo,
+            max(cast(value as double)) as hi
+          from lines group by field, bucket),
         placed as (
           select *, sum(size) over (partition by field order by bucket) - size as start,
             sum(size) over (partition by field) - 1 as last
           from filled),
         ranks as (
-          select field, bucket, start, size, p, p * last as position, floor(p * last) as low, ceil(p * last) as high
+          select field, bucket, lo, hi, start, size, p, p * last as position, floor(p * last) as low,
+            ceil(p * last) as high
           from placed lateral view explode(array({wanted})) as p),
         targets as (
           select field, bucket, start, p, position, low, high from ranks
           where low between start and start + size - 1 or high between start and start + size - 1),
+        bounds as (
+          select field, bucket, any_value(lo) as lo, any_value(hi) as hi
+          from ranks where low between start and start + size - 1 or high between start and start + size - 1
+          group by field, bucket),
         counted as (
-          select /*+ broadcast(targets) */ field, bucket, value, sum(_weight) as n
-          from lines left semi join targets using (field, bucket)
-          group by field, bucket, value),
+          select /*+ broadcast(bounds) */ field, bucket, value,
+            if(hi > lo, cast(least(floor((cast(value as double) - lo) / (hi - lo) * {_PARTS}), {_PARTS} - 1) as int), 0)
+              as part,
+            sum(_weight) as n
+          from lines join bounds using (field, bucket)
+          group by field, bucket, value, lo, hi),
+        parts as (
+          select field, bucket, part, sum(size) over (partition by field, bucket order by part) - size as before
+          from (select field, bucket, part, sum(n) as size from counted group by field, bucket, part)),
         ordered as (
-          select field, bucket, cast(value as double) as value, n,
-            sum(n) over (partition by field, bucket order by value) - n as skip
-          from counted),
+          select /*+ broadcast(parts) */ field, bucket, cast(value as double) as value, n,
+            before + sum(n) over (partition by field, bucket, part order by value) - n as skip
+          from counted join parts using (field, bucket, part)),
         hits as (
           select /*+ broadcast(targets) */ field, p, position, value,
             low between start + skip and start + skip + n - 1 as is_low,

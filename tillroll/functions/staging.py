@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+import warnings
+from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-
 _local_folders: dict[str, str] = {}
+_owner = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local session without one gets its own."""
+    """``spark.checkpoint.dir`` of the session, the folder that the cluster names for this.
+
+    A local session without the setting gets a folder of its own, and a warning that says so.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _local_folders:
         _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tillroll-")
+        warnings.warn(
+            f"spark.checkpoint.dir is not set; stages go to {_local_folders[context.applicationId]}", stacklevel=2
+        )
     return _local_folders[context.applicationId]
 
 
@@ -33,9 +44,33 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and continue from the written table.
 
     This cuts the lineage: a lost executor costs a re-read of the table, not a re-run of
-    what produced it, and every later pass sees the very same rows.
+    what produced it, and every later pass sees the very same rows. Within ``owned_stages``
+    the table belongs to that block.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
+    for owned in getattr(_owner, "paths", [])[-1:]:
+        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_stages(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written stages, wherever Spark has put them."""
+    for path in paths:
+        for folder in {name.rsplit("/", 1)[0] for name in spark.read.parquet(path).inputFiles()}:
+            system, place = fs.FileSystem.from_uri(folder)
+            system.delete_dir(place)
+
+
+@contextlib.contextmanager
+def owned_stages(spark: SparkSession, *, delete: bool = True) -> Iterator[list[str]]:
+    """Collects the paths of the stages made in the block and, with ``delete``, deletes them at its end."""
+    paths: list[str] = []
+    _owner.paths = [*getattr(_owner, "paths", []), paths]
+    try:
+        yield paths
+    finally:
+        _owner.paths = _owner.paths[:-1]
+        if delete:
+            delete_stages(spark, paths)

@@ -43,12 +43,16 @@ def check_all_unique(entities: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
-    """One row ``name``: child rows whose key is known but has no parent.
+def orphans(
+    child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, name: str, *, optional: bool = False
+) -> DataFrame:
+    """One row ``name``: child rows without a parent.
 
-    Child rows are counted per key before the join, so a key with most rows is one row there.
+    A missing key has no parent and counts, unless the reference is ``optional``. Child rows are
+    counted per key before the join, so a key with most rows is one row there.
     """
-    keys = child.filter(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_key"))
+    referring = child.filter(F.col(child_key).isNotNull()) if optional else child
+    keys = referring.groupBy(F.col(child_key).alias("_key"))
     parents = parent.select(F.col(parent_key).alias("_key"))
     lost = keys.agg(F.count("*").alias("_n")).join(parents, "_key", "left_anti")
     return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias(name))
@@ -63,7 +67,7 @@ def check_fk_items_products(order_items: DataFrame, products: DataFrame) -> Data
 
 
 def check_fk_orders_customers(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    return orphans(orders, "customer_id", customers, "customer_id", "orders_without_known_customer")
+    return orphans(orders, "customer_id", customers, "customer_id", "orders_without_known_customer", optional=True)
 
 
 def _violations(df: DataFrame, table: str, tests: Mapping[str, Column]) -> DataFrame:
@@ -72,12 +76,13 @@ def _violations(df: DataFrame, table: str, tests: Mapping[str, Column]) -> DataF
     return rows.select(F.lit(table).alias("table_name"), "column_name", "violations")
 
 
+def _null_tests(table: str) -> dict[str, Column]:
+    return {f.name: F.col(f.name).isNull() for f in ENTITY_SCHEMAS[table] if not f.nullable}
+
+
 def check_not_null(entities: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, violations): missing values in required columns."""
-    found = []
-    for name in LOAD_ORDER:
-        required = [f.name for f in ENTITY_SCHEMAS[name] if not f.nullable]
-        found.append(_violations(entities[name], name, {x: F.col(x).isNull() for x in required}))
+    found = [_violations(entities[name], name, _null_tests(name)) for name in LOAD_ORDER]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -89,14 +94,15 @@ def _outside(name: str, target: T.DataType, length: int | None) -> Column | None
     return None
 
 
+def _domain_tests(table: str) -> dict[str, Column]:
+    lengths = TEXT_LENGTHS.get(table, {})
+    tests = {f.name: _outside(f.name, f.dataType, lengths.get(f.name)) for f in ENTITY_SCHEMAS[table]}
+    return {x: test for x, test in tests.items() if test is not None}
+
+
 def check_domain(entities: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, violations): texts too long, numbers outside their type."""
-    found = []
-    for name in LOAD_ORDER:
-        lengths = TEXT_LENGTHS.get(name, {})
-        tests = {f.name: _outside(f.name, f.dataType, lengths.get(f.name)) for f in ENTITY_SCHEMAS[name]}
-        tests = {x: test for x, test in tests.items() if test is not None}
-        found.append(_violations(entities[name], name, tests))
+    found = [_violations(entities[name], name, _domain_tests(name)) for name in LOAD_ORDER]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -142,9 +148,11 @@ def constraint_violations(entities: Mapping[str, DataFrame]) -> DataFrame:
     for frame in references:
         name = frame.columns[0]
         parts.append(frame.select(F.lit(name).alias("constraint"), F.col(name).alias("violations")))
-    for kind, frame in (("not null", check_not_null(entities)), ("domain", check_domain(entities))):
-        label = F.concat_ws(" ", F.lit(kind), F.concat_ws(".", "table_name", "column_name"))
-        parts.append(frame.select(label.alias("constraint"), "violations"))
+    for table in LOAD_ORDER:  # all rules on the rows of a table in one pass
+        rules = {f"not null|{x}": test for x, test in _null_tests(table).items()}
+        rules |= {f"domain|{x}": test for x, test in _domain_tests(table).items()}
+        name = F.replace("column_name", F.lit("|"), F.lit(f" {table}."))
+        parts.append(_violations(entities[table], table, rules).select(name.alias("constraint"), "violations"))
     return reduce(DataFrame.unionByName, parts)
 
 

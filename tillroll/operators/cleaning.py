@@ -64,17 +64,31 @@ def trim_strings(df: DataFrame, columns: Sequence[str] | None = None, *, c: Line
     return df.withColumns({name: strip(name) for name in names})
 
 
-def drop_exact_duplicates(df: DataFrame, *, ignore: Sequence[str] = ()) -> DataFrame:
+def drop_exact_duplicates(
+    df: DataFrame, *, ignore: Sequence[str] = (), values: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """Keep one of each fully equal row (missing equals missing).
 
     Columns named in ``ignore`` do not take part and keep their smallest value. Both forms
     are map-side combined, so a group of copies of any size reaches the shuffle as one row
-    per task.
+    per task. The smallest of texts needs a sort of all rows; ``values`` names all values of
+    an ignored text column, such as the source labels, which then travel as their place in the
+    sorted list and need none. A text that is not listed fails.
     """
     if not ignore:
         return df.distinct()
     keys = [name for name in df.columns if name not in ignore]
-    return df.groupBy(*keys).agg(*[F.min(name).alias(name) for name in ignore]).select(*df.columns)
+    listed = {name: sorted(values[name]) for name in ignore if values and name in values}
+
+    def place(name: str) -> Column:
+        at = F.array_position(F.array(*[F.lit(x) for x in listed[name]]), F.col(name))
+        unknown = F.raise_error(F.concat(F.lit(f"unlisted value of {name}: "), F.col(name)))
+        return F.when(at == 0, unknown.cast("bigint")).otherwise(at)
+
+    least = [F.min(place(name) if name in listed else name).alias(name) for name in ignore]
+    named = lambda name: F.get(F.array(*[F.lit(x) for x in listed[name]]), F.col(name).cast("int") - 1).alias(name)
+    kept = df.groupBy(*keys).agg(*least)
+    return kept.select(*[named(name) if name in listed else F.col(name) for name in df.columns])
 
 
 def duplicates_removed(df: DataFrame, *, ignore: Sequence[str] = ()) -> DataFrame:
@@ -175,16 +189,21 @@ def assert_expectations(
     return result
 
 
-def cleaning_report(raw: DataFrame, clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+def cleaning_report(
+    raw: DataFrame, clean: DataFrame, *, ignoring_source: bool = False, c: LineColumns = RETAIL
+) -> DataFrame:
     """(metric, value): what the cleaning step kept, removed and flagged.
 
-    ``duplicates_ignoring_source`` counts the lines that would also go if the source label
-    were not part of the duplicate key.
+    ``ignoring_source`` adds ``duplicates_ignoring_source``, the lines that would go if the
+    source label were not part of the duplicate key; it costs a shuffle of all clean lines.
     """
     sale = is_sale(c)
     raw_rows = raw.agg(F.count("*").alias("n")).scalar()
-    keys = [name for name in (c.raw) if name in clean.columns and name != c.source]
-    unlabelled = clean.select(*keys).distinct().agg(F.count("*").alias("n")).scalar()
+    more = []
+    if ignoring_source:
+        keys = [name for name in c.raw if name in clean.columns and name != c.source]
+        unlabelled = clean.select(*keys).distinct().agg(F.count("*").alias("n")).scalar()
+        more = [(raw_rows - unlabelled).alias("duplicates_ignoring_source")]
     counts = clean.agg(
         F.count("*").alias("clean_rows"),
         F.count_if(sale).alias("sales_rows"),
@@ -196,8 +215,7 @@ def cleaning_report(raw: DataFrame, clean: DataFrame, *, c: LineColumns = RETAIL
     report = counts.select(
         raw_rows.alias("raw_rows"), "clean_rows", "sales_rows", "customer_sales_rows",
         (raw_rows - F.col("clean_rows")).alias("duplicates_removed"),
-        "cancelled_rows", "negative_quantity_rows", "service_rows",
-        (raw_rows - unlabelled).alias("duplicates_ignoring_source"),
+        "cancelled_rows", "negative_quantity_rows", "service_rows", *more,
     )
     return report.unpivot([], report.columns, "metric", "value")
 

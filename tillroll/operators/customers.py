@@ -11,7 +11,7 @@ from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.expressions import money, month_of, months_apart, percent, quotient
 from tillroll.functions.ranking import quantile_name, quantiles_wide
 from tillroll.operators.profiling import describe_numeric
-from tillroll.operators.views import invoices
+from tillroll.operators.views import Receipts
 
 # Labels of the order-count groups and their bounds (both included).
 ORDER_GROUPS = (("1", 1, 1), ("2-5", 2, 5), ("6-10", 6, 10), (">10", 11, None))
@@ -40,10 +40,10 @@ SEGMENT_ACTIONS = (
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-def orders_per_customer(rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+
+def orders_per_customer(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(customer_id, orders_count): distinct invoices per known customer, from receipts."""
-    known = rc.filter(F.col(c.customer_id).isNotNull())
-    return known.groupBy(c.customer_id).agg(invoices(single, c).alias("orders_count"))
+    return rc.known(c).rows.groupBy(c.customer_id).agg(rc.invoices(c).alias("orders_count"))
 
 
 def repeat_rate(orders: DataFrame) -> DataFrame:
@@ -122,17 +122,16 @@ def order_groups(
     return rows.orderBy("place").select("orders_group", "customers", share)
 
 
-def cohort_activity(rc: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+def cohort_activity(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(customer_id, cohort_month, order_month, month_number), one row per active month.
 
-    The months of a customer are a set no larger than the calendar, so one shuffle by
-    customer, folded before it, gives both the first month and all others.
+    Receipts fold to different (customer, month) pairs before the shuffle; the first month of
+    a customer is found among these.
     """
-    known = rc.filter(F.col(c.customer_id).isNotNull())
-    active = known.groupBy(c.customer_id).agg(F.collect_set(month_of(c.invoice_date)).alias("months"))
-    rows = active.select(
-        c.customer_id, F.array_min("months").alias("cohort_month"), F.explode("months").alias("order_month")
-    )
+    month = month_of(c.invoice_date).alias("order_month")
+    active = rc.known(c).rows.select(c.customer_id, month).distinct()
+    first = active.groupBy(c.customer_id).agg(F.min("order_month").alias("cohort_month"))
+    rows = active.join(first, c.customer_id).select(c.customer_id, "cohort_month", "order_month")
     return rows.withColumn("month_number", months_apart(F.col("order_month"), F.col("cohort_month")))
 
 
@@ -162,11 +161,20 @@ def cohort_retention(
 
 
 def retention_matrix(
-    activity: DataFrame, months: Sequence[int], first: str | None = None, last: str | None = None
+    activity: DataFrame, months: Sequence[int] | None = None, first: str | None = None, last: str | None = None
 ) -> DataFrame:
-    """Cohorts down, the given months across (``month_<k>``), percent; no activity gives NULL."""
-    rows = cohort_retention(activity, first, last, (0, max(months)))
+    """Cohorts down, months across (``month_<k>``), percent; no activity gives NULL.
+
+    Without ``months`` the columns run from month 0 to the last month of any cohort; that
+    one number is read from the activity.
+    """
+    if months is None:
+        widest = activity.agg(F.max("month_number").alias("k")).first()["k"]
+        months = range(0 if widest is None else widest + 1)
+    rows = cohort_retention(activity, first, last, (0, max(months, default=0)))
     at = lambda k: F.max(F.when(F.col("month_number") == k, F.col("retention_rate")))
+    if not months:
+        return rows.select("cohort_month").distinct()
     return rows.groupBy("cohort_month").agg(*[at(k).alias(f"month_{k}") for k in months]).orderBy("cohort_month")
 
 
@@ -191,18 +199,18 @@ def retention_summary_mean(
 
 
 def rfm_customer(
-    rc: DataFrame, *, recency: str = "calendar", single: bool = False, c: LineColumns = RETAIL
+    rc: Receipts, *, recency: str = "calendar", c: LineColumns = RETAIL
 ) -> DataFrame:
     """(customer_id, recency, frequency, monetary), counted from one day after the last sale.
 
     ``recency='calendar'`` is the difference of the dates, ``'elapsed'`` the number of full
     24-hour periods.
     """
-    known = rc.filter(F.col(c.customer_id).isNotNull())
+    known = rc.known(c).rows
     latest = known.agg(F.max(c.invoice_date).alias("t")).scalar()
     stats = known.groupBy(c.customer_id).agg(
         F.max(c.invoice_date).alias("last"),
-        invoices(single, c).alias("frequency"),
+        rc.invoices(c).alias("frequency"),
         F.sum("revenue").alias("monetary"),
     )
     if recency == "calendar":

@@ -35,7 +35,7 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, *, approx: bool = False) -> DataFrame:
-    """(column_name, distinct_values) per column, missing values left out.
+    """(column_name, distinct_values) per column, most first, missing values left out.
 
     Exact counts run one narrow aggregate per column over a pruned scan. Several
     ``count(distinct)`` in one aggregate would copy every row once per column instead.
@@ -43,7 +43,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, *, appr
     names = list(columns or df.columns)
     if approx:
         sketches = df.agg(*[F.approx_count_distinct(name).alias(name) for name in names])
-        return sketches.unpivot([], names, "column_name", "distinct_values")
+        return sketches.unpivot([], names, "column_name", "distinct_values").orderBy(
+            F.desc("distinct_values"), "column_name"
+        )
 
     def one(name: str) -> DataFrame:
         values = df.select(name).filter(F.col(name).isNotNull()).distinct()
@@ -51,7 +53,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, *, appr
             F.lit(name).alias("column_name"), "distinct_values"
         )
 
-    return reduce(DataFrame.unionByName, [one(name) for name in names])
+    counts = reduce(DataFrame.unionByName, [one(name) for name in names])
+    return counts.orderBy(F.desc("distinct_values"), "column_name")
 
 
 def profile_main_info(df: DataFrame, *, c: LineColumns = RETAIL, approx: bool = False) -> DataFrame:

@@ -1,8 +1,7 @@
 """Sales metrics: totals, months, countries, weekdays and hours, known customers.
 
-Functions named ``rc`` take receipts (see ``views.receipts``). ``single`` states that each
-invoice is one row there, which holds for receipts of ``v_sales``: invoices are then counted
-as rows and need no distinct count.
+Arguments named ``rc`` are receipts (see ``views.Receipts``): those of ``v_sales`` count invoices
+as rows, others need a distinct count.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.expressions import WEEKDAYS, iso_weekday, money, percent, quotient, weekday_name
-from tillroll.operators.views import invoices, v_monthly_metrics
+from tillroll.operators.views import Receipts, v_monthly_metrics
 
 
 def _distinct(frame: DataFrame, name: str) -> Column:
@@ -22,30 +21,30 @@ def _distinct(frame: DataFrame, name: str) -> Column:
     return values.agg(F.count("*").alias("n")).scalar()
 
 
-def core_metrics(sales: DataFrame, rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+def core_metrics(sales: DataFrame, rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """One row: sales rows, invoices, customers, products, revenue, average invoice.
 
     Only the number of products needs the lines; the rest comes from the receipts.
     """
-    totals = rc.agg(
+    totals = rc.rows.agg(
         F.coalesce(F.sum("lines"), F.lit(0)).alias("sales_rows"),
         F.count("*").alias("invoices"),
         F.sum("revenue").alias("total"),
     )
-    invoice_count = F.col("invoices") if single else _distinct(rc, c.invoice)
+    invoice_count = F.col("invoices") if rc.by_invoice else _distinct(rc.rows, c.invoice)
     return totals.select(
         "sales_rows",
         invoice_count.alias("invoices"),
-        _distinct(rc, c.customer_id).alias("customers"),
+        _distinct(rc.rows, c.customer_id).alias("customers"),
         _distinct(sales, c.stock_code).alias("products"),
         money(F.col("total")).alias("revenue"),
         quotient(F.col("total"), invoice_count).alias("average_invoice"),
     )
 
 
-def sales_overview(sales: DataFrame, rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+def sales_overview(sales: DataFrame, rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """One row: first and last date, invoices, customers, products, revenue."""
-    span = rc.agg(
+    span = rc.rows.agg(
         F.min(c.invoice_date).alias("first_date"),
         F.max(c.invoice_date).alias("last_date"),
         F.count("*").alias("invoices"),
@@ -53,15 +52,15 @@ def sales_overview(sales: DataFrame, rc: DataFrame, *, single: bool = False, c:
     )
     return span.select(
         "first_date", "last_date",
-        (F.col("invoices") if single else _distinct(rc, c.invoice)).alias("invoices"),
-        _distinct(rc, c.customer_id).alias("customers"),
+        (F.col("invoices") if rc.by_invoice else _distinct(rc.rows, c.invoice)).alias("invoices"),
+        _distinct(rc.rows, c.customer_id).alias("customers"),
         _distinct(sales, c.stock_code).alias("products"),
         money(F.col("total")).alias("revenue"),
     )
 
 
-def monthly_metrics(rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
-    return v_monthly_metrics(rc, single=single, c=c).orderBy("month")
+def monthly_metrics(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
+    return v_monthly_metrics(rc, c=c).orderBy("month")
 
 
 def full_months(monthly: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -121,11 +120,11 @@ def yoy_compare(monthly: DataFrame, earlier: int, later: int, *, last_month: int
     return table.withColumn("growth_pct", percent(after - before, before)).orderBy("month_number")
 
 
-def country_summary(rc: DataFrame, n: int | None = None, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+def country_summary(rc: Receipts, n: int | None = None, *, c: LineColumns = RETAIL) -> DataFrame:
     """Revenue, invoices, customers and average invoice per country, highest revenue first."""
-    countries = rc.groupBy(c.country).agg(
+    countries = rc.rows.groupBy(c.country).agg(
         F.sum("revenue").alias("total"),
-        invoices(single, c).alias("invoices"),
+        rc.invoices(c).alias("invoices"),
         F.count_distinct(c.customer_id).alias("customers"),
     )
     ordered = countries.select(
@@ -135,53 +134,53 @@ def country_summary(rc: DataFrame, n: int | None = None, *, single: bool = False
     return ordered if n is None else ordered.limit(n)
 
 
-def home_country_share(rc: DataFrame, home: str, *, c: LineColumns = RETAIL) -> DataFrame:
+def home_country_share(rc: Receipts, home: str, *, c: LineColumns = RETAIL) -> DataFrame:
     """(country, revenue_share): percent of revenue from one country, NULL if it has no sales."""
     at_home = F.sum(F.when(F.col(c.country) == home, F.col("revenue")))
     share = percent(at_home, F.sum("revenue"))
-    return rc.agg(share.alias("revenue_share")).select(F.lit(home).alias("country"), "revenue_share")
+    return rc.rows.agg(share.alias("revenue_share")).select(F.lit(home).alias("country"), "revenue_share")
 
 
-def top_countries_excluding(rc: DataFrame, home: str, n: int = 10, *, c: LineColumns = RETAIL) -> DataFrame:
+def top_countries_excluding(rc: Receipts, home: str, n: int = 10, *, c: LineColumns = RETAIL) -> DataFrame:
     """(country, revenue) of the ``n`` best countries other than ``home``, lowest first."""
-    others = rc.filter(F.col(c.country) != home).groupBy(c.country)
+    others = rc.rows.filter(F.col(c.country) != home).groupBy(c.country)
     best = others.agg(money(F.sum("revenue")).alias("revenue")).orderBy(F.desc("revenue"), c.country).limit(n)
     return best.orderBy("revenue", F.desc(c.country))
 
 
-def _visits(rc: DataFrame, unit: str, single: bool, c: LineColumns) -> tuple[DataFrame, Column]:
+def _visits(rc: Receipts, unit: str, c: LineColumns) -> tuple[DataFrame, Column]:
     """Rows and the count that gives invoices, or distinct (invoice, time) pairs."""
     if unit == "invoice":
-        return rc, invoices(single, c)
+        return rc.rows, rc.invoices(c)
     if unit == "invoice_ts":
-        return rc.select(c.invoice, c.invoice_date).distinct(), F.count("*")
+        return rc.rows.select(c.invoice, c.invoice_date).distinct(), F.count("*")
     raise ValueError(f"unit is 'invoice' or 'invoice_ts', not {unit!r}")
 
 
 def weekday_activity(
-    rc: DataFrame, *, unit: str = "invoice", fill_days: bool = False, single: bool = False, c: LineColumns = RETAIL
+    rc: Receipts, *, unit: str = "invoice", fill_days: bool = False, c: LineColumns = RETAIL
 ) -> DataFrame:
     """(weekday, weekday_number, invoices), Monday first; ``fill_days`` adds days without sales.
 
     ``unit='invoice_ts'`` counts an invoice once per differing time instead of once.
     """
-    rows, count = _visits(rc, unit, single, c)
+    rows, count = _visits(rc, unit, c)
     days = rows.groupBy(
         weekday_name(c.invoice_date).alias("weekday"), iso_weekday(c.invoice_date).alias("weekday_number")
     ).agg(count.alias("invoices"))
     if fill_days:
         names = F.array(*[F.lit(name) for name in WEEKDAYS])
-        week = rc.sparkSession.range(1).select(F.posexplode(names).alias("place", "weekday"))
+        week = rc.rows.sparkSession.range(1).select(F.posexplode(names).alias("place", "weekday"))
         week = week.select("weekday", (F.col("place") + 1).alias("weekday_number"))
         days = week.join(days, ["weekday", "weekday_number"], "left")
     return days.orderBy("weekday_number")
 
 
 def hour_activity(
-    rc: DataFrame, *, unit: str = "invoice", by_hour: bool = False, single: bool = False, c: LineColumns = RETAIL
+    rc: Receipts, *, unit: str = "invoice", by_hour: bool = False, c: LineColumns = RETAIL
 ) -> DataFrame:
     """(hour, invoices), busiest hour first or, with ``by_hour``, in the order of the day."""
-    rows, count = _visits(rc, unit, single, c)
+    rows, count = _visits(rc, unit, c)
     hours = rows.groupBy(F.hour(c.invoice_date).alias("hour")).agg(count.alias("invoices"))
     return hours.orderBy("hour") if by_hour else hours.orderBy(F.desc("invoices"), "hour")
 
@@ -192,11 +191,11 @@ def busiest(activity: DataFrame, label: str, order: str) -> DataFrame:
     return activity.agg(best.alias("best")).select(F.col("best")[label].alias(label), "best.invoices")
 
 
-def known_unknown_revenue(rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+def known_unknown_revenue(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """Invoices, revenue and revenue share with and without a known customer."""
     group = F.when(F.col(c.customer_id).isNull(), "unknown customer").otherwise("known customer")
-    groups = rc.groupBy(group.alias("customer_group")).agg(
-        invoices(single, c).alias("invoices"), F.sum("revenue").alias("total")
+    groups = rc.rows.groupBy(group.alias("customer_group")).agg(
+        rc.invoices(c).alias("invoices"), F.sum("revenue").alias("total")
     )
     share = percent(F.col("total"), F.sum("total").over(Window.partitionBy()))
     return groups.select(
@@ -210,12 +209,14 @@ def product_summary(
     n: int | None = None,
     *,
     by: str = "revenue",
+    line_descriptions: bool = False,
     c: LineColumns = RETAIL,
 ) -> DataFrame:
     """Description, quantity, revenue and invoices per code, best first by ``by``.
 
     Descriptions come from the product table after the cut to ``n`` codes, so the long texts
-    are not shuffled with the lines.
+    are not shuffled with the lines. With ``line_descriptions`` they are those of the sales
+    lines themselves: the known one of the earliest line, the smallest at equal times.
     """
     if by not in ("revenue", "quantity"):
         raise ValueError(f"by is 'revenue' or 'quantity', not {by!r}")
@@ -227,7 +228,13 @@ def product_summary(
     order = [F.desc(by), F.asc(c.stock_code)]
     if n is not None:
         codes = codes.orderBy(*order).limit(n)
-    named = codes.join(products.select(c.stock_code, c.description), c.stock_code, "left")
+    names = products.select(c.stock_code, c.description)
+    if line_descriptions:
+        told = sales.filter(F.col(c.description).isNotNull()).groupBy(c.stock_code, c.description)
+        told = told.agg(F.min(c.invoice_date).alias("at"))
+        first = F.min(F.struct("at", F.col(c.description).alias("text")))["text"]
+        names = told.groupBy(c.stock_code).agg(first.alias(c.description))
+    named = codes.join(names, c.stock_code, "left")
     return named.select(c.stock_code, c.description, "quantity", "revenue", "invoices").orderBy(*order)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import dataclasses
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,28 +38,63 @@ def v_customer_sales(sales: DataFrame) -> DataFrame:
     return sales.filter(F.col("customer_id").isNotNull())
 
 
-def receipts(sales: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
-    """Lines folded to (invoice, customer, time, country) with lines, quantity and revenue.
+@dataclasses.dataclass(frozen=True)
+class Receipts:
+    """Sales lines folded to (invoice, customer, time, country): ``rows`` with lines, quantity and revenue.
+
+    ``by_invoice`` says that an invoice is one row, so that rows count as invoices. Only
+    ``invoice_receipts`` sets it, from the one source for which it holds.
+    """
+
+    rows: DataFrame
+    by_invoice: bool = False
+
+    def invoices(self, c: LineColumns = RETAIL) -> Column:
+        """Number of invoices, as an aggregate."""
+        return F.count("*") if self.by_invoice else F.count_distinct(c.invoice)
+
+    def known(self, c: LineColumns = RETAIL) -> Receipts:
+        """The receipts of known customers."""
+        return dataclasses.replace(self, rows=self.rows.filter(F.col(c.customer_id).isNotNull()))
+
+    def stored(self, store: Callable[[DataFrame], DataFrame]) -> Receipts:
+        """The same receipts, staged or cached by ``store``."""
+        return dataclasses.replace(self, rows=store(self.rows))
+
+
+def receipts(sales: DataFrame, *, c: LineColumns = RETAIL) -> Receipts:
+    """Receipts of lines with a time, customer and country of their own.
 
     Every invoice-level metric starts here: the fold happens before the shuffle, and what
-    follows works on about one row per invoice. On ``v_sales`` an invoice is exactly one row;
-    on cleaned lines it has one row per differing customer, time or country.
+    follows works on about one row per invoice. An invoice has one row per differing
+    customer, time or country.
     """
-    return sales.groupBy(c.invoice, c.customer_id, c.invoice_date, c.country).agg(
+    rows = sales.groupBy(c.invoice, c.customer_id, c.invoice_date, c.country).agg(
         F.count("*").alias("lines"),
         F.sum(F.col(c.quantity).cast("bigint")).alias("quantity"),
         F.sum(c.line_total).alias("revenue"),
     )
+    return Receipts(rows)
 
 
-def invoices(single: bool, c: LineColumns = RETAIL) -> Column:
-    """Number of invoices; ``single`` states that an invoice is one row, so rows are counted."""
-    return F.count("*") if single else F.count_distinct(c.invoice)
+def invoice_receipts(sales: DataFrame, *, c: LineColumns = RETAIL) -> Receipts:
+    """Receipts of ``v_sales``, whose lines have the customer, time and country of their order.
 
+    That makes one row per invoice. Lines that do not come from ``v_sales`` are refused.
+    """
+    if "order_item_id" not in sales.columns:
+        raise ValueError("invoice receipts are made of v_sales; use receipts for other lines")
+    return dataclasses.replace(receipts(sales, c=c), by_invoice=True)
 
-def v_invoice_summary(rc: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+
+def v_invoice_summary(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(invoice, customer_id, invoice_date, country, items_count, revenue) from receipts."""
-    return rc.groupBy(c.invoice, c.customer_id).agg(
+    if rc.by_invoice:
+        return rc.rows.select(
+            c.invoice, c.customer_id, F.col(c.invoice_date).alias("invoice_date"), F.col(c.country).alias("country"),
+            F.col("quantity").alias("items_count"), money(F.col("revenue")).alias("revenue"),
+        )
+    return rc.rows.groupBy(c.invoice, c.customer_id).agg(
         F.min(c.invoice_date).alias("invoice_date"),
         F.min(c.country).alias("country"),
         F.sum("quantity").alias("items_count"),
@@ -66,10 +102,10 @@ def v_invoice_summary(rc: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
     )
 
 
-def v_monthly_metrics(rc: DataFrame, *, single: bool = False, c: LineColumns = RETAIL) -> DataFrame:
+def v_monthly_metrics(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(month, invoices, customers, revenue, average_invoice) from receipts."""
-    months = rc.groupBy(month_of(c.invoice_date).alias("month")).agg(
-        invoices(single, c).alias("invoices"),
+    months = rc.rows.groupBy(month_of(c.invoice_date).alias("month")).agg(
+        rc.invoices(c).alias("invoices"),
         F.count_distinct(c.customer_id).alias("customers"),
         F.sum("revenue").alias("total"),
     )
@@ -91,12 +127,12 @@ def register_views(
 ) -> list[str]:
     """Expose the four views over the entities under their SQL names."""
     sales = v_sales(entities["order_items"], entities["orders"], entities["products"], codes=codes)
-    rc = receipts(sales)
+    rc = invoice_receipts(sales)
     views = {
         "v_sales": sales,
         "v_customer_sales": v_customer_sales(sales),
         "v_invoice_summary": v_invoice_summary(rc),
-        "v_monthly_metrics": v_monthly_metrics(rc, single=True),
+        "v_monthly_metrics": v_monthly_metrics(rc),
     }
     for name, frame in views.items():
         frame.createOrReplaceTempView(prefix + name)

@@ -118,9 +118,9 @@ def sink_csv_tables(ws):
 def sink_csv_summaries(ws):
     rc = ws.receipts
     frames = {
-        "monthly_sales": sales.monthly_metrics(rc, single=True),
+        "monthly_sales": sales.monthly_metrics(rc),
         "rfm_segments": customers.rfm_segment_summary(_segments(ws)),
-        "country_summary": sales.country_summary(rc, single=True),
+        "country_summary": sales.country_summary(rc),
         "product_summary": sales.product_summary(ws.sales, ws.products),
     }
     paths = writers.sink_csv_summaries(*frames.values(), new_path(ws.spark, "csv"))
@@ -140,6 +140,23 @@ def publish_tables(ws):
     return writers.publish_tables(ws.entities, new_path(ws.spark, "published"))
 
 
+@query
+def publish_catalog(ws):
+    """Rows of the named tables and of the views over them, read back by name."""
+    path = new_path(ws.spark, "catalog")
+    names = writers.publish_catalog(ws.entities, f"tillroll_{path[-12:]}", path)
+    parts = [f"select '{name.split('.')[1]}' as name, count(*) as rows from {name}" for name in names]
+    return ws.spark.sql(" union all ".join(parts))
+
+
+@query
+def publish_catalog_metrics(ws):
+    """A view that builds on another one, over named tables."""
+    path = new_path(ws.spark, "catalog")
+    writers.publish_catalog(ws.entities, f"tillroll_{path[-12:]}", path)
+    return comparable(ws.spark.table(f"tillroll_{path[-12:]}.v_monthly_metrics"))
+
+
 @query
 def register_views(ws):
     names = views.register_views(ws.entities, prefix="tillroll_")
@@ -205,7 +222,7 @@ def drop_exact_duplicates(ws):
 
 @query
 def drop_exact_duplicates_unlabelled(ws):
-    return cleaning.drop_exact_duplicates(ws.raw, ignore=["source_period"])
+    return cleaning.drop_exact_duplicates(ws.raw, ignore=["source_period"], values={"source_period": ["P1", "P2"]})
 
 
 @query
@@ -276,6 +293,11 @@ def cleaning_report(ws):
     return cleaning.cleaning_report(ws.raw, ws.clean)
 
 
+@query
+def cleaning_report_unlabelled(ws):
+    return cleaning.cleaning_report(ws.raw, ws.clean, ignoring_source=True)
+
+
 PREVIEW = ["invoice", "stock_code", "description", "quantity", "price", "customer_id"]
 
 
@@ -516,6 +538,13 @@ def dim_products(ws):
     return entities.dim_products(ws.clean)
 
 
+@query
+def dim_products_keep_empty(ws):
+    """Empty descriptions may win; here those that consist of a brand alone are emptied."""
+    emptied = F.when(F.col("description").rlike("^[A-Z]"), "").otherwise(F.col("description"))
+    return entities.dim_products(ws.clean.withColumn("description", emptied), keep_empty=True)
+
+
 @query
 def fact_orders(ws):
     return entities.fact_orders(ws.clean)
@@ -577,6 +606,29 @@ def check_fk_items_orders_violated(ws):
     return checks.check_fk_items_orders(ws.order_items, ws.orders.filter(~F.col("is_cancelled")))
 
 
+def _some_missing(ws: Workspace, name: str) -> DataFrame:
+    """The order items with every 101st value of a column missing."""
+    return ws.order_items.withColumn(name, F.when(F.col("order_item_id") % 101 != 0, F.col(name)))
+
+
+@query
+def check_fk_items_orders_missing(ws):
+    """A line without an invoice has no order."""
+    return checks.check_fk_items_orders(_some_missing(ws, "invoice"), ws.orders)
+
+
+@query
+def check_fk_items_products_missing(ws):
+    return checks.check_fk_items_products(_some_missing(ws, "stock_code"), ws.products)
+
+
+@query
+def check_fk_orders_customers_missing(ws):
+    """An order without a customer refers to none."""
+    missing = F.when(~F.col("invoice").endswith("7"), F.col("customer_id"))
+    return checks.check_fk_orders_customers(ws.orders.withColumn("customer_id", missing), ws.customers)
+
+
 @query
 def check_fk_items_products(ws):
     return checks.check_fk_items_products(ws.order_items, ws.products)
@@ -596,7 +648,7 @@ def check_fk_orders_customers(ws):
 @query
 def check_fk_orders_customers_violated(ws):
     """Orders that lose their customer when only repeat customers are kept."""
-    repeat = customers.orders_per_customer(ws.receipts, single=True).filter(F.col("orders_count") > 5)
+    repeat = customers.orders_per_customer(ws.receipts).filter(F.col("orders_count") > 5)
     return checks.check_fk_orders_customers(ws.orders, repeat)
 
 
@@ -610,6 +662,36 @@ def check_domain(ws):
     return checks.check_domain(ws.entities)
 
 
+@query
+def check_not_null_violated(ws):
+    """Every 101st line without a quantity, and orders whose country is lost."""
+    orders = ws.orders.withColumn("country", F.when(~F.col("invoice").endswith("7"), F.col("country")))
+    return checks.check_not_null({**ws.entities, "orders": orders, "order_items": _some_missing(ws, "quantity")})
+
+
+@query
+def check_domain_violated(ws):
+    """Codes and countries that are too long, prices beyond their type."""
+    long_code = F.when(F.col("stock_code").endswith("7"), F.repeat("stock_code", F.lit(31))).otherwise(F.col("stock_code"))
+    long_name = F.when(F.col("country") == "EIRE", F.repeat("country", F.lit(30))).otherwise(F.col("country"))
+    price = F.col("price").cast("double") * F.when(F.col("order_item_id") % 101 == 0, 1e14).otherwise(1)
+    return checks.check_domain(
+        {
+            **ws.entities,
+            "products": ws.products.withColumn("stock_code", long_code),
+            "orders": ws.orders.withColumn("country", long_name),
+            "order_items": ws.order_items.withColumn("price", price),
+        }
+    )
+
+
+@query
+def check_line_total_violated(ws):
+    """Line totals that are off by two cents, and others by half a cent, which is within the tolerance."""
+    off = F.when(F.col("order_item_id") % 101 == 0, 0.02).when(F.col("order_item_id") % 103 == 0, 0.005).otherwise(0)
+    return checks.check_line_total(ws.order_items.withColumn("line_total", F.col("line_total") + off.cast("decimal(18,4)")))
+
+
 @query
 def check_cancelled_flag(ws):
     return checks.check_cancelled_flag(ws.orders)
@@ -642,7 +724,7 @@ def sales_row_counts_by_line(ws):
 
 @query
 def sales_overview(ws):
-    return comparable(sales.sales_overview(ws.sales, ws.receipts, single=True))
+    return comparable(sales.sales_overview(ws.sales, ws.receipts))
 
 
 @query
@@ -670,19 +752,19 @@ def v_invoice_summary(ws):
 
 @query
 def v_monthly_metrics(ws):
-    return comparable(views.v_monthly_metrics(ws.receipts, single=True))
+    return comparable(views.v_monthly_metrics(ws.receipts))
 
 
 # --- sales over time -----------------------------------------------------------------------
 
 
 def _monthly(ws: Workspace) -> DataFrame:
-    return views.v_monthly_metrics(ws.receipts, single=True)
+    return views.v_monthly_metrics(ws.receipts)
 
 
 @query
 def core_metrics(ws):
-    return comparable(sales.core_metrics(ws.sales, ws.receipts, single=True))
+    return comparable(sales.core_metrics(ws.sales, ws.receipts))
 
 
 @query
@@ -692,7 +774,7 @@ def core_metrics_by_line(ws):
 
 @query
 def monthly_metrics(ws):
-    return comparable(sales.monthly_metrics(ws.receipts, single=True))
+    return comparable(sales.monthly_metrics(ws.receipts))
 
 
 @query
@@ -744,7 +826,7 @@ def yoy_compare_by_line(ws):
 
 
 def _orders(ws: Workspace) -> DataFrame:
-    return customers.orders_per_customer(ws.receipts, single=True)
+    return customers.orders_per_customer(ws.receipts)
 
 
 def _activity(ws: Workspace) -> DataFrame:
@@ -823,7 +905,8 @@ def cohort_retention_by_line(ws):
 
 @query
 def retention_matrix(ws):
-    return comparable(customers.retention_matrix(_activity(ws), range(13)))
+    """Every month that any cohort has seen."""
+    return comparable(customers.retention_matrix(_activity(ws)))
 
 
 @query
@@ -844,7 +927,7 @@ def retention_summary_mean(ws):
 
 @query
 def rfm_customer(ws):
-    return comparable(customers.rfm_customer(ws.receipts, single=True))
+    return comparable(customers.rfm_customer(ws.receipts))
 
 
 @query
@@ -906,7 +989,7 @@ def segment_actions(ws):
 
 @query
 def country_summary(ws):
-    return comparable(sales.country_summary(ws.receipts, single=True))
+    return comparable(sales.country_summary(ws.receipts))
 
 
 @query
@@ -949,6 +1032,11 @@ def product_summary_by_quantity(ws):
     return comparable(sales.product_summary(ws.line_sales, ws.products, 15, by="quantity"))
 
 
+@query
+def product_summary_line_descriptions(ws):
+    return comparable(sales.product_summary(ws.line_sales, ws.products, 15, line_descriptions=True))
+
+
 @query
 def product_summary_all(ws):
     return comparable(sales.product_summary(ws.sales, ws.products))
@@ -971,7 +1059,7 @@ def product_concentration_by_line(ws):
 
 @query
 def weekday_activity(ws):
-    return sales.weekday_activity(ws.receipts, single=True)
+    return sales.weekday_activity(ws.receipts)
 
 
 @query
@@ -981,7 +1069,7 @@ def weekday_activity_by_time(ws):
 
 @query
 def weekday_activity_filled(ws):
-    return sales.weekday_activity(ws.receipts, fill_days=True, single=True)
+    return sales.weekday_activity(ws.receipts, fill_days=True)
 
 
 @query
@@ -992,7 +1080,7 @@ def busiest_weekday(ws):
 
 @query
 def hour_activity(ws):
-    return sales.hour_activity(ws.receipts, single=True)
+    return sales.hour_activity(ws.receipts)
 
 
 @query
@@ -1007,7 +1095,7 @@ def busiest_hour(ws):
 
 @query
 def known_unknown_revenue(ws):
-    return comparable(sales.known_unknown_revenue(ws.receipts, single=True))
+    return comparable(sales.known_unknown_revenue(ws.receipts))
 
 
 def query_named(name: str) -> Query:

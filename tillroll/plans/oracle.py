@@ -63,7 +63,7 @@ clean as (
 
 LINE_SALES = """
 line_sales as (
-  select * from clean where not (is_cancelled or is_service) and least(quantity, price) > 0)"""
+  select * from clean where not (is_cancelled or is_service) and quantity > 0 and price > 0)"""
 
 HEADERS = """
 headers as (
@@ -95,7 +95,7 @@ sales as (
   select i.order_item_id, h.invoice, h.customer_id, h.invoice_date, h.country, i.stock_code, g.description,
     i.quantity, i.price, i.line_total
   from items i join headers h using (invoice) join goods g using (stock_code)
-  where not (h.is_cancelled or i.is_service) and least(i.quantity, i.price) > 0)"""
+  where not (h.is_cancelled or i.is_service) and i.quantity > 0 and i.price > 0)"""
 
 
 def r(x: str, digits: int = 2) -> str:
@@ -323,6 +323,13 @@ def statements() -> dict[str, str]:
         " unnest([count(*), count(customer_id), count(distinct invoice),"
         " count(distinct date_trunc('month', invoice_date))]) as rows from sales"
     )
+    q["publish_catalog"] = sales(
+        f"select table_name as name, rows_count as rows from ({counts}) union all select * from"
+        " (select unnest(['v_sales', 'v_customer_sales', 'v_invoice_summary', 'v_monthly_metrics']) as name,"
+        " unnest([count(*), count(customer_id), count(distinct invoice),"
+        " count(distinct date_trunc('month', invoice_date))]) as rows from sales)"
+    )
+    q["publish_catalog_metrics"] = sales("select * from monthly", MONTHLY)
     q["register_tables"] = clean(
         "select is_cancelled, count(*) as rows, count(distinct invoice) as invoices, sum(line_total) as total"
         " from clean group by is_cancelled"
@@ -355,7 +362,7 @@ def statements() -> dict[str, str]:
     q["flag_cancelled_any_case"] = raw(
         "select invoice, quantity, left(invoice, 1) in ('C', 'c') as is_cancelled from raw"
     )
-    q["flag_negative_quantity"] = raw("select invoice, quantity, sign(quantity) = -1 as is_negative_quantity from raw")
+    q["flag_negative_quantity"] = raw("select invoice, quantity, quantity < 0 as is_negative_quantity from raw")
     q["flag_service"] = raw(f"select invoice, stock_code, stock_code in ({SERVICE}) as is_service from raw")
     q["flag_service_by_table"] = raw(
         "select invoice, stock_code, max(price) over (partition by stock_code) <= 0 as is_service from raw"
@@ -375,16 +382,25 @@ def statements() -> dict[str, str]:
     ):
         failed = one_of_each(table, expectations, "expectation", "failed_rows")
         q[key] = base(f"select *, failed_rows = 0 as passed from ({failed})")
-    sold = "not (is_cancelled or is_service) and least(quantity, price) > 0"
-    q["cleaning_report"] = clean(
-        "select unnest(['raw_rows', 'clean_rows', 'sales_rows', 'customer_sales_rows', 'duplicates_removed',"
-        " 'cancelled_rows', 'negative_quantity_rows', 'service_rows', 'duplicates_ignoring_source']) as metric,"
-        f" unnest([any_value(n), count(*), count(*) filter (where {sold}),"
-        f" count(customer_id) filter (where {sold}), any_value(n) - count(*), count(*) filter (where is_cancelled),"
-        " count(*) filter (where quantity < 0), count(*) filter (where is_service), any_value(n) - any_value(u)])"
-        " as value from clean, (select count(*) as n, count(distinct (invoice, stock_code, description, quantity,"
-        " invoice_date, price, customer_id, country)) as u from trimmed)"
-    )
+    sold = "not (is_cancelled or is_service) and quantity > 0 and price > 0"
+    kept = {
+        "raw_rows": "any_value(n)", "clean_rows": "count(*)", "sales_rows": f"count(*) filter (where {sold})",
+        "customer_sales_rows": f"count(customer_id) filter (where {sold})",
+        "duplicates_removed": "any_value(n) - count(*)", "cancelled_rows": "count(*) filter (where is_cancelled)",
+        "negative_quantity_rows": "count(*) filter (where quantity < 0)",
+        "service_rows": "count(*) filter (where is_service)",
+    }
+
+    def report(metrics: dict[str, str]) -> str:
+        names = ", ".join(f"'{name}'" for name in metrics)
+        return clean(
+            f"select unnest([{names}]) as metric, unnest([{', '.join(metrics.values())}]) as value from clean,"
+            " (select count(*) as n, count(distinct (invoice, stock_code, description, quantity, invoice_date, price,"
+            " customer_id, country)) as u from trimmed)"
+        )
+
+    q["cleaning_report"] = report(kept)
+    q["cleaning_report_unlabelled"] = report(kept | {"duplicates_ignoring_source": "any_value(n) - any_value(u)"})
     q["preview_where"] = clean(top("clean where price <= 0", RAW_ORDER, 20, PREVIEW))
     q["preview_negative_quantity"] = raw(top("raw where quantity < 0", RAW_ORDER, 10, PREVIEW))
     q["preview_missing_description"] = raw(top("raw where description is null", RAW_ORDER, 10, PREVIEW))
@@ -457,18 +473,18 @@ def statements() -> dict[str, str]:
         " from (select invoice, invoice like 'C%' as c from raw)"
     )
     q["suspicious_values"] = raw(
-        "select sum(cast(quantity < 0 as int))::bigint as quantity_below_zero,"
-        " sum(cast(quantity = 0 as int))::bigint as quantity_equal_zero,"
-        " sum(cast(price < 0 as int))::bigint as price_below_zero,"
-        " sum(cast(price = 0 as int))::bigint as price_equal_zero,"
-        " count(*) - count(customer_id) as missing_customer_id,"
-        " count(*) - count(description) as missing_description from raw"
+        "select count(*) filter (where quantity < 0) as quantity_below_zero,"
+        " count(*) filter (where quantity = 0) as quantity_equal_zero,"
+        " count(*) filter (where price < 0) as price_below_zero,"
+        " count(*) filter (where price = 0) as price_equal_zero,"
+        " count(*) filter (where customer_id is null) as missing_customer_id,"
+        " count(*) filter (where description is null) as missing_description from raw"
     )
     q["price_checks"] = clean(
         one_of_each(
             "clean",
             {
-                "negative_price": "sign(price) = -1", "zero_price": "sign(price) = 0",
+                "negative_price": "price < 0", "zero_price": "price = 0",
                 "missing_customer_id": "customer_id is null", "missing_description": "description is null",
             },
             "metric", "value",
@@ -537,6 +553,11 @@ def statements() -> dict[str, str]:
     # entities
     q["dim_customers"] = clean("select customer_id from clean group by 1 having customer_id is not null")
     q["dim_products"] = clean("select stock_code, description from goods", GOODS)
+    q["dim_products_keep_empty"] = clean(
+        "select stock_code, (min({'n': -n, 'd': d}) filter (where d is not null)).d as description from"
+        " (select stock_code, case when regexp_matches(description, '^[A-Z]') then '' else description end as d,"
+        " count(*) as n from clean group by all) group by stock_code"
+    )
     q["fact_orders"] = q["scan_typed_csv"]
     items_out = (
         f"select order_item_id, invoice, stock_code, quantity, {d('price')} as price,"
@@ -561,32 +582,35 @@ def statements() -> dict[str, str]:
         "select 'clean_lines' as table_name, sum(n)::bigint as rows, count(*) as distinct_keys,"
         " count(*) filter (where n > 1) as repeated_keys from (select count(*) as n from clean group by invoice)"
     )
-    q["check_fk_items_orders"] = clean(
-        "select count(*) as items_without_order from items where invoice not in (select invoice from headers)",
-        HEADERS, ITEMS,
-    )
-    q["check_fk_items_orders_violated"] = clean(
-        "select count(*) as items_without_order from clean where is_cancelled"
-    )
-    q["check_fk_items_products"] = clean(
-        "select count(*) as items_without_product from items where stock_code not in (select stock_code from goods)",
-        GOODS, ITEMS,
-    )
+    def lost(child: str, key: str, parent: str, name: str) -> str:
+        return (
+            f"select count(*) as {name} from {child} c where not exists (select 1 from {parent} p where p.{key} = c.{key})"
+        )
+
+    no_order = lambda child: lost(child, "invoice", "headers", "items_without_order")
+    no_product = lambda child, parent: lost(child, "stock_code", parent, "items_without_product")
+    no_customer = lambda parent, child="headers": (
+        lost(f"(select * from {child} where customer_id is not null)", "customer_id", parent,
+             "orders_without_known_customer")
+    )
+    missing_101 = lambda x: (
+        f"(select * replace (case when order_item_id % 101 <> 0 then {x} end as {x}) from items)"
+    )
+    lost_7 = lambda x: f"(select * replace (case when invoice not like '%7' then {x} end as {x}) from headers)"
+    every_customer = "(select distinct customer_id from clean where customer_id is not null)"
+    q["check_fk_items_orders"] = clean(no_order("items"), HEADERS, ITEMS)
+    q["check_fk_items_orders_violated"] = clean("select count(*) as items_without_order from clean where is_cancelled")
+    q["check_fk_items_orders_missing"] = clean(no_order(missing_101("invoice")), HEADERS, ITEMS)
+    q["check_fk_items_products"] = clean(no_product("items", "goods"), GOODS, ITEMS)
     q["check_fk_items_products_violated"] = clean(
-        "select count(*) as items_without_product from items where stock_code not in"
-        " (select stock_code from goods where description is not null)",
-        GOODS, ITEMS,
-    )
-    q["check_fk_orders_customers"] = clean(
-        "select count(*) as orders_without_known_customer from headers where customer_id not in"
-        " (select customer_id from clean where customer_id is not null)",
-        HEADERS,
+        no_product("items", "(select * from goods where description is not null)"), GOODS, ITEMS
     )
+    q["check_fk_items_products_missing"] = clean(no_product(missing_101("stock_code"), "goods"), GOODS, ITEMS)
+    q["check_fk_orders_customers"] = clean(no_customer(every_customer), HEADERS)
     q["check_fk_orders_customers_violated"] = sales(
-        "select count(*) as orders_without_known_customer from headers where customer_id not in"
-        " (select customer_id from frequency where orders_count > 5)",
-        FREQUENCY,
+        no_customer("(select * from frequency where orders_count > 5)"), FREQUENCY
     )
+    q["check_fk_orders_customers_missing"] = clean(no_customer(every_customer, lost_7("customer_id")), HEADERS)
     required = {
         "customers": ["customer_id"], "products": ["stock_code"],
         "orders": ["invoice", "invoice_date", "country", "is_cancelled"],
@@ -608,15 +632,29 @@ def statements() -> dict[str, str]:
         "products": "goods", "orders": "headers", "order_items": "items",
     }
 
-    def violations(tests: dict[str, dict[str, str]]) -> str:
+    def violations(tests: dict[str, dict[str, str]], **changed: str) -> str:
         parts = []
         for name, conditions in tests.items():
-            found = one_of_each(tables[name], conditions, "column_name", "violations")
+            found = one_of_each({**tables, **changed}[name], conditions, "column_name", "violations")
             parts.append(f"select '{name}' as table_name, * from ({found})")
         return clean(" union all ".join(parts), HEADERS, GOODS, ITEMS)
 
     q["check_not_null"] = violations({t: {x: f"{x} is null" for x in cols} for t, cols in required.items()})
     q["check_domain"] = violations(bounded)
+    nulls = {t: {x: f"{x} is null" for x in cols} for t, cols in required.items()}
+    q["check_not_null_violated"] = violations(nulls, orders=lost_7("country"), order_items=missing_101("quantity"))
+    q["check_domain_violated"] = violations(
+        bounded,
+        products="(select * replace (case when stock_code like '%7' then repeat(stock_code, 31) else stock_code end"
+        " as stock_code) from goods)",
+        orders="(select * replace (case when country = 'EIRE' then repeat(country, 30) else country end as country)"
+        " from headers)",
+        order_items="(select * replace (cast(price as double) * case when order_item_id % 101 = 0 then 1e14 else 1 end"
+        " as price) from items)",
+    )
+    q["check_line_total_violated"] = clean(
+        "select count(*) as line_total_mismatch from items where order_item_id % 101 = 0", ITEMS
+    )
     q["check_cancelled_flag"] = clean(
         "select count(distinct invoice) as cancelled_flag_mismatch from clean where invoice like 'c%'"
     )
@@ -624,12 +662,12 @@ def statements() -> dict[str, str]:
         "select count(*) as line_total_mismatch from clean where abs(line_total - quantity * price) > 0.01"
     )
     q["check_missing_description"] = clean(
-        "select count(*) - count(description) as products_without_description from goods", GOODS
+        "select count(*) filter (where description is null) as products_without_description from goods", GOODS
     )
     q["check_value_signs"] = clean(
-        "select count(*) filter (where sign(quantity) = -1) as negative_quantity_rows,"
-        " count(*) filter (where sign(price) = 0) as zero_price_rows,"
-        " count(*) filter (where sign(price) = -1) as negative_price_rows from clean"
+        "select count(*) filter (where quantity < 0) as negative_quantity_rows,"
+        " count(*) filter (where price = 0) as zero_price_rows,"
+        " count(*) filter (where price < 0) as negative_price_rows from clean"
     )
     rows_out = "select count(*) as sales_rows, count(customer_id) as customer_sales_rows from"
     q["sales_row_counts"] = sales(f"{rows_out} sales")
@@ -689,9 +727,9 @@ def statements() -> dict[str, str]:
     q["orders_per_customer"] = sales("select * from frequency", FREQUENCY)
     q["orders_per_customer_by_line"] = line_sales("select * from frequency", _of_lines(FREQUENCY))
     q["repeat_rate"] = sales(
-        "select count(*) as customers, count(*) - count(nullif(orders_count, 1)) as one_time_customers,"
-        " count(nullif(orders_count, 1)) as repeat_customers,"
-        f" {pct('count(nullif(orders_count, 1))', 'count(*)')} as repeat_customer_rate from frequency",
+        "select count(*) as customers, count(*) filter (where orders_count = 1) as one_time_customers,"
+        " count(*) filter (where orders_count > 1) as repeat_customers,"
+        f" {pct('count(*) filter (where orders_count > 1)', 'count(*)')} as repeat_customer_rate from frequency",
         FREQUENCY,
     )
     q["orders_distribution"] = sales(
@@ -737,11 +775,18 @@ def statements() -> dict[str, str]:
         cells = ", ".join(f"max({rate}) filter (where month_number = {k}) as month_{k}" for k in months)
         return sales(
             f"select cohort_month, {cells} from retained where {where} and month_number <= {max(months)}"
-            f" group by 1 having count(*) filter (where month_number >= 0) > 0",
+            " group by 1",
             COHORTS,
         )
 
-    q["retention_matrix"] = matrix(range(13), "true")
+    # All months by all cohorts, so that a month without any activity is a column too.
+    q["retention_matrix"] = sales(
+        "pivot (select cohort_month, 'month_' || k as cell, max(case when month_number = k then rate end) as rate"
+        f" from (select cohort_month, month_number, {pct('active_customers', 'cohort_size')} as rate from retained)"
+        " cross join (select unnest(range(0, (select max(month_number) + 1 from retained))) as k) group by all)"
+        " on cell using max(rate) group by cohort_month",
+        COHORTS,
+    )
     q["retention_heatmap"] = matrix(range(1, 7), RANGE)
     q["retention_summary"] = matrix((1, 3, 6), RANGE)
     rate = "active_customers * 100.0::double / cohort_size"
@@ -798,6 +843,10 @@ def statements() -> dict[str, str]:
         " order by quantity desc, stock_code limit 15) left join goods using (stock_code)",
         GOODS,
     )
+    q["product_summary_line_descriptions"] = line_sales(
+        "select stock_code, (min({'t': invoice_date, 'd': description}) filter (where description is not null)).d"
+        f" as description, {PRODUCT} from line_sales group by stock_code order by revenue desc, stock_code limit 15"
+    )
     q["top_products_ascending"] = sales(
         f"select stock_code, description, revenue from ({product}) order by revenue desc, stock_code limit 10"
     )

@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.functions.columns import LOAD_ORDER
-from tillroll.functions.staging import stage
+from tillroll.functions.staging import delete_stages, owned_stages, stage
 from tillroll.operators import cleaning, customers, entities, views
 from tillroll.plans.inputs import TABLES, raw_lines
 
@@ -25,14 +25,26 @@ class Workspace:
         self.spark = spark
         self.sf_dir = sf_dir
         self._lock = threading.RLock()
-        self._tables: dict[str, DataFrame] = {}
+        self._tables: dict = {}
+        self._paths: list[str] = []
 
-    def _staged(self, name: str, build) -> DataFrame:
+    def _made(self, name: str, build):
         with self._lock:
             if name not in self._tables:
-                self._tables[name] = stage(build(), name)
+                with owned_stages(self.spark, delete=False) as paths:
+                    self._tables[name] = build()
+                self._paths += paths
             return self._tables[name]
 
+    def _staged(self, name: str, build) -> DataFrame:
+        return self._made(name, lambda: stage(build(), name))
+
+    def drop(self) -> None:
+        """Delete all stages of this workspace; its tables are made anew on their next use."""
+        with self._lock:
+            paths, self._paths, self._tables = self._paths, [], {}
+            delete_stages(self.spark, paths)
+
     @property
     def raw(self) -> DataFrame:
         return self._staged("raw", lambda: raw_lines(self.spark, self.sf_dir))
@@ -55,7 +67,8 @@ class Workspace:
 
     @property
     def order_items(self) -> DataFrame:
-        return self._staged("order_items", lambda: entities.fact_order_items(self.clean))
+        """Read from the sequence that numbers the lines; not written a second time."""
+        return self._made("order_items", lambda: entities.fact_order_items(self.clean))
 
     @property
     def entities(self) -> dict[str, DataFrame]:
@@ -67,14 +80,15 @@ class Workspace:
         return self._staged("sales", lambda: views.v_sales(self.order_items, self.orders, self.products))
 
     @property
-    def receipts(self) -> DataFrame:
+    def receipts(self) -> views.Receipts:
         """Receipts of ``v_sales``: one row per invoice."""
-        return self._staged("receipts", lambda: views.receipts(self.sales))
+        made = lambda: views.invoice_receipts(self.sales).stored(lambda rows: stage(rows, "receipts"))
+        return self._made("receipts", made)
 
     @property
     def rfm(self) -> DataFrame:
         """Recency, frequency and money per customer of ``v_sales``."""
-        return self._staged("rfm", lambda: customers.rfm_customer(self.receipts, single=True))
+        return self._staged("rfm", lambda: customers.rfm_customer(self.receipts))
 
     @property
     def scores(self) -> DataFrame:
@@ -86,28 +100,32 @@ class Workspace:
         return cleaning.filter_sales(self.clean)
 
     @property
-    def line_receipts(self) -> DataFrame:
+    def line_receipts(self) -> views.Receipts:
         return views.receipts(self.line_sales)
 
 
-_open: dict[tuple, Workspace] = {}
+_open: dict[tuple, tuple[tuple, Workspace]] = {}
 _open_lock = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    """Size and time of change of the input tables, so that changed inputs are staged anew."""
-    marks = []
-    for name in TABLES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        marks.append((files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
-    return tuple(marks)
+    """Paths, sizes and times of change of the input files, so that changed inputs are staged anew."""
+    folders = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in TABLES]
+    files = spark.read.format("binaryFile").load(folders).select("path", "length", "modificationTime")
+    return tuple(sorted(tuple(row) for row in files.collect()))
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The workspace of this application for an input folder in its present state."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _fingerprint(spark, sf_dir))
+    """The workspace of this application for an input folder in its present state.
+
+    When the inputs have changed, the stages of their former state are deleted.
+    """
+    key, mark = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _fingerprint(spark, sf_dir)
     with _open_lock:
-        if key not in _open:
-            _open[key] = Workspace(spark, sf_dir)
-        return _open[key]
+        before, found = _open.get(key, (None, None))
+        if before != mark:
+            if found:
+                found.drop()
+            found = Workspace(spark, sf_dir)
+            _open[key] = (mark, found)
+        return found

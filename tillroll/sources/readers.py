@@ -51,14 +51,18 @@ def scan_labelled_union(
     *,
     label: str = "source_period",
     fmt: str = "parquet",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Append several same-shaped sources, each row tagged with the label of its source."""
+    """Append several same-shaped sources, each row tagged with the label of its source.
+
+    ``multi_line`` reads CSV whose quoted texts hold line breaks (see ``scan_typed_csv``).
+    """
     if not sources:
         raise ValueError("no sources given")
 
     def scan(path: str | list[str]) -> DataFrame:
         if fmt == "csv":
-            return scan_typed_csv(spark, path, schema)
+            return scan_typed_csv(spark, path, schema, multi_line=multi_line)
         paths = [path] if isinstance(path, str) else path
         return spark.read.format(fmt).schema(schema).load(paths)
 
