@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
-from tillroll.llm.text import mixed, rolling, slices, span_hash, utf8
+from tillroll.llm.text import BYTE_VALUES, ODD, mixed, powers, rolling, slices, span_hash, utf8
 
 LENGTH, GRAM, STEP = 400, 32, 25
 #: q-grams in a stretch; also how far before its anchor a stretch can begin.
 CHOICES = LENGTH - GRAM + 1
 REACH = CHOICES - 1
 AROUND = REACH + LENGTH
-MEMBERS = 8_000
+MEMBERS = 40_000
 #: Classes whose reach is bounded together, and classes that are refined together.
 BOUNDED, TOGETHER = 2_000, 4_000
 #: A table of so many document keys may be broadcast.
@@ -105,13 +105,17 @@ def _aligned(around: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grid, first, last
 
 
+def _grams(grid: np.ndarray, rows: np.ndarray, j: int) -> np.ndarray:
+    """Hash of the ``STEP`` bytes from offset ``j`` of some rows."""
+    return mixed((BYTE_VALUES[grid[rows, j : j + STEP]] * powers(ODD, STEP)).sum(axis=1, dtype=_U))
+
+
 def bounded(grid: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray):
     """The first and last offset at which a repeated stretch of each member can begin (none if first > last).
 
     Blocks next to the anchor are refined outwards: a member keeps its number while others share all blocks so far.
     """
     m = len(grid)
-    sums, base = rolling(grid.ravel()), np.arange(m) * AROUND
     ends = []
     for direction in (-1, 1):
         number, edge = _numbered(mixed(bucket.astype(_U))), np.full(m, REACH if direction < 0 else LENGTH - STEP)
@@ -124,8 +128,7 @@ def bounded(grid: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.nd
             alive = np.flatnonzero((number >= 0) & (low >= first) & (low + STEP <= last))
             fresh = np.full(m, -1, np.int32)
             if len(alive) > 1:
-                key = span_hash(sums, base[alive] + low, base[alive] + low + STEP)
-                fresh[alive] = _numbered(mixed(key ^ mixed(number[alive].astype(_U))))
+                fresh[alive] = _numbered(mixed(_grams(grid, alive, low) ^ mixed(number[alive].astype(_U))))
             number = fresh
             if not (number >= 0).any():
                 break
@@ -139,13 +142,12 @@ def bounded(grid: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.nd
 
 def refine(grid: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """Whether the stretch that begins at offset j repeats in the bucket: [j, member]; j is from low to high."""
-    m, columns = len(grid), AROUND - STEP + 1
-    sums, base, own = rolling(grid.ravel()), np.arange(m) * AROUND, mixed(bucket.astype(_U))
+    m, columns, own = len(grid), AROUND - STEP + 1, mixed(bucket.astype(_U))
     number = np.full((columns, m), -1, np.int32)
     for j in range(columns):
         asked = np.flatnonzero((low <= j) & (j <= high + LENGTH - STEP))
         if len(asked) > 1:
-            number[j, asked] = _numbered(span_hash(sums, base[asked] + j, base[asked] + j + STEP) ^ own[asked])
+            number[j, asked] = _numbered(_grams(grid, asked, j) ^ own[asked])
     size = STEP
     while size < LENGTH:
         columns -= size

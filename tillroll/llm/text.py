@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
-_ODD = 0x9E3779B97F4A7C15
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15
+ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
 def slices(batches, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -56,7 +56,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 #: A random value for each byte; those of A-Z are those of a-z in the folded table.
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_ODD)) | _U(1)
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _U(ODD)) | _U(1)
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 
@@ -77,13 +77,13 @@ def powers(base: int, n: int) -> np.ndarray:
 def rolling(data: np.ndarray, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """Prefix sums from which ``span_hash`` takes the hash of any stretch of ``data``."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(_ODD, len(data)), out=sums[1:])
+    np.cumsum(table[data] * powers(ODD, len(data)), out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes from ``starts`` to ``ends``; equal bytes give equal values wherever they stand."""
-    return mixed((sums[ends] - sums[starts]) * powers(_ODD_INVERSE, len(sums))[starts])
+    return mixed((sums[ends] - sums[starts]) * powers(ODD_INVERSE, len(sums))[starts])
 
 
 #: White space as the contracts name it: space and 0x09 to 0x0D.
@@ -126,14 +126,14 @@ def shingle_sets(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         whole = np.flatnonzero(row[:m] == row[k - 1 :])
         shingle = np.zeros(len(whole), np.uint64)
         for j in range(k):
-            shingle = shingle * _U(_ODD) + word[whole + j]
+            shingle = shingle * _U(ODD) + word[whole + j]
         shingle, owner = mixed(shingle), row[whole]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         value = np.zeros(len(short), np.uint64)
         for j in range(k - 1):
             there = count[short] > j
-            value[there] = value[there] * _U(_ODD) + word[first[short[there]] + j]
+            value[there] = value[there] * _U(ODD) + word[first[short[there]] + j]
         value = mixed(value + count[short].astype(np.uint64))
         shingle, owner = np.concatenate([shingle, value]), np.concatenate([owner, short])
         order = np.argsort(owner, kind="stable")
