@@ -86,8 +86,8 @@ _NEIGHBOURS = """
 with held as (
     select distinct vec_id, embedding::double[] as e from embeddings
     where vec_id is not null and len(embedding) > 0
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and len(list_filter(embedding, x -> x <> 0)) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), width as (
     select len(e) as n from held group by 1 order by count(*) desc, 1 limit 1
 ), v as (
@@ -97,10 +97,11 @@ with held as (
     from v q join v p on p.vec_id <> q.vec_id where q.vec_id % 100 = 0
 )
 select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank, vec_id,
-       round(score, 9) as score
+       score
 from d qualify rank <= 10
 """
 
 
 def statements() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express and run over whole tables; tests hold the others against plain forms."""
+    return {"op6_hilbert_neighbours": _NEIGHBOURS}

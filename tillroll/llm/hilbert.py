@@ -109,6 +109,11 @@ def _keyed(points: DataFrame, width: int, scale: float) -> DataFrame:
     return points.mapInArrow(run, "curve int, key long, point long, ids array<long>, embedding array<double>, asks boolean")
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, summed from the first component to the last."""
+    return np.sqrt(np.cumsum(np.square(x - y), axis=-1)[..., -1])
+
+
 def _answers(queries, best):
     """A batch (point, vec_id, score) of what each query keeps."""
     size = [len(d) for _, d in best]
@@ -133,7 +138,7 @@ def _windows(ordered: DataFrame, k: int, width: int) -> DataFrame:
         for i in np.flatnonzero(curve.column("asks").to_numpy()):
             low, high = max(0, i - WINDOW), min(len(x), i + WINDOW + 1)
             a, b = np.searchsorted(owner, (low, high))
-            d = np.sqrt(((x[low:high] - x[i]) ** 2).sum(axis=1))[owner[a:b] - low]
+            d = distances(x[low:high], x[i])[owner[a:b] - low]
             order = np.lexsort((ids[a:b], d))[: k + 1]
             queries.append(points[i])
             best.append((ids[a:b][order], d[order]))
@@ -180,7 +185,7 @@ def _checked(points: DataFrame, queries: list, k: int, width: int) -> DataFrame:
                     d2 = square[some, None] + (x * x).sum(axis=1) - 2 * (y[some] @ x.T)
                     slack = 1e-9 * (1 + square[some]) + bound[some] ** 2
                     q, p = np.nonzero(d2 <= np.where(np.isinf(bound[some]), np.inf, slack)[:, None])
-                    d = np.sqrt(((y[some[q]] - x[p]) ** 2).sum(axis=1))
+                    d = distances(y[some[q]], x[p])
                     keep = d <= bound[some[q]]
                     q, p, d = q[keep], p[keep], d[keep]
                     size = begin[p + 1] - begin[p]
