@@ -48,20 +48,23 @@ def jaccard_components(texts, percent=75):
     return {i: (len(s), union.find(i)) for i, s in sets.items()}
 
 
-def grams(line, k=5):
-    return frozenset([line] if len(line) < k else (line[i : i + k] for i in range(len(line) - k + 1)))
+def line_shingles(line, k=8, long=24):
+    words = line.split(" ")
+    if len(line) > long * len(words):
+        return frozenset(line[i : i + k] for i in range(len(line) - k + 1))
+    return frozenset(f"{x} {y}"[:k] for x, y in zip(words, [*words[1:], ""], strict=True))
 
 
 def line_dedup(texts, similarity=0.8):
-    """{doc_id: text} with one line kept of each component of alike lines, by comparing all lines that share a gram."""
+    """{doc_id: text} with one line kept of each component of alike lines, by comparing all lines that share a shingle."""
     places = defaultdict(list)
     for i in sorted(texts):
         for n, line in enumerate((texts[i] or "").split("\n")):
-            line = line.removesuffix("\r").strip(" ")
+            line = line.strip(" \r")
             if line:
                 places[line].append((i, n))
     every = list(places)
-    sets = [grams(line) for line in every]
+    sets = [line_shingles(line) for line in every]
     holders = defaultdict(list)
     for i, s in enumerate(sets):
         for x in s:

@@ -8,7 +8,7 @@ from tillroll.llm import catalog, lines
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
-    families = [[word() for _ in range(40)] for _ in range(12)]
+    families = [[word() for _ in range(80)] for _ in range(12)]
     texts = [None, "", "\n\n", "ab", "ab\nab\r\n ab ", "日本語の文章です。" * 20, "日本語の文章です。" * 20 + "追加"]
     for _ in range(80):
         held = []
@@ -36,10 +36,10 @@ def test_shuffled_ids_and_no_broadcast(make_docs, monkeypatch):
     )
 
 
-def test_grams(spark):
-    values = ["", "abc", "abcde", "aaaaaaaa", "añ\tb c d", "日本語の文章です"]
-    rows = spark.createDataFrame([(v,) for v in values], "s string").select(lines.grams(lines.F.col("s")).alias("g"))
-    assert [frozenset(r.g) for r in rows.collect()] == [brute.grams(v) for v in values]
+def test_shingles(spark):
+    values = ["abc", "abcdefgh", "aaa aaaaaa aaaa, a", "añ\tb c  d e f1234 gh", "日本語の文章です。" * 5 + "日本語", "日本語の文章です。日本語", "x" * 500 + " y" * 20]
+    rows = spark.createDataFrame([(v,) for v in values], "s string").select(lines.shingles(lines.F.col("s")).alias("g"))
+    assert [frozenset(r.g) for r in rows.collect()] == [brute.line_shingles(v) for v in values]
 
 
 def test_query(spark, sf_dir):

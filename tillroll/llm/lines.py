@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-1. Every line that is not blank (trimmed) has a MinHash signature over character shingles: ``SHINGLE`` characters from
-   each place that does not follow a letter (word starts; every place in scripts that write no spaces); a shorter line
-   is one shingle. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall together before the shuffle.
+1. Every line that is not blank (trimmed) has a set of character shingles: from each word start the next ``SHINGLE``
+   characters of it and the next word. In a line with words of over ``LONG`` characters on average (scripts that write no
+   spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
+   exclusive-or. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
+   together before the shuffle.
 2. ``BANDS`` bands of ``ROWS`` minima each propose candidates: every line of a band's bucket meets the bucket's smallest
    line. Lines that are alike to ``SIMILARITY`` or more share a bucket with a chance of 98.6 percent or more.
-3. Candidates are verified exactly: the Jaccard similarity of their sets of all ``GRAM``-character shingles (a shorter
-   line is one shingle).
+3. Candidates are verified exactly: the Jaccard similarity of their shingle sets.
 4. Components of the verified links are found by distributed union-find. Of each component, and of the occurrences of
    each repeated line, the first by doc_id and place stays; all others are removed from their documents.
 
@@ -16,19 +17,20 @@ Documents keep all their columns, also when no line is left (the text is then em
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
 from tillroll.llm.components import components
 
-SHINGLE, GRAM, BANDS, ROWS = 8, 5, 6, 3
+SHINGLE, LONG, BANDS, ROWS = 8, 24, 6, 3
 SIMILARITY = 0.8
 #: A table of ids of this many rows may be broadcast.
 BROADCAST_ROWS = 300_000
 
-_STARTS = rf"(?s)(?:(?<![\p{{L}}\p{{M}}])|(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]))(?=(.{{{SHINGLE}}}))"
-_GRAMS = rf"(?s)(?=(.{{{GRAM}}}))"
+_EVERY_PLACE = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -36,18 +38,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     split = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "chars")
     )
-    trimmed = split.withColumn("chars", F.trim(F.regexp_replace("chars", "\r$", ""))).filter("chars <> ''")
+    trimmed = split.withColumn("chars", F.btrim("chars", F.lit(" \r"))).filter("chars <> ''")
     return trimmed.withColumn("line", F.xxhash64("chars"))
 
 
+def _starts(chars: Column) -> Column:
+    """The words of a line, each with the next one, or the shingles themselves where there are no words."""
+    words = F.split(chars, " ")
+    spaceless = F.char_length(chars) > LONG * F.size(words)
+    first = F.when(spaceless, F.regexp_extract_all(chars, F.lit(_EVERY_PLACE), F.lit(1))).otherwise(words)
+    return F.arrays_zip(first.alias("x"), F.slice(first, 2, 1 << 30).alias("y"))
+
+
+def _shingle(start: Column) -> Column:
+    return F.left(F.concat(start["x"], F.lit(" "), F.coalesce(start["y"], F.lit(""))), F.lit(SHINGLE))
+
+
+def shingles(chars: Column) -> Column:
+    """The set of a line's character shingles."""
+    return F.array_distinct(F.transform(_starts(chars), _shingle))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per different line: its minima and how often it occurs."""
-    shingles = F.when(F.char_length("chars") < SHINGLE, F.array("chars")).otherwise(
-        F.regexp_extract_all("chars", F.lit(_STARTS), F.lit(1))
-    )
-    each = lines.select("line", F.posexplode(shingles).alias("nth", "shingle")).select("line", "nth", F.xxhash64("shingle").alias("h"))
-    minima = [F.min(F.hash("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    return each.groupBy("line").agg(F.sum(F.when(F.col("nth") == 0, 1).otherwise(0)).alias("times"), *minima)
+    each = lines.select("line", F.posexplode(_starts(F.col("chars"))).alias("nth", "start"))
+    hashed = each.select("line", "nth", F.hash(_shingle(F.col("start"))).alias("h"))
+    masks = random.Random(0)
+    minima = [
+        F.min(F.col("h").bitwiseXOR(F.lit(masks.randrange(1 << 31)))).alias(f"m{i}") for i in range(BANDS * ROWS)
+    ]
+    return hashed.groupBy("line").agg(F.count_if(F.col("nth") == 0).alias("times"), *minima)
 
 
 def _candidates(signatures: DataFrame) -> DataFrame:
@@ -58,15 +78,6 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     return bucket.join(least, "bucket").filter("b < line").select(F.col("line").alias("a"), "b").distinct()
 
 
-def grams(chars: Column) -> Column:
-    """The set of a line's character shingles."""
-    return F.array_distinct(
-        F.when(F.char_length(chars) < GRAM, F.array(chars)).otherwise(
-            F.regexp_extract_all(chars, F.lit(_GRAMS), F.lit(1))
-        )
-    )
-
-
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = stage(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
@@ -77,7 +88,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     met = (
         pairs.join(chars.select(F.col("line").alias("a"), F.col("chars").alias("x")), "a")
         .join(chars.select(F.col("line").alias("b"), F.col("chars").alias("y")), "b")
-        .select("a", "b", grams(F.col("x")).alias("x"), grams(F.col("y")).alias("y"))
+        .select("a", "b", *(shingles(F.col(side)).alias(side) for side in ("x", "y")))
     )
     common = F.size(F.array_intersect("x", "y"))
     return met.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
