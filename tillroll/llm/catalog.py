@@ -93,7 +93,8 @@ with held as (
 ), v as (
     select vec_id, e from held where len(e) = (select n from width)
 ), d as (
-    select q.vec_id as query_id, p.vec_id, list_distance(q.e, p.e) as score
+    select q.vec_id as query_id, p.vec_id, sqrt(list_reduce(
+        list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) as score
     from v q join v p on p.vec_id <> q.vec_id where q.vec_id % 100 = 0
 )
 select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as int) as rank, vec_id,
@@ -102,6 +103,39 @@ from d qualify rank <= 10
 """
 
 
+_JACCARD = """
+with recursive lists as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as w
+    from documents
+), words as (
+    select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place, len(w) as n from lists
+), held as materialized (
+    select distinct doc_id, x from (
+        select doc_id, word || ' ' || lead(word, 1) over d || ' ' || lead(word, 2) over d || ' ' || lead(word, 3) over d
+            || ' ' || lead(word, 4) over d as x
+        from words where n >= 5 window d as (partition by doc_id order by place))
+    where x is not null
+    union all
+    select doc_id, string_agg(word, ' ' order by place) from words where n < 5 group by doc_id
+), sizes as (
+    select doc_id, count(*) as n from held group by doc_id
+), links as (
+    select a, b from (
+        select l.doc_id as a, r.doc_id as b, count(*) as c from held l join held r on l.x = r.x and l.doc_id <> r.doc_id
+        group by all)
+    join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+    where 100 * c >= 75 * (p.n + q.n - c)
+), reached as (
+    select doc_id, doc_id as from_id from documents
+    union
+    select b, from_id from reached join links on a = doc_id
+)
+select d.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.from_id) as component_id
+from documents d left join sizes s using (doc_id) join reached r using (doc_id) group by d.doc_id
+"""
+
+
 def statements() -> dict[str, str]:
     """SQL of the queries that SQL can express and run over whole tables; tests hold the others against plain forms."""
-    return {"op6_hilbert_neighbours": _NEIGHBOURS}
+    return {"op5_jaccard_tiles": _JACCARD, "op6_hilbert_neighbours": _NEIGHBOURS}
