@@ -113,15 +113,15 @@ def remove(docs: DataFrame, report: bool = False) -> DataFrame:
     """The documents without the lines that repeat another; ``report`` adds n_lines and n_removed."""
     marked = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
     places = stage(repeated(docs), "line-removals").withColumnRenamed("doc", "__doc").withColumnRenamed("places", "__places")
-    joined = marked.join(places, "__doc", "left")
-    split = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__places"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+    # a column of its own, so that the text is split once and not once per line
+    joined = marked.join(places, "__doc", "left").withColumn("__lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__places"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
     text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept).alias("text")
     columns = [text if name == "text" else F.col(name) for name in docs.columns]
     if report:
         columns += [
-            F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
         ]
     return joined.select(*columns)
