@@ -248,7 +248,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     pairs = stage(pairs, "set-pairs")
     small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
-    share = 4_000
+    share = 200
     copies = pairs.groupBy("b").agg((F.floor(F.count("*") / share) + 1).alias("copies"))
     own = sets.join(small(copies), sets.sid == copies.b).select(
         "b", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("part"),
@@ -540,7 +540,7 @@ def join(docs: DataFrame) -> DataFrame:
             size = bounds[1:] - bounds[:-1]
             found = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(size, pa.int64()), packed(shingle, bounds),
-                 pa.array(bitmaps(shingle, bounds), pa.binary()), pa.array(bitmaps(shingle, bounds, 8), pa.binary())],
+                 pa.array(bitmaps(shingle, bounds, 4), pa.binary()), pa.array(bitmaps(shingle, bounds, 16), pa.binary())],
                 names=["sid", "alone", "size", "elements", "bits", "wide"],
             )
             # an id that several rows share may name another row's text
