@@ -26,7 +26,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 from tillroll.llm.text import added, slices, utf8, wider
 
 #: Distinct pieces a task remembers before it starts anew; bounds memory, not results.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 100_000
 #: Before one space between two visible characters: the pattern always splits there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -114,17 +114,28 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(df: DataFrame, path: str, column: str = "text", offsets: bool = True) -> DataFrame:
+def _bytes(ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, token_bounds: np.ndarray) -> pa.Array:
+    """The bytes of each stretch of ids, by the table of token bytes."""
+    data, begins = gathered(table, token_bounds, ids)
+    offset = pa.py_buffer(begins[bounds].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offset, pa.py_buffer(data)])
+
+
+def encode(
+    df: DataFrame, path: str, column: str = "text", offsets: bool = True, decoded: bool = False
+) -> DataFrame:
     """Adds ``ids`` and, with ``offsets``, ``starts`` and ``ends``: each token's characters in the text.
 
     A character that several tokens share belongs to each of them: the span runs from the character that holds the
-    token's first byte to the end of the one that holds its last.
+    token's first byte to the end of the one that holds its last. With ``decoded`` the ids are decoded in the same
+    pass (see ``decode``), which spares their way through a second Python process.
     """
     kinds = {"ids": "array<int>"} | ({"starts": "array<int>", "ends": "array<int>"} if offsets else {})
+    kinds |= {"decoded": "binary"} if decoded else {}
     schema, place = wider(df, **kinds), df.columns.index(column)
 
     def run(batches):
-        tokenizer, _, token_bounds = vocabulary(path)
+        tokenizer, table, token_bounds = vocabulary(path)
         pieces, length = _Pieces(tokenizer), token_bounds[1:] - token_bounds[:-1]
         for batch in slices(batches, place):
             ids, begins = pieces.encode(batch.column(place).to_pylist())
@@ -138,6 +149,8 @@ def encode(df: DataFrame, path: str, column: str = "text", offsets: bool = True)
                 starts = character[last - length[ids] + 1] - base if len(ids) else base
                 ends = character[last] - base + 1 if len(ids) else base
                 more |= {"starts": _lists(starts, begins), "ends": _lists(ends, begins)}
+            if decoded:
+                more["decoded"] = _bytes(ids, begins, table, token_bounds)
             yield added(batch, more)
 
     return df.mapInArrow(run, schema)
@@ -155,18 +168,14 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
                 ids = part.column(place).fill_null([])
                 wanted = ids.flatten().to_numpy(zero_copy_only=False)
                 bounds = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-                data, begins = gathered(table, token_bounds, wanted)
-                offset = pa.py_buffer(begins[bounds].astype(np.int32))
-                value = pa.Array.from_buffers(pa.binary(), len(ids), [None, offset, pa.py_buffer(data)])
-                yield added(part, {"decoded": value})
+                yield added(part, {"decoded": _bytes(wanted, bounds, table, token_bounds)})
 
     return df.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Per document the number of tokens and the digests of ids and of decoded bytes."""
-    ids = encode(docs.select("doc_id", "text"), path, offsets=False).drop("text")
-    return decode(ids, path).select(
+    return encode(docs.select("doc_id", "text"), path, offsets=False, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
