@@ -286,7 +286,8 @@ def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = stage(pairs, "bounded-pairs")
     small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
-    met = side("b").join(small(side("a").join(small(pairs), "a")), "b").select("a", "b", "na", "nb", "wa", "wb")
+    # the pairs may be broadcast, never the bitmaps, whose size grows with the sets
+    met = side("b").join(side("a").join(small(pairs), "a"), "b").select("a", "b", "na", "nb", "wa", "wb")
 
     def run(batches):
         for batch in batches:
