@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from tillroll.llm.text import added, slices, utf8, wider
+from tillroll.llm.text import added, slices, tidy, utf8, wider
 
 #: Distinct pieces a task remembers before it starts anew; bounds memory, not results.
 PIECES_KEPT = 100_000
@@ -153,7 +153,7 @@ def encode(
                 more["decoded"] = _bytes(ids, begins, table, token_bounds)
             yield added(batch, more)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
@@ -170,7 +170,7 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
                 yield added(part, {"decoded": _bytes(wanted, bounds, table, token_bounds)})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

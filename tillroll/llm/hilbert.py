@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
+from tillroll.llm.text import tidy
 
 DIMENSIONS, BITS, CURVES, WINDOW = 6, 10, 4, 128
 #: Points compared at once, and queries that the driver hands to all tasks (20,000 of 64 components are 10 MB).
@@ -106,7 +107,7 @@ def _keyed(points: DataFrame, width: int, scale: float) -> DataFrame:
                 names = ["curve", "key", *batch.schema.names]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), curve, np.int32)), key, *batch.columns], names=names)
 
-    return points.mapInArrow(run, "curve int, key long, point long, ids array<long>, embedding array<double>, asks boolean")
+    return points.mapInArrow(tidy(run), "curve int, key long, point long, ids array<long>, embedding array<double>, asks boolean")
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def _windows(ordered: DataFrame, k: int, width: int) -> DataFrame:
             if parts and (found := search(pa.Table.from_batches(parts))):
                 yield found
 
-    return ordered.mapInArrow(run, "point long, vec_id long, score double")
+    return ordered.mapInArrow(tidy(run), "point long, vec_id long, score double")
 
 
 def _nearest(found: DataFrame, most: int) -> DataFrame:
@@ -193,7 +194,7 @@ def _checked(points: DataFrame, queries: list, k: int, width: int) -> DataFrame:
                     columns = (np.repeat(name[some[q]], size), ids[take], np.repeat(d, size))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["point", "vec_id", "score"])
 
-    return points.select("ids", "embedding").mapInArrow(run, "point long, vec_id long, score double")
+    return points.select("ids", "embedding").mapInArrow(tidy(run), "point long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, check: bool = True) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
 from tillroll.llm.components import components
-from tillroll.llm.text import mixed, packed, shingle_sets, slices, unpacked
+from tillroll.llm.text import mixed, packed, shingle_sets, slices, tidy, unpacked
 
 PERCENT = 75
 #: Shingles of a set that must be shared in the first filter: one in so many.
@@ -233,8 +233,8 @@ def _facts(docs: DataFrame) -> DataFrame:
         own, n = np.unique(sid[np.repeat(size > 1, size) | known], return_counts=True)
         yield rows(1, own.astype(np.int64), np.zeros(len(own), np.int64), n)
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, what int, left binary, right binary")
-    return _dealt(dealt).mapInArrow(count, "kind int, x long, y long, n long")
+    dealt = docs.select("doc_id", "text").mapInArrow(tidy(deal), "bucket int, what int, left binary, right binary")
+    return _dealt(dealt).mapInArrow(tidy(count), "kind int, x long, y long, n long")
 
 
 # 3 and 4: links between the remaining sets
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"]
             )
 
-    return met.mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(tidy(compare), "a long, b long")
 
 
 def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [*kept.columns, pa.array(found, pa.float64())], names=["a", "b", "similarity"]
             )
 
-    return met.mapInArrow(run, "a long, b long, similarity double")
+    return met.mapInArrow(tidy(run), "a long, b long, similarity double")
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def _leaders(sets: DataFrame) -> DataFrame:
             )
 
     own = sets.select("sid", "alone", "elements")
-    key = stage(own.mapInArrow(keys, "key long, sid long, alone double"), "leader-keys")
+    key = stage(own.mapInArrow(tidy(keys), "key long, sid long, alone double"), "leader-keys")
     least = key.groupBy("key").agg(F.min(F.struct("alone", "sid"))["sid"].alias("leader"))
     both = key.join(least, "key").filter("leader <> sid").groupBy("sid", "leader").agg(F.count("*").alias("n"))
     best = both.groupBy("sid").agg(F.max("n").alias("n"))
@@ -366,8 +366,8 @@ def _common_shingles(sets: DataFrame, least: int) -> np.ndarray:
         total = np.bincount(which, np.concatenate(n), len(key))
         yield pa.RecordBatch.from_arrays([pa.array(key[total >= least].view(np.int64))], names=["token"])
 
-    dealt = sets.select("elements").mapInArrow(deal, "bucket int, token binary, n binary")
-    found = _dealt(dealt).mapInArrow(count, "token long").toArrow().column(0).to_numpy()
+    dealt = sets.select("elements").mapInArrow(tidy(deal), "bucket int, token binary, n binary")
+    found = _dealt(dealt).mapInArrow(tidy(count), "token long").toArrow().column(0).to_numpy()
     return np.sort(found.astype(np.int64).view(_U))
 
 
@@ -436,8 +436,8 @@ def _between(sets: DataFrame, common: np.ndarray) -> DataFrame:
     def tiles(left, right):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (left, right)], names=["left", "right"])
 
-    dealt = sets.select("sid", "root", "elements").mapInArrow(deal, "bucket int, token binary, facts binary")
-    return _dealt(dealt).mapInArrow(meet, "left binary, right binary").distinct()
+    dealt = sets.select("sid", "root", "elements").mapInArrow(tidy(deal), "bucket int, token binary, facts binary")
+    return _dealt(dealt).mapInArrow(tidy(meet), "left binary, right binary").distinct()
 
 
 def _candidates(tiles: DataFrame, sets: DataFrame) -> DataFrame:
@@ -459,7 +459,7 @@ def _candidates(tiles: DataFrame, sets: DataFrame) -> DataFrame:
                     names=["tile", "side", "sid"],
                 )
 
-    member = tiles.select("tile", "left", "right").mapInArrow(members, "tile long, side int, sid long")
+    member = tiles.select("tile", "left", "right").mapInArrow(tidy(members), "tile long, side int, sid long")
     known = sets.select("sid", "root", "size", "bits")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = member.join(known, "sid").select("tile", "side", "sid", "root", "size", "bits")
@@ -512,7 +512,7 @@ def _candidates(tiles: DataFrame, sets: DataFrame) -> DataFrame:
         if found:
             yield out(found)
 
-    return met.mapInArrow(bound, "a long, b long").distinct()
+    return met.mapInArrow(tidy(bound), "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -549,7 +549,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     whole = docs.select("doc_id", "text").join(small(kept), F.col("doc_id") == F.col("rep")).select("sid", "alone", "text")
     shape = "sid long, alone double, size long, elements binary, bits binary, wide binary"
-    sets = stage(whole.mapInArrow(gather, shape), "sets")
+    sets = stage(whole.mapInArrow(tidy(gather), shape), "sets")
     links = stage(verified(promising(_leaders(sets), sets).select("a", "b"), sets), "set-links")
 
     def rooted(links):

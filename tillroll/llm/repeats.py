@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
-from tillroll.llm.text import BYTE_VALUES, ODD, mixed, powers, rolling, slices, span_hash, utf8
+from tillroll.llm.text import BYTE_VALUES, ODD, mixed, powers, rolling, slices, span_hash, tidy, utf8
 
 LENGTH, GRAM, STEP = 400, 32, 25
 #: q-grams in a stretch; also how far before its anchor a stretch can begin.
@@ -192,7 +192,7 @@ def _anchors(documents: DataFrame) -> DataFrame:
                 [pa.array(x) for x in (gram, kind, doc, place)], names=["bucket", "kind", "doc", "place"]
             )
 
-    return documents.select("doc", "text").mapInArrow(run, "bucket long, kind long, doc long, place long")
+    return documents.select("doc", "text").mapInArrow(tidy(run), "bucket long, kind long, doc long, place long")
 
 
 def _only(documents: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -228,7 +228,7 @@ def _surroundings(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     return _only(documents, asked).join(asked, "doc").select("text", "asked").mapInArrow(
-        run, "bucket long, kind long, before int, around binary"
+        tidy(run), "bucket long, kind long, before int, around binary"
     )
 
 
@@ -271,7 +271,7 @@ def _refined(around: DataFrame) -> DataFrame:
             parts.append(bound(rows))
             yield out(parts)
 
-    return dealt.mapInArrow(run, "bucket long, kind long, stretches binary")
+    return dealt.mapInArrow(tidy(run), "bucket long, kind long, stretches binary")
 
 
 def _counted(around: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _counted(around: DataFrame) -> DataFrame:
                     names=["bucket", "kind", "begin", "value"],
                 )
 
-    rows = stage(around.mapInArrow(every, "bucket long, kind long, begin int, value long").distinct(), "stretches")
+    rows = stage(around.mapInArrow(tidy(every), "bucket long, kind long, begin int, value long").distinct(), "stretches")
     keys = ["bucket", "begin", "value"]
     repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
     starts = rows.join(repeated, keys).groupBy("bucket", "kind").agg(F.sort_array(F.collect_list("begin")).alias("begin"))
@@ -312,7 +312,7 @@ def _counted(around: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(held, pa.binary())], names=["bucket", "kind", "stretches"]
             )
 
-    return starts.mapInArrow(merge, "bucket long, kind long, stretches binary")
+    return starts.mapInArrow(tidy(merge), "bucket long, kind long, stretches binary")
 
 
 def repeated_stretches(documents: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def remove(docs: DataFrame) -> DataFrame:
         joined = joined.union(clean.select(*columns))
     else:
         joined = documents.join(found, "doc", "left").select(*columns)
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, runs array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, runs array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

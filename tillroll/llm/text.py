@@ -6,7 +6,9 @@ counts as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,23 @@ ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches; at its end the task's freed memory goes back to the system.
+
+    Python workers live on between tasks and stages, so what their allocators keep would add up.
+    """
+
+    @functools.wraps(run)
+    def call(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return call
+
+
 def slices(batches, column: int = 0, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches that hold about ``most`` text bytes, or one longer text."""
     for batch in batches:

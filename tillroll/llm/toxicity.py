@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
-from tillroll.llm.text import FOLDED_VALUES, NOT_ALNUM, held_out, rolling, slices, span_hash, utf8, wider, words
+from tillroll.llm.text import FOLDED_VALUES, NOT_ALNUM, held_out, rolling, slices, span_hash, tidy, utf8, wider, words
 
 POSITIVES, UNLABELLED = 3_000, 5_000
 #: Bytes of a word's beginning that are features beside the whole word.
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = sample.agg(F.count_if("is_pos").alias("pos"), F.count_if("is_unl").alias("unl")).first()
     if not n.pos or not n.unl:
         return Model(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
-    table = sample.mapInArrow(count, "key long, pos long, unl long").groupBy("key").agg(
+    table = sample.mapInArrow(tidy(count), "key long, pos long, unl long").groupBy("key").agg(
         F.sum("pos").alias("pos"), F.sum("unl").alias("unl")
     )
     rate, base = F.col("pos") / n.pos, (F.col("unl") + 0.5) / n.unl
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 names=["is_pos", "is_unl", "hits"],
             )
 
-    rows = sample.orderBy("doc_id").mapInArrow(vectors, "is_pos boolean, is_unl boolean, hits array<int>").collect()
+    rows = sample.orderBy("doc_id").mapInArrow(tidy(vectors), "is_pos boolean, is_unl boolean, hits array<int>").collect()
     x = np.zeros((len(rows), len(keys)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.hits] = 1
@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: Model, column: str = "text", name: str = "toxi
             scores = pa.array(model.score(batch.column(place)))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
