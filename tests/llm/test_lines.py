@@ -59,3 +59,19 @@ def test_empty_and_repeated_rows(make_docs):
     assert lines.remove(docs.limit(0)).count() == 0
     rows = lines.remove(docs.union(docs)).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [(0, "same line here\nother words there")] * 2 + [(1, "")] * 2
+
+
+def test_bands_find_short_lines(spark):
+    """Pairs at a Jaccard similarity of 0.8 with 8 or 16 shared shingles share a bucket with the chance that is stated."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    for shared, own in ((8, 1), (16, 2)):
+        rows = []
+        for pair in range(1500):
+            common = [word() for _ in range(shared)]
+            rows += [(2 * pair + side, " ".join(common + [word() for _ in range(own)])) for side in (0, 1)]
+        held = lines._signatures(spark.createDataFrame(rows, "line long, chars string")).collect()
+        minima = {r.line: [r[f"m{i}"] for i in range(lines.BANDS * lines.ROWS)] for r in held}
+        bands = lambda m: {(b, *m[b : b + lines.ROWS]) for b in range(0, len(m), lines.ROWS)}
+        met = sum(bool(bands(minima[2 * p]) & bands(minima[2 * p + 1])) for p in range(1500))
+        assert met >= 0.975 * 1500

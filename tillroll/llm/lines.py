@@ -3,7 +3,7 @@
 1. Every line that is not blank (trimmed) has a set of character shingles: from each word start the next ``SHINGLE``
    characters of it and the next word. In a line with words of over ``LONG`` characters on average (scripts that write no
    spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
-   exclusive-or. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
+   exclusive-or and hashed again. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
    together before the shuffle.
 2. ``BANDS`` bands of ``ROWS`` minima each propose candidates: every line of a band's bucket meets the bucket's smallest
    line. Lines that are alike to ``SIMILARITY`` or more share a bucket with a chance of 98.6 percent or more.
@@ -64,9 +64,9 @@ def _signatures(lines: DataFrame) -> DataFrame:
     each = lines.select("line", F.posexplode(_starts(F.col("chars"))).alias("nth", "start"))
     hashed = each.select("line", "nth", F.hash(_shingle(F.col("start"))).alias("h"))
     masks = random.Random(0)
-    minima = [
-        F.min(F.col("h").bitwiseXOR(F.lit(masks.randrange(1 << 31)))).alias(f"m{i}") for i in range(BANDS * ROWS)
-    ]
+    # hashed again, as an exclusive-or alone leaves few different orders of a short line's shingles
+    mixed = [F.hash(F.col("h").bitwiseXOR(F.lit(masks.randrange(1 << 32) - (1 << 31)))) for _ in range(BANDS * ROWS)]
+    minima = [F.min(m).alias(f"m{i}") for i, m in enumerate(mixed)]
     return hashed.groupBy("line").agg(F.count_if(F.col("nth") == 0).alias("times"), *minima)
 
 
