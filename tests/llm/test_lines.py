@@ -75,3 +75,20 @@ def test_bands_find_short_lines(spark):
         bands = lambda m: {(b, *m[b : b + lines.ROWS]) for b in range(0, len(m), lines.ROWS)}
         met = sum(bool(bands(minima[2 * p]) & bands(minima[2 * p + 1])) for p in range(1500))
         assert met >= 0.975 * 1500
+
+
+def test_every_character_counts(make_docs):
+    """Lines that differ only after the eighth character of a word all stay; full character shingles say the same."""
+    held = [
+        "Source: https://example.com/page1", "Source: https://other.org/z9", "2024-01-05T10:00", "2024-01-31T23:59",
+        "Introduction", "Introductory", "identifier-0001-abcd", "identifier-9734-wxyz", "see identifier-55aa77 there",
+        "see identifier-90bb12 there",
+    ]
+    full = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in held]
+    assert all(5 * len(x & y) < 4 * len(x | y) for i, x in enumerate(full) for y in full[:i])
+    assert [r.text for r in lines.remove(make_docs(["\n".join(held)])).collect()] == ["\n".join(held)]
+    values = [*held, "short words only", "x" * 9, "x" * 12 + " " + "y" * 13, "añ 日本語の文章です。日本語"]
+    rows = make_docs(values).select("text", lines.all_shingles(lines.F.col("text")).alias("g")).collect()
+    for r in rows:
+        places = {r.text.find(g.rstrip()) + i for g in r.g for i in range(len(g.rstrip()))}
+        assert {i for i, c in enumerate(r.text) if c != " "} <= places or len(set(r.text)) < 5

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 1. Every line that is not blank (trimmed) has a set of character shingles: from each word start the next ``SHINGLE``
-   characters of it and the next word. In a line with words of over ``LONG`` characters on average (scripts that write no
-   spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
+   characters of it and the next word, and within a longer word again from every ``STEP``-th character on, so that every
+   character of the line is in a shingle. In a line with words of over ``LONG`` characters on average (scripts that write
+   no spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
    exclusive-or and hashed again. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
    together before the shuffle.
 2. ``BANDS`` bands of ``ROWS`` minima each propose candidates: every line of a band's bucket meets the bucket's smallest
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.staging import stage
 from tillroll.llm.components import components
 
-SHINGLE, LONG, BANDS, ROWS = 8, 24, 6, 3
+SHINGLE, STEP, LONG, BANDS, ROWS = 8, 4, 24, 6, 3
 SIMILARITY = 0.8
 #: A table of ids of this many rows may be broadcast.
 BROADCAST_ROWS = 300_000
@@ -54,14 +55,32 @@ def _shingle(start: Column) -> Column:
     return F.left(F.concat(start["x"], F.lit(" "), F.coalesce(start["y"], F.lit(""))), F.lit(SHINGLE))
 
 
+def _inner(starts: Column) -> Column:
+    """The starts within words that one shingle does not hold."""
+    long = F.filter(starts, lambda start: F.char_length(start["x"]) > SHINGLE)
+
+    def within(start: Column) -> Column:
+        places = F.sequence(F.lit(STEP), F.char_length(start["x"]) - STEP - 1, F.lit(STEP))
+        part = lambda at: F.substring(start["x"], at + 1, F.lit(SHINGLE))
+        return F.transform(places, lambda at: F.struct(part(at).alias("x"), start["y"].alias("y")))
+
+    return F.flatten(F.transform(long, within))
+
+
 def shingles(chars: Column) -> Column:
-    """The set of a line's character shingles."""
+    """The set of the shingles at a line's word starts."""
     return F.array_distinct(F.transform(_starts(chars), _shingle))
 
 
+def all_shingles(chars: Column) -> Column:
+    """The set of a line's character shingles."""
+    return F.array_union(shingles(chars), F.transform(_inner(_starts(chars)), _shingle))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per different line: its minima and how often it occurs."""
-    each = lines.select("line", F.posexplode(_starts(F.col("chars"))).alias("nth", "start"))
+    starts = lines.select("line", _starts(F.col("chars")).alias("starts"))
+    each = starts.select("line", F.posexplode(F.concat("starts", _inner(F.col("starts")))).alias("nth", "start"))
     hashed = each.select("line", "nth", F.hash(_shingle(F.col("start"))).alias("h"))
     masks = random.Random(0)
     # hashed again, as an exclusive-or alone leaves few different orders of a short line's shingles
@@ -88,7 +107,7 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     met = (
         pairs.join(chars.select(F.col("line").alias("a"), F.col("chars").alias("x")), "a")
         .join(chars.select(F.col("line").alias("b"), F.col("chars").alias("y")), "b")
-        .select("a", "b", *(shingles(F.col(side)).alias(side) for side in ("x", "y")))
+        .select("a", "b", *(all_shingles(F.col(side)).alias(side) for side in ("x", "y")))
     )
     common = F.size(F.array_intersect("x", "y"))
     return met.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
