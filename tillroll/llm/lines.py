@@ -6,8 +6,10 @@
    no spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
    exclusive-or and hashed again. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
    together before the shuffle.
-2. ``BANDS`` bands of ``ROWS`` minima each propose candidates: every line of a band's bucket meets the bucket's smallest
-   line. Lines that are alike to ``SIMILARITY`` or more share a bucket with a chance of 98.6 percent or more.
+2. ``BANDS`` bands of ``ROWS`` minima each propose candidates. Lines that are alike to ``SIMILARITY`` or more share a
+   bucket with a chance of 98.6 percent or more. Every line of a bucket first meets the bucket's smallest line. Where
+   that leaves a bucket in several components, all its lines of different components that can still be alike meet: in
+   sets alike to ``SIMILARITY``, the rarest shingles, a few more than the share that may differ, have one in common.
 3. Candidates are verified exactly: the Jaccard similarity of their shingle sets.
 4. Components of the verified links are found by distributed union-find. Of each component, and of the occurrences of
    each repeated line, the first by doc_id and place stays; all others are removed from their documents.
@@ -89,12 +91,54 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("line").agg(F.count_if(F.col("nth") == 0).alias("times"), *minima)
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines: each line and the smallest line of each of its buckets."""
+def _buckets(signatures: DataFrame) -> DataFrame:
+    """line, bucket and the bucket's smallest line, of the buckets with several lines."""
     band = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     bucket = signatures.select("line", F.explode(F.array(*band)).alias("bucket"))
-    least = bucket.groupBy("bucket").agg(F.min("line").alias("b"))
-    return bucket.join(least, "bucket").filter("b < line").select(F.col("line").alias("a"), "b").distinct()
+    ends = bucket.groupBy("bucket").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    return bucket.join(ends.filter("least < most").drop("most"), "bucket")
+
+
+def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
+    """line and root of the lines in buckets of several components; a line without links is its own root."""
+    of = buckets.join(root, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
+    ends = of.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return of.join(ends.select("bucket"), "bucket", "left_semi").select("line", "root").distinct()
+
+
+def _across(unlinked: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different roots: all that are alike are among them."""
+    chars = lines.select("line", "chars").join(unlinked, "line", "left_semi").groupBy("line").agg(F.min("chars").alias("chars"))
+    sets = chars.select("line", F.transform(all_shingles(F.col("chars")), lambda g: F.xxhash64(g)).alias("set"))
+    held = stage(sets.select("line", F.size("set").alias("n"), F.explode("set").alias("h")), "line-shingles")
+    times = held.groupBy("h").agg(F.count("*").alias("times"))
+    # of two sets with 0.8 in common, those shingles that are not the last 0.8 of either in one order have one in common
+    few = (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1).cast("int")
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("times", "h"))), F.lit(1), few)
+    rare = held.join(times, "h").groupBy("line", "n").agg(rarest.alias("rarest"))
+    rare = rare.select("line", "n", F.explode("rarest").alias("one")).filter("one.times > 1")
+    rare = stage(rare.select("line", "n", F.col("one.h").alias("h")).join(unlinked, "line"), "line-rarest")
+    side = lambda x, y: rare.select("h", F.col("line").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(y))
+    met = side("a", "p").join(side("b", "q"), "h").filter("b < a and p <> q")
+    fits = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6
+    return met.filter(fits).select("a", "b").distinct()
+
+
+def _groups(signatures: DataFrame, lines: DataFrame) -> DataFrame:
+    """line and root of all lines that are linked."""
+    buckets = stage(_buckets(signatures), "line-buckets")
+    first = buckets.filter("least < line").select(F.col("line").alias("a"), F.col("least").alias("b")).distinct()
+    links = stage(_verified(first, lines), "line-links")
+    root = components(links).withColumnRenamed("node", "line")
+    unlinked = stage(_open(buckets, root), "line-open")
+    if unlinked.isEmpty():
+        return root
+    more = stage(_verified(_across(unlinked, lines), lines), "line-links")
+    if more.isEmpty():
+        return root
+    # the first links as one link from each line to its root
+    known = root.select(F.col("line").alias("a"), F.col("root").alias("b"))
+    return components(known.union(more)).withColumnRenamed("node", "line")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -117,8 +161,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc, and the places of the lines to remove from it."""
     lines = _lines(docs)
     signatures = stage(_signatures(lines), "line-signatures")
-    links = stage(_verified(_candidates(signatures), lines), "line-links")
-    root = components(links).withColumnRenamed("node", "line")
+    root = _groups(signatures, lines)
     often = signatures.filter("times > 1").select("line").join(root, "line", "left_anti")
     groups = root.unionByName(often.withColumn("root", F.col("line")))
     found = stage(lines.select("doc_id", "doc", "place", "line").join(groups, "line").drop("line"), "line-places")
