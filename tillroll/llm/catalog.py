@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, contamination, hilbert, jaccard, lines, pages, repeats, secrets, sharding, toxicity
+from tillroll.llm import (
+    bpe,
+    contamination,
+    hilbert,
+    jaccard,
+    lines,
+    pages,
+    repeats,
+    secrets,
+    sharding,
+    toxicity,
+    tree,
+)
 from tillroll.llm.text import held_out
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+TREE_FILE = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +80,10 @@ def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(TREE_FILE))
+
+
 def registered() -> dict:
     return {
         "op1_nnpu_toxicity": nnpu_toxicity,
@@ -79,6 +96,7 @@ def registered() -> dict:
         "op8_minhash_lines": minhash_lines,
         "op9_repeated_passages": repeated_passages,
         "op10_latent_decontamination": latent_decontamination,
+        "op13_tree_bpe": tree_bpe,
     }
 
 
