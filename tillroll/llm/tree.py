@@ -8,8 +8,8 @@ share a token join to the encoding of the whole: the first merge across a border
 next merge of one of the two sides too. So the ids are those of the library, whatever the leaves.
 
 Texts are first cut before single spaces between visible characters, which no split pattern of the GPT-2 family
-crosses, and each distinct piece of a slice is encoded once. Pieces are told apart by hash; that the hashes told true
-is seen by putting the slice together again from its distinct pieces.
+crosses, and each distinct piece is encoded once. Pieces are told apart by hash; that the hashes told true is seen by
+putting the slice together again from its distinct pieces.
 
 Nulls and empty texts have no tokens and decode to the empty text. Rows keep all their columns, repeated rows and clashing
 ids included; a column named like a new one is an error. Texts of any length are encoded whole.
@@ -33,8 +33,8 @@ from tillroll.llm.text import added, rolling, slices, span_hash, tidy, utf8, wid
 LEAF = 128
 #: Tokens on each side of a join in the first window.
 WINDOW = 2
-#: Distinct pieces a task remembers before it starts anew; bounds memory, not results.
-PIECES_KEPT = 100_000
+#: Distinct pieces a worker remembers before it starts anew; bounds memory, not results.
+PIECES_KEPT = 400_000
 
 
 class Vocabulary:
@@ -146,8 +146,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 
 
-def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Places before one space that stands between two visible characters, and before each text."""
+def cuts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin: before each text, and before one space that stands between two visible characters.
+
+    The second result tells the latter from the former.
+    """
     n = len(data)
     blank = _SPACE[data]
     if n > 2:  # the white space beyond ASCII
@@ -164,64 +167,105 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     first[bounds] = True
     alone = np.zeros(n, bool)
     alone[1:-1] = (data[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:] & ~first[1 : n - 1] & ~first[2:n]
-    return np.flatnonzero(alone | first[:n])
+    places = np.flatnonzero(alone | first[:n])
+    return places, alone[places]
 
 
 class Pieces:
-    """Ids of the pieces a task has met, flat, by number of the piece."""
+    """Ids of the pieces a worker has met, in flat arrays: found by hash, proved by their bytes."""
 
     def __init__(self, v: Vocabulary, leaf: int):
-        self.v, self.leaf = v, leaf
+        self.v, self.leaf, self.length = v, leaf, v.bounds[1:] - v.bounds[:-1]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.bounds = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of each piece; new ones are encoded."""
-        fresh = list(dict.fromkeys(x for x in pieces if x not in self.number))
-        if fresh:
-            texts = [x.decode() for x in fresh]
-            short = [i for i, x in enumerate(fresh) if len(x) <= self.leaf]
-            long = [i for i, x in enumerate(fresh) if len(x) > self.leaf]
-            found: list = [None] * len(fresh)
-            batch = self.v.tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)
-            for i, x in zip(short, batch, strict=True):
-                found[i] = x.ids
-            for i, x in zip(long, long_pieces(self.v, [texts[i] for i in long], self.leaf), strict=True):
-                found[i] = x
-            at = len(self.number)
-            ends = self.bounds[at] + np.cumsum([len(x) for x in found])
-            while at + len(fresh) >= len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.bounds[at] : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32)
-            self.bounds[at + 1 : at + 1 + len(fresh)] = ends
-            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # in the order of the keys
+        self.held, self.held_at = np.empty(0, np.uint8), np.zeros(1, np.int64)  # bytes by number
+        self.ids, self.ids_at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
-        if len(self.number) > PIECES_KEPT:
+        if len(self.keys) > PIECES_KEPT:
             self.clear()
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
-        starts = cuts(data, bounds)
-        ends = np.append(starts[1:], len(data))
-        _, one, which = np.unique(span_hash(rolling(data), starts, ends), return_index=True, return_inverse=True)
-        whole = data.tobytes()
-        distinct = [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-        held = np.concatenate([[0], np.cumsum([len(x) for x in distinct])])
-        again, _ = gathered(np.frombuffer(b"".join(distinct), np.uint8), held, which)
-        if not np.array_equal(again, data):  # two pieces of one hash
-            distinct = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            which = np.arange(len(distinct))
-        wanted = self.numbers(distinct)[which]
-        ids, begins = gathered(self.ids, self.bounds[: len(self.number) + 1], wanted)
+        starts, inner = cuts(data, bounds)
+        ends, joins = np.append(starts[1:], len(data)), inner & np.append(inner[1:], False)
+        keys, one, which = np.unique(span_hash(rolling(data), starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        fresh = one[~known]
+        found = np.empty(len(keys), np.int64)
+        found[known] = self.number[at[known]]
+        if len(fresh):
+            found[~known] = len(self.held_at) - 1 + np.arange(len(fresh))
+            ids, begins = self.fresh(data, starts[fresh], ends[fresh], joins[fresh])
+            held, held_at = _stretches(data, starts[fresh], ends[fresh])
+            self.ids, self.ids_at = np.concatenate([self.ids, ids]), _appended(self.ids_at, begins)
+            self.held, self.held_at = np.concatenate([self.held, held]), _appended(self.held_at, held_at)
+            self.keys = np.insert(self.keys, at[~known], keys[~known])
+            self.number = np.insert(self.number, at[~known], found[~known])
+        wanted = found[which]
+        again, _ = gathered(self.held, self.held_at, wanted)
+        if np.array_equal(again, data):
+            ids, begins = gathered(self.ids, self.ids_at, wanted)
+        else:  # two pieces of one hash
+            ids, begins = self.fresh(data, starts, ends, joins)
         return ids, begins[np.searchsorted(starts, bounds)]
 
+    def fresh(self, data, starts, ends, joins) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, and where each piece's begin.
+
+        Pieces that start with a single space and end before one are encoded as one text, for which the token lengths
+        tell where a piece ends; the others one by one, long ones by trees.
+        """
+        size = ends - starts
+        joins = joins & (size <= self.leaf)
+        text, at = _stretches(data, starts[joins], ends[joins])
+        batch = [text.tobytes().decode()] if len(text) else []
+        together = np.array(self._plain(batch)[0] if batch else [], np.uint32)
+        last = np.cumsum(self.length[together])
+        cut = np.searchsorted(last, at[1:], "right")
+        if len(cut) and not np.array_equal(last[cut - 1], at[1:]):
+            raise ValueError("the split pattern of this tokenizer goes across single spaces between words")
+        ids: list = [None] * len(starts)
+        held = data.tobytes()
+        short, long = (np.flatnonzero(~joins & few) for few in (size <= self.leaf, size > self.leaf))
+        for some, way in ((short, self._plain), (long, lambda x: long_pieces(self.v, x, self.leaf))):
+            texts = [held[starts[i] : ends[i]].decode() for i in some]
+            for i, one in zip(some, way(texts) if texts else [], strict=True):
+                ids[i] = np.array(one, np.uint32)
+        counts = np.zeros(len(starts), np.int64)
+        counts[joins] = np.diff(cut, prepend=0)
+        for i in np.flatnonzero(~joins):
+            counts[i] = len(ids[i])
+        begins = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(begins[-1], np.uint32)
+        out[np.repeat(joins, counts)] = together
+        for i in np.flatnonzero(~joins):
+            out[begins[i] : begins[i + 1]] = ids[i]
+        return out, begins
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.v.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from ``starts`` to ``ends`` one after the other, and where each stretch begins."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    return data[np.arange(at[-1]) + np.repeat(starts - at[:-1], ends - starts)], at
+
+
+def _appended(bounds: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return np.concatenate([bounds, bounds[-1] + more[1:]])
+
+
+@functools.lru_cache(maxsize=2)
+def pieces_of(path: str, leaf: int) -> Pieces:
+    """One set of known pieces a worker; what it holds is bounded and changes no result."""
+    return Pieces(vocabulary(path), leaf)
+
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Each stretch of ``values`` as the bytes it holds in memory."""
@@ -251,8 +295,7 @@ def encode(df: DataFrame, path: str, column: str = "text", *, decoded: bool = Fa
     schema, place = wider(df, ids="binary", **({"decoded": "string"} if decoded else {})), df.columns.index(column)
 
     def run(batches):
-        v = vocabulary(path)
-        pieces = Pieces(v, leaf)
+        v, pieces = vocabulary(path), pieces_of(path, leaf)
         for batch in slices(batches, place):
             ids, begins = pieces.encode(*utf8(batch.column(place)))
             more = {"ids": _binary(ids.astype("<u4"), begins)}
