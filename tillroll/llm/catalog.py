@@ -13,11 +13,13 @@ from tillroll.llm import (
     jaccard,
     lines,
     pages,
+    phrases,
     repeats,
     secrets,
     sharding,
     toxicity,
     tree,
+    trie,
 )
 from tillroll.llm.text import held_out
 
@@ -80,6 +82,14 @@ def latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
+def turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.branched_trie(_read(spark, sf_dir, "conversations"))
+
+
 def tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path(TREE_FILE))
 
@@ -96,6 +106,8 @@ def registered() -> dict:
         "op8_minhash_lines": minhash_lines,
         "op9_repeated_passages": repeated_passages,
         "op10_latent_decontamination": latent_decontamination,
+        "op11_phrase_fingerprints": phrase_fingerprints,
+        "op12_turn_trie": turn_trie,
         "op13_tree_bpe": tree_bpe,
     }
 
@@ -154,6 +166,87 @@ from documents d left join sizes s using (doc_id) join reached r using (doc_id)
 """
 
 
+_PHRASES = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+), lists as materialized (
+    select lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') as w from pieces
+), totals as (
+    select lang, sum(len(w)) as n from lists group by lang
+), f as materialized (
+    select lang, k, phrase, count(*) as a from (
+        select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as phrase from (
+            select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+            from lists, (select unnest(range(1, 6)) as k) where len(w) >= k))
+    group by all having count(*) >= 100
+), cuts as (
+    select lang, phrase, a, k, c, array_to_string(list_slice(w, 1, c), ' ') as first,
+        array_to_string(list_slice(w, c + 1, k), ' ') as rest
+    from (select *, string_split(phrase, ' ') as w, unnest(range(1, k)) as c from f where k > 1)
+), scored as (
+    select p.lang, p.phrase, p.a, p.k, l.a as l, r.a as r, t.n, c,
+        1000::hugeint * p.a * t.n // (l.a::hugeint * r.a) as score
+    from cuts p join f l on l.lang = p.lang and l.phrase = p.first join f r on r.lang = p.lang and r.phrase = p.rest
+    join totals t on t.lang = p.lang
+), weakest as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1
+), kept as (
+    select * from weakest s where not exists (
+        select 1 from f g where g.lang = s.lang and g.k > s.k and g.a >= s.a
+            and contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a,
+    l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from kept qualify rank <= 2000
+"""
+
+
+_TRIE = """
+with t as (
+    select c, id, bytes, row_number() over (partition by c order by turn nulls first, role, id) - 1 as p from (
+        select conv_id as c, turn, coalesce(role, '') as role, strlen(coalesce(text, '')) as bytes,
+            left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) as id
+        from conversations where conv_id is not null)
+), convs as (
+    select c, c - c % 5 as b, xor(list_reduce(
+        list_concat([4294967295::ubigint], list_transform(string_split(c::varchar, ''), lambda x: ord(x)::ubigint)),
+        lambda a, b: list_reduce([xor(a, b), 0::ubigint, 0, 0, 0, 0, 0, 0, 0],
+            lambda d, e: xor(d >> 1, 3988292384::ubigint * (d & 1::ubigint)))), 4294967295::ubigint) % 9 as h
+    from (select distinct c from t)
+), turns as (
+    select v.c, 0 as own, t.p, t.id, t.bytes from convs v join t on t.c = v.b where t.p < v.h
+    union all
+    select v.c, 1, t.p, t.id, t.bytes from convs v join t on t.c = v.c where t.p >= v.h
+), deep as (
+    select c, row_number() over w as d, bytes, sha256(string_agg(id, '') over w) as key
+    from turns window w as (partition by c order by own, p)
+), paths as materialized (
+    select c, d, bytes, key, lag(key) over (partition by c order by d) as parent, max(d) over (partition by c) as n from (
+        select c, 0 as d, 0 as bytes, '' as key from convs union all select * from deep)
+), nodes as materialized (
+    select key, any_value(d) as d, any_value(parent) as parent, min(c) as conv_id, count(*) as n_convs,
+        any_value(bytes) as bytes, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '')) as ends
+    from paths group by key
+), sized as materialized (
+    select x.*, (select count(*) from nodes y where y.parent = x.key) as n_children from nodes x
+), below as (
+    select p.key, count(*) filter (x.n_children = 0) as n_leaves, sum((x.n_convs - 1) * x.bytes) as saved
+    from sized x join paths p on p.c = x.conv_id and p.d <= x.d group by p.key
+)
+select x.conv_id::bigint as conv_id, x.d::bigint as depth, u.conv_id::bigint as parent_conv_id,
+    x.n_convs::bigint as n_convs, x.n_children::bigint as n_children, b.n_leaves::bigint as n_leaves,
+    b.saved::bigint as saved_tokens, x.ends as ends_sha256
+from sized x left join nodes u on u.key = x.parent join below b on b.key = x.key
+"""
+
+
 def statements() -> dict[str, str]:
     """SQL of the queries that SQL can express and run over whole tables; tests hold the others against plain forms."""
-    return {"op5_jaccard_tiles": _JACCARD, "op6_hilbert_neighbours": _NEIGHBOURS}
+    return {
+        "op5_jaccard_tiles": _JACCARD,
+        "op6_hilbert_neighbours": _NEIGHBOURS,
+        "op11_phrase_fingerprints": _PHRASES,
+        "op12_turn_trie": _TRIE,
+    }
