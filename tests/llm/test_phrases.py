@@ -81,27 +81,37 @@ def test_top_and_ties(spark):
     assert _rows(phrases.mine(_table(spark, rows), least=5, longest=2)) == brute(rows, 5, longest=2)
 
 
-def test_tasks_that_hand_on_early(spark, monkeypatch):
+def test_tally(monkeypatch):
     monkeypatch.setattr(phrases, "HELD", 50)
     tally = phrases.Tally({"n": "sum", "lo": "min"})
-    draw, want = random.Random(3), collections.Counter()
-    seen = collections.Counter()
+    draw, want, seen = random.Random(3), collections.Counter(), collections.Counter()
+
+    def take():
+        key, held = tally.taken()
+        seen.update(dict(zip(key.tolist(), held["n"].tolist(), strict=True)))
+        assert held["lo"].tolist() == key.tolist() == sorted(key.tolist())
+
     for _ in range(30):
         key = np.array([draw.randrange(200) for _ in range(40)], np.uint64)
         want.update(key.tolist())
         tally.add(key, n=np.ones(40, np.int64), lo=key.astype(np.int64))
-        for held in tally.batches() if tally.full() else ():
-            seen.update(dict(zip(held["fp"].tolist(), held["n"].tolist(), strict=True)))
-    for held in tally.batches():
-        seen.update(dict(zip(held["fp"].tolist(), held["n"].tolist(), strict=True)))
-        assert held["lo"].tolist() == held["fp"].tolist()
+        if tally.full():
+            take()
+    take()
     assert seen == want
 
 
+@pytest.mark.parametrize("kind", [np.uint8, np.uint32, np.int64])
+def test_planes(kind):
+    values = np.array([0, 1, 200, 77], kind)
+    assert phrases._unplaned(phrases._planes(values), kind).tolist() == values.tolist()
+    assert len(phrases._unplaned(phrases._planes(values[:0]), kind)) == 0
+
+
 def test_a_pointer_to_another_phrase_is_noticed(spark):
     held = phrases.Grams(pa.array(["of the"]), pa.array(["en"]), check=True)
     at = held.at(2)
-    fp, lo = (int(x.view(np.int64)[0]) for x in (held.keys(at, 2), held.checks(at, 2)))
+    fp, lo = int(held.keys(at, 2).view(np.int64)[0]), int(held.checks(at, 2)[0])
     schema = "lang string, k int, phrase string, fp long, lo long, n long"
     good = spark.createDataFrame([("en", 2, "of the", fp, lo, 3)], schema)
     assert phrases.verified(good, 64).count() == 1

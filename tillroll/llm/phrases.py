@@ -2,7 +2,8 @@
 
 Texts fall into pieces and words. Prefix polynomials over the word hashes of a slice give the fingerprint of every
 n-gram with one subtraction and one product. A task adds up equal fingerprints before the shuffle adds up those of all
-tasks, so a phrase of any frequency is one row a task there.
+tasks, so a phrase of any frequency is one entry a task there. Entries travel packed, those of one range of fingerprints
+(a bucket) in one row.
 
 The n-grams are counted by length: one of k words is only counted if both of its (k-1)-grams are frequent. Which are, the
 tasks read from a bitmap of fixed size (``FILTER_BITS``); a bit set by another fingerprint only lets a rare n-gram be
@@ -19,6 +20,9 @@ pass.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,10 +40,12 @@ HELD = 1 << 21
 #: Pointers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Bits at a fingerprint's end that do not count in the passes by length.
+_CUT = 24
+
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BATCH = 1 << 16
 
 #: Where pieces end, and where words end: the same, blanks and tabs.
 PIECE_END = np.zeros(256, bool)
@@ -62,7 +68,7 @@ class Grams:
         self.part = np.concatenate([[0], np.cumsum(apart)])[: len(self.starts)]
         named, at = utf8(langs)
         self.lang = span_hash(rolling(named), at[:-1], at[1:]) + at[1:].astype(_U) - at[:-1].astype(_U)
-        self.mask = _U((1 << bits) - 1)
+        self.mask = _U(((1 << bits) - 1) << (64 - bits))
         self.sums = self._prefix(FOLDED_VALUES)
         self.check_sums = self._prefix(_CHECK_VALUES) if check else None
 
@@ -86,7 +92,8 @@ class Grams:
         return self._value(self.sums, at, k) & self.mask
 
     def checks(self, at: np.ndarray, k: int) -> np.ndarray:
-        return self._value(self.check_sums, at, k)
+        """32 bits of the second fingerprint, as whole numbers."""
+        return (self._value(self.check_sums, at, k) >> _U(32)).astype(np.int64)
 
     def open(self, k: int, frequent: dict[int, np.ndarray]) -> np.ndarray:
         """Where an n-gram of ``k`` words may be frequent by the bitmap of the (k-1)-grams."""
@@ -103,7 +110,7 @@ class Grams:
 
 def listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the bit of each fingerprint is set."""
-    place = keys & _U(FILTER_BITS - 1)
+    place = (keys >> _U(_CUT)) & _U(FILTER_BITS - 1)
     return (bitmap[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -143,51 +150,113 @@ class Tally:
             self.parts = [self._folded(key, columns)]
             self.rows = len(self.parts[0][0])
 
-    def batches(self, **fixed):
-        """All that was counted, in Arrow batches; begins anew after."""
+    def taken(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """All that was counted, by ascending fingerprint; begins anew after."""
         self._fold()
-        for key, columns in self.parts:
-            for a in range(0, len(key), _BATCH):
-                cut = {"fp": key[a : a + _BATCH].view(np.int64)}
-                cut |= {name: held[a : a + _BATCH] for name, held in columns.items()}
-                cut |= {name: np.full(len(cut["fp"]), value) for name, value in fixed.items()}
-                yield cut
+        key, columns = self.parts[0] if self.parts else (np.empty(0, _U), {x: np.empty(0, np.int64) for x in self.how})
         self.parts, self.rows = [], 0
+        return key, columns
+
+
+def _buckets(spark: SparkSession) -> int:
+    """Bits of a fingerprint that tell its bucket: some buckets for each shuffle partition."""
+    return min(16, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2))
+
+
+def _split(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of ascending fingerprints, and where each stands."""
+    bucket = (key >> _U(64 - bits)).astype(np.int64)
+    ends = [*(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(key)]
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        if a < b:
+            yield int(bucket[a]), slice(a, b)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte of their width, so that bytes of alike numbers lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _pass(texts: DataFrame, work, schema: str) -> DataFrame:
     """``work`` over slices of the staged texts (row, lang, text); it yields columns by name."""
-    names = [part.split()[0] for part in schema.split(",")]
+    return texts.mapInArrow(_arrow(lambda batches: work(slices(batches, 2)), schema), schema)
+
+
+def _arrow(work, schema: str):
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(","))])
 
     def run(batches):
-        for held in work(slices(batches, 2)):
-            yield pa.RecordBatch.from_arrays([pa.array(held[name]) for name in names], names=names)
+        for held in work(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) for f in arrow], schema=arrow)
+
+    return tidy(run)
 
-    return texts.mapInArrow(tidy(run), schema)
 
+def count(texts: DataFrame, k: int, frequent, bits: int, least: int) -> DataFrame:
+    """(place): where the bitmap has a bit for the n-grams of ``k`` words that are frequent, and for few others.
 
-def count(texts: DataFrame, k: int, frequent, bits: int) -> DataFrame:
-    """(fp, n) of the n-grams of ``k`` words that may be frequent."""
+    Counted by the first 40 bits of a fingerprint, a bucket of them in one packed row of each task. A count beyond
+    ``least`` says no more than ``least``.
+    """
+    split = _buckets(texts.sparkSession)
+    kind = np.min_scalar_type(least)
+
+    def packed(tally):
+        key, columns = tally.taken()
+        for bucket, at in _split(key, split):
+            rest = (key[at] << _U(split)) >> _U(split + _CUT)
+            steps = np.diff(rest, prepend=_U(0)).astype(np.uint32)
+            few = np.minimum(columns["n"][at], least).astype(kind)
+            yield {"bucket": [bucket], "key": [_planes(steps)], "n": [_planes(few)]}
 
     def work(batches):
         tally = Tally({"n": "sum"})
         for batch in batches:
             grams = Grams(batch.column(2), batch.column(1), bits)
             at = grams.open(k, frequent.value)
-            tally.add(grams.keys(at, k), n=np.ones(len(at), np.int64))
+            key = (grams.keys(at, k) >> _U(_CUT)) << _U(_CUT)
+            tally.add(key, n=np.ones(len(at), np.int64))
             if tally.full():
-                yield from tally.batches()
-        yield from tally.batches()
+                yield from packed(tally)
+        yield from packed(tally)
+
+    def fold(batches):
+        for bucket, rows in _by_bucket(batches, 0):
+            tally = Tally({"n": "sum"})
+            for row in rows:
+                steps = _unplaned(row["key"], np.uint32).astype(_U)
+                tally.add(np.cumsum(steps, dtype=_U), n=_unplaned(row["n"], kind).astype(np.int64))
+            key, columns = tally.taken()
+            key = key[columns["n"] >= least] | _U(bucket << (64 - split - _CUT))
+            yield {"place": np.unique(key & _U(FILTER_BITS - 1)).astype(np.int64)}
+
+    rows = _pass(texts, work, "bucket int, key binary, n binary")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_arrow(fold, "place long"), "place long")
+
+
+def _by_bucket(batches, *columns: int):
+    """Rows with the same values in these columns, which they are sorted by, as dicts, one group at a time."""
+
+    def rows():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield tuple(batch.column(c)[i].as_py() for c in columns), batch.slice(i, 1)
 
-    # What a task sends is folded already; a partial aggregate before the shuffle would only repeat that.
-    return _pass(texts, work, "fp long, n long").repartition("fp").groupBy("fp").agg(F.sum("n").alias("n"))
+    for key, held in itertools.groupby(rows(), key=lambda x: x[0]):
+        yield key[0] if len(key) == 1 else key, (one.to_pylist()[0] for _, one in held)
 
 
-def bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """The bitmap of a column ``fp``: made in Spark in blocks of 4 KB, at most ``FILTER_BITS`` bits in all."""
-    place = F.col("fp").bitwiseAND(FILTER_BITS - 1)
-    blocks = fingerprints.groupBy(F.shiftright(place, 15).alias("block")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits")
+def bitmap(places: DataFrame) -> np.ndarray:
+    """The bitmap of a column ``place``: made in Spark in blocks of 4 KB, at most ``FILTER_BITS`` bits in all."""
+    blocks = places.groupBy(F.shiftright("place", 15).alias("block")).agg(
+        F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << 15) - 1)).alias("bits")
     )
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for block, held in blocks.collect():
@@ -195,13 +264,28 @@ def bitmap(fingerprints: DataFrame) -> np.ndarray:
     return out
 
 
-def pointed(texts: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
-    """(k, fp, n, lo, hi, row, start, size): counts with a pointer and the range of the second fingerprint.
+#: What stands in a packed row for each n-gram.
+_PARTS = {"fp": _U, "n": np.uint32, "check": np.uint32, "row": np.int64, "start": np.uint32, "size": np.uint32}
+
+
+def pointed(texts: DataFrame, longest: int, frequent, bits: int, least: int) -> DataFrame:
+    """(k, fp, n, lo, hi, row, start, size) of frequent n-grams: counts with a pointer and the range of the second
+    fingerprint, of which 32 bits travel.
 
     ``k`` 0 stands for the words of a language, ``fp`` being that of its name.
     """
+    split = _buckets(texts.sparkSession)
     how = {"n": "sum", "lo": "min", "hi": "max", "row": "first", "start": "first", "size": "first"}
-    schema = "k int, fp long, n long, lo long, hi long, row long, start int, size int"
+    packed_schema = "k int, bucket int, fp binary, n binary, lo binary, hi binary, row binary, start binary, size binary"
+    kinds = _PARTS | {"lo": np.uint32, "hi": np.uint32}
+
+    def packed(k, tally):
+        key, columns = tally.taken()
+        for bucket, at in _split(key, split):
+            held = {name: [_planes(columns[name][at].astype(kinds[name]))] for name in how}
+            if np.array_equal(columns["lo"][at], columns["hi"][at]):
+                held["hi"] = [b""]  # no two phrases here: one value serves for both
+            yield {"k": [k], "bucket": [bucket], "fp": [_planes(key[at])]} | held
 
     def work(batches):
         tally = {k: Tally(how) for k in range(longest + 1)}
@@ -210,8 +294,8 @@ def pointed(texts: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
             row = batch.column(0).to_numpy()
             per_text = np.bincount(grams.row, minlength=batch.num_rows)
             some = np.flatnonzero(per_text)
-            none, zero = np.zeros(len(some), np.int64), np.zeros(len(some), np.int32)
-            tally[0].add(grams.lang[some], n=per_text[some], lo=none, hi=none, row=row[some], start=zero, size=zero)
+            zero = np.zeros(len(some), np.int64)
+            tally[0].add(grams.lang[some], n=per_text[some], lo=zero, hi=zero, row=row[some], start=zero, size=zero)
             for k in range(1, longest + 1):
                 if k not in frequent.value:
                     break
@@ -219,29 +303,37 @@ def pointed(texts: DataFrame, longest: int, frequent, bits: int) -> DataFrame:
                 key = grams.keys(at, k)
                 keep = listed(frequent.value[k], key)
                 at, key = at[keep], key[keep]
-                check = grams.checks(at, k).view(np.int64)
-                of = grams.row[at]
-                start = (grams.starts[at] - grams.bounds[of]).astype(np.int32)
-                size = (grams.ends[at + k - 1] - grams.starts[at]).astype(np.int32)
+                check, of = grams.checks(at, k), grams.row[at]
+                start, size = grams.starts[at] - grams.bounds[of], grams.ends[at + k - 1] - grams.starts[at]
                 tally[k].add(key, n=np.ones(len(at), np.int64), lo=check, hi=check, row=row[of], start=start, size=size)
             for k, held in tally.items():
                 if held.full():
-                    yield from held.batches(k=np.int32(k))
+                    yield from packed(k, held)
         for k, held in tally.items():
-            yield from held.batches(k=np.int32(k))
-
-    rows = _pass(texts, work, schema).repartition("k", "fp")
-    # The three parts of a pointer come from one row: all are the first of the same rows, and none is null.
-    return rows.groupBy("k", "fp").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        *[F.first(name).alias(name) for name in ("row", "start", "size")],
-    )
+            yield from packed(k, held)
+
+    def fold(batches):
+        for (k, _), rows in _by_bucket(batches, 0, 1):
+            tally = Tally(how)
+            for row in rows:
+                row["hi"] = row["hi"] or row["lo"]
+                wide = {name: _unplaned(row[name], kinds[name]).astype(np.int64) for name in how}
+                tally.add(_unplaned(row["fp"], _U), **wide)
+            key, columns = tally.taken()
+            kept = (columns["n"] >= least) | (k == 0)
+            out = {name: held[kept] for name, held in columns.items()}
+            yield {"k": np.full(kept.sum(), k), "fp": key[kept].view(np.int64)} | out
+
+    schema = "k int, fp long, n long, lo long, hi long, row long, start long, size long"
+    rows = _pass(texts, work, packed_schema)
+    dealt = rows.repartition("k", "bucket").sortWithinPartitions("k", "bucket")
+    return dealt.mapInArrow(_arrow(fold, schema), schema)
 
 
 def _read(texts: DataFrame, pointers: DataFrame) -> DataFrame:
     """(lang, k, phrase, fp, lo, n) of pointers, the phrase read from the text."""
     few = pointers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    at = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("size")).cast("string")
+    at = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), F.col("size").cast("int")).cast("string")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     phrase = F.regexp_replace(F.translate(at, upper, upper.lower()), "[ \t]+", " ")
     return texts.join(F.broadcast(pointers) if few else pointers, "row").select(
@@ -262,7 +354,7 @@ def verified(phrases: DataFrame, bits: int) -> DataFrame:
                 same = len(at) == some.num_rows and np.array_equal(
                     grams.keys(at, int(i)).view(np.int64), some.column("fp").to_numpy()
                 )
-                if not same or not np.array_equal(grams.checks(at, int(i)).view(np.int64), some.column("lo").to_numpy()):
+                if not same or not np.array_equal(grams.checks(at, int(i)), some.column("lo").to_numpy()):
                     raise ValueError("a phrase read at its pointer has other fingerprints than it was counted under")
             yield batch
 
@@ -272,7 +364,8 @@ def verified(phrases: DataFrame, bits: int) -> DataFrame:
 def recount(texts: DataFrame, shared: DataFrame, least: int, longest: int, bits: int) -> DataFrame:
     """(lang, k, phrase, n): the phrases of fingerprints that several phrases share, counted by text."""
     spark = texts.sparkSession
-    marks = spark.sparkContext.broadcast(bitmap(shared))
+    place = F.shiftright("fp", _CUT).bitwiseAND(FILTER_BITS - 1)
+    marks = spark.sparkContext.broadcast(bitmap(shared.select(place.alias("place"))))
 
     def work(batches):
         for batch in batches:
@@ -288,8 +381,7 @@ def recount(texts: DataFrame, shared: DataFrame, least: int, longest: int, bits:
                     counts[one] = counts.get(one, 0) + 1
             if counts:
                 ks, fps, of, text = zip(*counts, strict=True)
-                yield {"k": np.array(ks, np.int32), "fp": np.array(fps, np.int64), "lang": of, "phrase": text,
-                       "n": np.array(list(counts.values()), np.int64)}
+                yield {"k": ks, "fp": fps, "lang": of, "phrase": text, "n": list(counts.values())}
 
     rows = _pass(texts, work, "k int, fp long, lang string, phrase string, n long")
     counted = rows.join(shared.select("k", "fp"), ["k", "fp"], "left_semi").groupBy("lang", "k", "phrase")
@@ -313,14 +405,12 @@ def frequent_phrases(
     frequent: dict[int, np.ndarray] = {}
     for k in range(1, longest + 1):
         sent = spark.sparkContext.broadcast(frequent)
-        found = bitmap(count(texts, k, sent, bits).filter(F.col("n") >= least).select("fp"))
+        found = bitmap(count(texts, k, sent, bits, least))
         if not found.any():
             break
         frequent[k] = found
     sent = spark.sparkContext.broadcast(frequent)
-    counted = stage(
-        pointed(texts, longest, sent, bits).filter((F.col("k") == 0) | (F.col("n") >= least)), "phrase-counts"
-    )
+    counted = stage(pointed(texts, longest, sent, bits, least), "phrase-counts")
     one = (F.col("lo") == F.col("hi")) | (F.col("k") == 0)
     read = verified(_read(texts, counted.filter(one)), bits).select("lang", "k", "phrase", "n")
     shared = counted.filter(~one)
