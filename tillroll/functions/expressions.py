@@ -33,11 +33,6 @@ def month_of(col: Column | str) -> Column:
     return F.trunc(col, "MM")
 
 
-def months_apart(later: Column, earlier: Column) -> Column:
-    """Whole calendar months between two first-of-month dates."""
-    return ((F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)).cast("int")
-
-
 def iso_weekday(col: Column | str) -> Column:
     """Monday is 1, Sunday is 7."""
     return (F.weekday(col) + 1).cast("int")

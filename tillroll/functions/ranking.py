@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
@@ -54,24 +57,195 @@ def dense_sequence(
     return numbered.select(*kept, (F.col("_offset") + row + 1).cast("bigint").alias(name))
 
 
+# Items of a quantile sketch, and the share of ranks by which it may be off (nearly always less).
+_SKETCH_ITEMS = 4096
+_RANK_ERROR = 0.0015
+
+
+@dataclasses.dataclass(frozen=True)
+class Sketched:
+    """What one scan tells of numeric columns: rows with a value, brackets of wanted ranks, other aggregates."""
+
+    rows: dict[str, int]
+    brackets: dict[str, list[tuple[float, float]]]
+    other: Row
+
+
+def sketch_brackets(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], *others: Column,
+    error: float = _RANK_ERROR, items: int = _SKETCH_ITEMS,
+) -> Sketched:
+    """One aggregate over ``df``: a mergeable quantile sketch per column, read at both sides of every wanted rank.
+
+    A bracket runs from the value ``error`` of all ranks below a wanted one to the value as far above; brackets that
+    meet become one. ``others`` are aggregated in the same scan. Only these few numbers come to the driver.
+    """
+    value = {x: _number(df, x) for x in columns}
+    folded = df.agg(
+        *[F.count(value[x]).alias(f"n|{x}") for x in columns],
+        *[F.kll_sketch_agg_double(value[x], F.lit(items)).alias(f"s|{x}") for x in columns],
+        *others,
+    )
+
+    # Ranks are read a few margins off on both sides, as a sketch takes them before the number of rows is known.
+    margins = [error, 8 * error, 64 * error, 1.0]
+    ranks = [min(1.0, max(0.0, float(p) + sign * m)) for m in margins for p in probabilities for sign in (-1, 1)]
+    edges = lambda x: F.when(
+        F.col(f"n|{x}") > 0, F.kll_sketch_get_quantile_double(f"s|{x}", F.array(*[F.lit(r) for r in ranks]))
+    )
+    names = [name for name in folded.columns if not name.startswith("s|")]
+    row = folded.select(*[F.col(f"`{name}`") for name in names], *[edges(x).alias(f"e|{x}") for x in columns]).first()
+    brackets = {}
+    for x in columns:
+        held, n, width = row[f"e|{x}"] or [], row[f"n|{x}"], 2 * len(probabilities)
+        # Two ranks more: those between which a value is interpolated.
+        at = next((i for i, m in enumerate(margins) if n and m >= error + 2 / n), len(margins) - 1)
+        held = held[at * width : (at + 1) * width]
+        brackets[x] = _merged(sorted(zip(held[::2], held[1::2], strict=True)))
+    return Sketched({x: row[f"n|{x}"] for x in columns}, brackets, row)
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as double, NaN as missing."""
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None))
+
+
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in spans:
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _slotted(df: DataFrame, columns: Sequence[str], brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """(field, slot, part, value, n): equal rows of the brackets counted, all between two brackets as one.
+
+    Slots count up: 0 below the first bracket, 1 in it, 2 above it and so on. A bracket is cut into equal parts.
+    """
+
+    def placed(x: str) -> Column:
+        value = f"nanvl(cast(`{x}` as double), null)"
+        cases = " ".join(
+            f"when {value} < double('{lo!r}') then {2 * i} when {value} <= double('{hi!r}') then {2 * i + 1}"
+            for i, (lo, hi) in enumerate(brackets[x])
+        )
+        parts = " ".join(
+            f"when slot = {2 * i + 1} then cast(least(floor((value - double('{lo!r}'))"
+            f" / (double('{hi!r}') - double('{lo!r}')) * {_PARTS}), {_PARTS} - 1) as int)"
+            for i, (lo, hi) in enumerate(brackets[x]) if lo < hi
+        )
+        slot = f"case {cases} when {value} is not null then {2 * len(brackets[x])} end" if cases else "cast(null as int)"
+        part = f"case {parts} else 0 end" if parts else "0"
+        return F.expr(
+            f"transform(array(named_struct('slot', {slot}, 'value', {value})), s -> named_struct('field', '{x}',"
+            f" 'slot', s.slot, 'part', {part.replace('slot', 's.slot').replace('value', 's.value')},"
+            f" 'value', if(s.slot % 2 = 1, s.value, null)))[0]"
+        )
+
+    rows = df.select(F.inline(F.array(*[placed(x) for x in columns]))).filter("slot is not null")
+    return rows.groupBy("field", "slot", "part", "value").agg(F.count("*").alias("n"))
+
+
+def bracketed_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], known: Sketched | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles as rows (field, p, value); missing values and NaN are left out.
+
+    Two scans. The first sketches every column and brackets the wanted ranks (``known``, if that has been done). The
+    second counts the values inside the brackets, equal ones before the shuffle, and all others as one number; what it
+    leaves, a share of the rows, is staged. Should a rank lie outside its bracket after all, the bracket is widened and
+    the scan repeated. The values of a bracket are ordered within its parts, equal stretches between its ends, so no
+    task sorts a bracket.
+    """
+    spark, error = df.sparkSession, _RANK_ERROR
+    found = known or sketch_brackets(df, columns, probabilities)
+    brackets, open_, done, targets = dict(found.brackets), [x for x in columns if found.rows[x]], [], []
+    while open_:
+        counted = stage(_slotted(df, open_, {x: brackets[x] for x in open_}), "brackets")
+        sizes: dict[str, dict[int, int]] = {x: {} for x in open_}
+        for field, slot, n in counted.groupBy("field", "slot").agg(F.sum("n").alias("n")).collect():
+            sizes[field][slot] = n
+        missed = []
+        for x in open_:
+            wanted, n = _targets(x, probabilities, sizes[x], found.rows[x])
+            if wanted is None:
+                missed.append(x)
+            else:
+                targets += wanted
+        done.append(counted.filter(F.col("field").isin([x for x in open_ if x not in missed]) & (F.col("slot") % 2 == 1)))
+        error *= 8
+        if missed:
+            again = sketch_brackets(df, missed, probabilities, error=min(error, 1.0))
+            brackets |= again.brackets
+        open_ = missed
+    if not targets:
+        return spark.createDataFrame([], "field string, p double, value double")
+    wanted = spark.createDataFrame(targets, "field string, slot int, p double, position double, low long, high long")
+    return spark.sql(
+        f"""
+        with counted as (select * from {{counted}}),
+        parts as (
+          select field, slot, part, sum(size) over (partition by field, slot order by part) - size as before
+          from (select field, slot, part, sum(n) as size from counted group by field, slot, part)),
+        ordered as (
+          select c.field, c.slot, c.value, c.n,
+            p.before + sum(c.n) over (partition by c.field, c.slot, c.part order by c.value) - c.n as skip
+          from counted c join parts p on p.field = c.field and p.slot = c.slot and p.part = c.part),
+        hits as (
+          select /*+ broadcast(w) */ o.field, w.p, w.position, o.value,
+            w.low between o.skip and o.skip + o.n - 1 as is_low, w.high between o.skip and o.skip + o.n - 1 as is_high
+          from ordered o join {{wanted}} w on w.field = o.field and w.slot = o.slot)
+        select field, p,
+          max(case when is_low then value end)
+            + (max(case when is_high then value end) - max(case when is_low then value end))
+            * max(position - floor(position)) as value
+        from hits where is_low or is_high
+        group by field, p
+        """,
+        counted=reduce(DataFrame.unionByName, done), wanted=wanted,
+    )
+
+
+def _targets(field: str, probabilities: Sequence[float], sizes: dict[int, int], rows: int):
+    """Per probability (field, slot, p, position, low, high), ranks from the begin of the slot; None if one lies outside."""
+    before, at = {}, 0
+    for slot in sorted(sizes):
+        before[slot], at = at, at + sizes[slot]
+    out = []
+    for p in probabilities:
+        position = float(p) * (rows - 1)
+        low, high = math.floor(position), math.ceil(position)
+        slot = next((s for s, b in before.items() if s % 2 and b <= low and high < b + sizes[s]), None)
+        if slot is None:
+            return None, at
+        out.append((field, slot, float(p), position, low - before[slot], high - before[slot]))
+    return out, at
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], *, weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles as rows (field, p, value); missing values are left out.
 
-    ``weight`` names a column that tells how many equal rows each row stands for.
+    ``weight`` names a column that tells how many equal rows each row stands for; without it see
+    ``bracketed_quantiles``.
 
-    A first pass counts rows per logarithmic bucket, which leaves a bounded table whose running
+    With weights, a first pass counts rows per logarithmic bucket, which leaves a bounded table whose running
     totals tell the bucket of each wanted rank. A second pass keeps the rows of those buckets
     alone and counts equal values (a hot value folds before the shuffle). A bucket is cut into
     equal parts between its smallest and largest value, so a column whose values all lie close
     together is spread as well, and values are sorted within a part. Broadcast are the buckets
     of the wanted ranks, at most two per column and probability, and their parts.
     """
+    if weight is None:
+        return bracketed_quantiles(df, columns, probabilities)
     # The bucket never decreases as the value grows and is known for every value, infinity included.
     size = f"floor(least(log2(abs(cast(value as double)) * 10000 + 1) * {_BUCKETS_PER_OCTAVE}, 1e9d))"
     values = (
-        df.select(*columns, (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_weight"))
+        df.select(*columns, F.col(weight).cast("bigint").alias("_weight"))
         .unpivot("_weight", list(columns), "field", "value")
         .filter("value is not null and not isnan(cast(value as double))")
         .selectExpr(
@@ -150,6 +324,10 @@ def quantiles_wide(
         return rows.select(
             "field", *[F.col("sketch")[i].alias(quantile_name(p)) for i, p in enumerate(probabilities)]
         )
-    long = exact_quantiles(df, columns, probabilities)
+    return spread_quantiles(exact_quantiles(df, columns, probabilities), probabilities)
+
+
+def spread_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Rows (field, p, value) as one row per field and one column per probability."""
     at = [f"max(case when p = {float(p)!r}d then value end) as {quantile_name(p)}" for p in probabilities]
     return long.groupBy("field").agg(*[F.expr(text) for text in at])

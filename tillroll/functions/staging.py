@@ -9,7 +9,6 @@ import uuid
 import warnings
 from collections.abc import Iterator
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
@@ -55,12 +54,47 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system that Spark uses for a path, and the path as it names it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _located(spark, path)
+    return system.exists(place)
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on any file system that Spark can write to; False if it was not there."""
+    system, place = _located(spark, path)
+    return system.delete(place, True)
+
+
+def move_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder within one file system; the target must not exist."""
+    system, place = _located(spark, path)
+    _, goal = _located(spark, target)
+    if system.exists(goal):
+        raise FileExistsError(target)
+    system.mkdirs(goal.getParent())
+    if not system.rename(place, goal):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, sorted; none if it is missing."""
+    system, place = _located(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(place)) if system.exists(place) else []
+
+
 def delete_stages(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written stages, wherever Spark has put them."""
+    """Delete written stages; one that cannot be deleted is named in a warning and hides no result."""
     for path in paths:
-        for folder in {name.rsplit("/", 1)[0] for name in spark.read.parquet(path).inputFiles()}:
-            system, place = fs.FileSystem.from_uri(folder)
-            system.delete_dir(place)
+        try:
+            delete_folder(spark, path)
+        except Exception as error:  # of any kind: file systems are Java classes of the cluster's own choice
+            warnings.warn(f"stage {path} is left behind: {str(error).splitlines()[0]}", stacklevel=2)
 
 
 @contextlib.contextmanager

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,8 +134,14 @@ def sales_row_counts(sales: DataFrame) -> DataFrame:
     return sales.agg(F.count("*").alias("sales_rows"), F.count("customer_id").alias("customer_sales_rows"))
 
 
-def constraint_violations(entities: Mapping[str, DataFrame]) -> DataFrame:
-    """(constraint, violations) over keys, references, required columns and domains."""
+def row_rules(table: str) -> dict[str, Column]:
+    """The rules on single rows of a table by name; each holds where it is broken."""
+    rules = {f"not null {table}.{x}": test for x, test in _null_tests(table).items()}
+    return rules | {f"domain {table}.{x}": test for x, test in _domain_tests(table).items()}
+
+
+def key_violations(entities: Mapping[str, DataFrame]) -> DataFrame:
+    """(constraint, violations) over keys and references."""
     unique = check_all_unique(entities).select(
         F.concat(F.lit("unique "), "table_name").alias("constraint"), F.col("repeated_keys").alias("violations")
     )
@@ -148,17 +154,43 @@ def constraint_violations(entities: Mapping[str, DataFrame]) -> DataFrame:
     for frame in references:
         name = frame.columns[0]
         parts.append(frame.select(F.lit(name).alias("constraint"), F.col(name).alias("violations")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def constraint_violations(entities: Mapping[str, DataFrame]) -> DataFrame:
+    """(constraint, violations) over keys, references, required columns and domains."""
+    parts = [key_violations(entities)]
     for table in LOAD_ORDER:  # all rules on the rows of a table in one pass
-        rules = {f"not null|{x}": test for x, test in _null_tests(table).items()}
-        rules |= {f"domain|{x}": test for x, test in _domain_tests(table).items()}
-        name = F.replace("column_name", F.lit("|"), F.lit(f" {table}."))
-        parts.append(_violations(entities[table], table, rules).select(name.alias("constraint"), "violations"))
+        rules = row_rules(table)
+        parts.append(
+            _violations(entities[table], table, {x.replace(".", "|"): test for x, test in rules.items()}).select(
+                F.replace("column_name", F.lit("|"), F.lit(".")).alias("constraint"), "violations"
+            )
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
+def watched(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``df`` whose broken ``rules`` are counted while something else is done with it, and how to read the counts.
+
+    The counts (and the number of rows, under ``rows``) belong to the first action on the frame and are known when that has
+    ended; reading them costs no scan. A rule that is unknown on a row is not broken there.
+    """
+    seen = Observation()
+    names = {f"r{i}": name for i, name in enumerate(rules)}
+    counts = [F.count_if(F.coalesce(rules[name], F.lit(False))).alias(short) for short, name in names.items()]
+    frame = df.observe(seen, F.count("*").alias("rows"), *counts)
+    return frame, lambda: {names.get(short, short): n for short, n in seen.get.items()}
+
+
+def raise_broken(violations: Mapping[str, int]) -> None:
+    """Raise ``ConstraintError`` naming every constraint that is broken."""
+    broken = {name: n for name, n in violations.items() if n}
+    if broken:
+        raise ConstraintError(", ".join(f"{name}: {n}" for name, n in broken.items()))
+
+
 def require_valid(entities: Mapping[str, DataFrame]) -> None:
     """Raise ``ConstraintError`` naming every constraint that is broken."""
     broken = constraint_violations(entities).filter(F.col("violations") > 0).collect()
-    if broken:
-        found = ", ".join(f"{row['constraint']}: {row['violations']}" for row in broken)
-        raise ConstraintError(found)
+    raise_broken({row["constraint"]: row["violations"] for row in broken})

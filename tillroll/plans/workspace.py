@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.functions.columns import LOAD_ORDER
-from tillroll.functions.staging import delete_stages, owned_stages, stage
+from tillroll.functions.staging import delete_stages, new_path, owned_stages, stage
 from tillroll.operators import cleaning, customers, entities, views
 from tillroll.plans.inputs import TABLES, raw_lines
 
@@ -28,7 +30,8 @@ class Workspace:
         self._tables: dict = {}
         self._paths: list[str] = []
 
-    def _made(self, name: str, build):
+    def made(self, name: str, build):
+        """What ``build`` returns, made on first use; its stages belong to this workspace."""
         with self._lock:
             if name not in self._tables:
                 with owned_stages(self.spark, delete=False) as paths:
@@ -37,10 +40,25 @@ class Workspace:
             return self._tables[name]
 
     def _staged(self, name: str, build) -> DataFrame:
-        return self._made(name, lambda: stage(build(), name))
+        return self.made(name, lambda: stage(build(), name))
+
+    def run(self, query: Callable[[Workspace], DataFrame]) -> DataFrame:
+        """What a query returns; the stages it makes belong to this workspace."""
+        with owned_stages(self.spark, delete=False) as paths:
+            found = query(self)
+        with self._lock:
+            self._paths += paths
+        return found
+
+    def new_path(self, label: str) -> str:
+        """A path below the shared folder that belongs to this workspace."""
+        path = new_path(self.spark, label)
+        with self._lock:
+            self._paths.append(path)
+        return path
 
     def drop(self) -> None:
-        """Delete all stages of this workspace; its tables are made anew on their next use."""
+        """Delete all that this workspace has written; its tables are made anew on their next use."""
         with self._lock:
             paths, self._paths, self._tables = self._paths, [], {}
             delete_stages(self.spark, paths)
@@ -68,7 +86,7 @@ class Workspace:
     @property
     def order_items(self) -> DataFrame:
         """Read from the sequence that numbers the lines; not written a second time."""
-        return self._made("order_items", lambda: entities.fact_order_items(self.clean))
+        return self.made("order_items", lambda: entities.fact_order_items(self.clean))
 
     @property
     def entities(self) -> dict[str, DataFrame]:
@@ -83,7 +101,7 @@ class Workspace:
     def receipts(self) -> views.Receipts:
         """Receipts of ``v_sales``: one row per invoice."""
         made = lambda: views.invoice_receipts(self.sales).stored(lambda rows: stage(rows, "receipts"))
-        return self._made("receipts", made)
+        return self.made("receipts", made)
 
     @property
     def rfm(self) -> DataFrame:
@@ -109,10 +127,11 @@ _open_lock = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
-    """Paths, sizes and times of change of the input files, so that changed inputs are staged anew."""
+    """Paths, sizes and times of change of the input files in one row, so that changed inputs are staged anew."""
     folders = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in TABLES]
     files = spark.read.format("binaryFile").load(folders).select("path", "length", "modificationTime")
-    return tuple(sorted(tuple(row) for row in files.collect()))
+    mark = F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))
+    return tuple(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), mark).first())
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
