@@ -133,3 +133,11 @@ def test_products_beyond_64_bits(spark):
 def test_no_words(spark):
     assert phrases.mine(_table(spark, [(None, "en"), (" ", None)])).collect() == []
     assert phrases.mine(_table(spark, [("a", "en")]).filter("doc_id < 0")).collect() == []
+
+
+def test_bitmaps_travel_slim():
+    for share in (0.0, 1e-6, 0.5):
+        bits = np.random.default_rng(1).random(phrases.FILTER_BITS) < share
+        held = np.packbits(bits, bitorder="little")
+        slim = phrases._slim(held)
+        assert slim.nbytes <= held.nbytes and np.array_equal(phrases._opened(slim), held)

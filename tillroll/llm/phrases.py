@@ -114,6 +114,21 @@ def listed(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 > 0
 
 
+def _slim(bitmap: np.ndarray) -> np.ndarray:
+    """The places of the bits that are set, or the bitmap itself where that is smaller."""
+    places = np.flatnonzero(np.unpackbits(bitmap, bitorder="little")).astype(np.uint32)
+    return places if places.nbytes < bitmap.nbytes else bitmap
+
+
+def _opened(slim: np.ndarray) -> np.ndarray:
+    """The bitmap of what ``_slim`` made of it."""
+    if slim.dtype == np.uint8:
+        return slim
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[slim] = True
+    return np.packbits(bits, bitorder="little")
+
+
 class Tally:
     """Counts by fingerprint, with further columns that are added up, kept least, greatest or first."""
 
@@ -216,10 +231,10 @@ def count(texts: DataFrame, k: int, frequent, bits: int, least: int) -> DataFram
             yield {"bucket": [bucket], "key": [_planes(steps)], "n": [_planes(few)]}
 
     def work(batches):
-        tally = Tally({"n": "sum"})
+        tally, before = Tally({"n": "sum"}), {x: _opened(held) for x, held in frequent.value.items()}
         for batch in batches:
             grams = Grams(batch.column(2), batch.column(1), bits)
-            at = grams.open(k, frequent.value)
+            at = grams.open(k, before)
             key = (grams.keys(at, k) >> _U(_CUT)) << _U(_CUT)
             tally.add(key, n=np.ones(len(at), np.int64))
             if tally.full():
@@ -289,6 +304,7 @@ def pointed(texts: DataFrame, longest: int, frequent, bits: int, least: int) ->
 
     def work(batches):
         tally = {k: Tally(how) for k in range(longest + 1)}
+        held_bits = {k: _opened(held) for k, held in frequent.value.items()}
         for batch in batches:
             grams = Grams(batch.column(2), batch.column(1), bits, check=True)
             row = batch.column(0).to_numpy()
@@ -297,11 +313,11 @@ def pointed(texts: DataFrame, longest: int, frequent, bits: int, least: int) ->
             zero = np.zeros(len(some), np.int64)
             tally[0].add(grams.lang[some], n=per_text[some], lo=zero, hi=zero, row=row[some], start=zero, size=zero)
             for k in range(1, longest + 1):
-                if k not in frequent.value:
+                if k not in held_bits:
                     break
-                at = grams.open(k, frequent.value)
+                at = grams.open(k, held_bits)
                 key = grams.keys(at, k)
-                keep = listed(frequent.value[k], key)
+                keep = listed(held_bits[k], key)
                 at, key = at[keep], key[keep]
                 check, of = grams.checks(at, k), grams.row[at]
                 start, size = grams.starts[at] - grams.bounds[of], grams.ends[at + k - 1] - grams.starts[at]
@@ -365,9 +381,10 @@ def recount(texts: DataFrame, shared: DataFrame, least: int, longest: int, bits:
     """(lang, k, phrase, n): the phrases of fingerprints that several phrases share, counted by text."""
     spark = texts.sparkSession
     place = F.shiftright("fp", _CUT).bitwiseAND(FILTER_BITS - 1)
-    marks = spark.sparkContext.broadcast(bitmap(shared.select(place.alias("place"))))
+    marks = spark.sparkContext.broadcast(_slim(bitmap(shared.select(place.alias("place")))))
 
     def work(batches):
+        bits_set = _opened(marks.value)
         for batch in batches:
             grams = Grams(batch.column(2), batch.column(1), bits)
             langs = batch.column(1).to_pylist()
@@ -375,7 +392,7 @@ def recount(texts: DataFrame, shared: DataFrame, least: int, longest: int, bits:
             for k in range(1, longest + 1):
                 at = grams.at(k)
                 key = grams.keys(at, k)
-                keep = listed(marks.value, key)
+                keep = listed(bits_set, key)
                 for i, fp in zip(at[keep].tolist(), key[keep].view(np.int64).tolist(), strict=True):
                     one = (k, fp, langs[grams.row[i]], grams.text(i, k))
                     counts[one] = counts.get(one, 0) + 1
@@ -404,13 +421,15 @@ def frequent_phrases(
     texts = stage(named, "phrase-texts")
     frequent: dict[int, np.ndarray] = {}
     for k in range(1, longest + 1):
-        sent = spark.sparkContext.broadcast(frequent)
+        sent = spark.sparkContext.broadcast({x: held for x, held in frequent.items() if x == k - 1})
         found = bitmap(count(texts, k, sent, bits, least))
+        sent.destroy()
         if not found.any():
             break
-        frequent[k] = found
+        frequent[k] = _slim(found)
     sent = spark.sparkContext.broadcast(frequent)
     counted = stage(pointed(texts, longest, sent, bits, least), "phrase-counts")
+    sent.destroy()
     one = (F.col("lo") == F.col("hi")) | (F.col("k") == 0)
     read = verified(_read(texts, counted.filter(one)), bits).select("lang", "k", "phrase", "n")
     shared = counted.filter(~one)
