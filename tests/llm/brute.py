@@ -48,11 +48,10 @@ def jaccard_components(texts, percent=75):
     return {i: (len(s), union.find(i)) for i, s in sets.items()}
 
 
-def line_shingles(line, k=8, long=24):
-    words = line.split(" ")
-    if len(line) > long * len(words):
-        return frozenset(line[i : i + k] for i in range(len(line) - k + 1))
-    return frozenset(f"{x} {y}"[:k] for x, y in zip(words, [*words[1:], ""], strict=True))
+def line_shingles(line, k=8):
+    """``k`` characters from each word start on, and from every place from which a word has as many."""
+    at = (p for p in range(len(line)) if p == 0 or line[p - 1] == " " or (len(line) - p >= k and " " not in line[p : p + k]))
+    return frozenset(line[p : p + k] for p in at)
 
 
 def line_dedup(texts, similarity=0.8):

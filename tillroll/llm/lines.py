@@ -1,21 +1,21 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-1. Every line that is not blank (trimmed) has a set of character shingles: from each word start the next ``SHINGLE``
-   characters of it and the next word, and within a longer word again from every ``STEP``-th character on, so that every
-   character of the line is in a shingle. In a line with words of over ``LONG`` characters on average (scripts that write
-   no spaces) every place counts as a start. Its signature are the minima of the shingles' hashes, each under another
-   exclusive-or and hashed again. Lines are keyed by a 64-bit hash of their characters and signatures are minima, so equal lines fall
-   together before the shuffle.
+1. Every line that is not blank (trimmed) has a set of character shingles: ``SHINGLE`` characters from each word start on,
+   over following words, and from every place within a word from which it has as many. One rule for lines of every
+   script and length; every character is in a shingle, and a changed one touches only shingles around it. The signature
+   are the minima of the shingles' hashes, each under another exclusive-or and hashed again. Lines are keyed by a
+   64-bit hash of their characters and signatures are minima, so equal lines fall together before the shuffle.
 2. ``BANDS`` bands of ``ROWS`` minima each propose candidates. Lines that are alike to ``SIMILARITY`` or more share a
    bucket with a chance of 98.6 percent or more. Every line of a bucket first meets the bucket's smallest line. Where
-   that leaves a bucket in several components, all its lines of different components that can still be alike meet: in
-   sets alike to ``SIMILARITY``, the rarest shingles, a few more than the share that may differ, have one in common.
-3. Candidates are verified exactly: the Jaccard similarity of their shingle sets.
+   that leaves a bucket in several components, all its lines of different components meet that their sizes and
+   parity bitmaps allow to be alike: bits that differ are shingles that differ, of which alike sets have few.
+3. Candidates are verified exactly: the Jaccard similarity of their shingle sets, each hashed once.
 4. Components of the verified links are found by distributed union-find. Of each component, and of the occurrences of
    each repeated line, the first by doc_id and place stays; all others are removed from their documents.
 
 Lines end at line feeds. Blank lines stay. A null text stays null. Rows that repeat both id and text are one document.
-Documents keep all their columns, also when no line is left (the text is then empty).
+An empty table gives an empty one; among equal lines the smallest (doc_id, place) stays, so ties have one outcome.
+Documents keep all their columns, whatever their names, also when no line is left (the text is then empty).
 """
 
 from __future__ import annotations
@@ -28,12 +28,17 @@ from pyspark.sql import functions as F
 from tillroll.functions.staging import stage
 from tillroll.llm.components import components
 
-SHINGLE, STEP, LONG, BANDS, ROWS = 8, 4, 24, 6, 3
+SHINGLE, BANDS, ROWS = 8, 6, 3
 SIMILARITY = 0.8
+#: 64-bit words of a line's parity bitmap.
+WORDS = 4
+#: Lines of a bucket that one task holds against the others of the bucket; larger buckets are dealt to several.
+TILE = 2000
 #: A table of ids of this many rows may be broadcast.
 BROADCAST_ROWS = 300_000
 
-_EVERY_PLACE = rf"(?s)(?=(.{{{SHINGLE}}}))"
+#: Word starts, and the places from which a word goes on long enough; never between the halves of a character.
+_PLACES = rf"(?s)(?![\uDC00-\uDFFF])(?:(?<![^ ])|(?=[^ ]{{{SHINGLE}}}))(?=(.{{1,{SHINGLE}}}))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,45 +50,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return trimmed.withColumn("line", F.xxhash64("chars"))
 
 
-def _starts(chars: Column) -> Column:
-    """The words of a line, each with the next one, or the shingles themselves where there are no words."""
-    words = F.split(chars, " ")
-    spaceless = F.char_length(chars) > LONG * F.size(words)
-    first = F.when(spaceless, F.regexp_extract_all(chars, F.lit(_EVERY_PLACE), F.lit(1))).otherwise(words)
-    return F.arrays_zip(first.alias("x"), F.slice(first, 2, 1 << 30).alias("y"))
-
-
-def _shingle(start: Column) -> Column:
-    return F.left(F.concat(start["x"], F.lit(" "), F.coalesce(start["y"], F.lit(""))), F.lit(SHINGLE))
-
-
-def _inner(starts: Column) -> Column:
-    """The starts within words that one shingle does not hold."""
-    long = F.filter(starts, lambda start: F.char_length(start["x"]) > SHINGLE)
-
-    def within(start: Column) -> Column:
-        places = F.sequence(F.lit(STEP), F.char_length(start["x"]) - STEP - 1, F.lit(STEP))
-        part = lambda at: F.substring(start["x"], at + 1, F.lit(SHINGLE))
-        return F.transform(places, lambda at: F.struct(part(at).alias("x"), start["y"].alias("y")))
-
-    return F.flatten(F.transform(long, within))
-
-
 def shingles(chars: Column) -> Column:
-    """The set of the shingles at a line's word starts."""
-    return F.array_distinct(F.transform(_starts(chars), _shingle))
-
-
-def all_shingles(chars: Column) -> Column:
-    """The set of a line's character shingles."""
-    return F.array_union(shingles(chars), F.transform(_inner(_starts(chars)), _shingle))
+    """A line's character shingles, repeated ones too."""
+    return F.regexp_extract_all(chars, F.lit(_PLACES), F.lit(1))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """One row per different line: its minima and how often it occurs."""
-    starts = lines.select("line", _starts(F.col("chars")).alias("starts"))
-    each = starts.select("line", F.posexplode(F.concat("starts", _inner(F.col("starts")))).alias("nth", "start"))
-    hashed = each.select("line", "nth", F.hash(_shingle(F.col("start"))).alias("h"))
+    each = lines.select("line", F.posexplode(shingles(F.col("chars"))).alias("nth", "shingle"))
+    hashed = each.select("line", "nth", F.hash("shingle").alias("h"))
     masks = random.Random(0)
     # hashed again, as an exclusive-or alone leaves few different orders of a short line's shingles
     mixed = [F.hash(F.col("h").bitwiseXOR(F.lit(masks.randrange(1 << 32) - (1 << 31)))) for _ in range(BANDS * ROWS)]
@@ -99,41 +74,70 @@ def _buckets(signatures: DataFrame) -> DataFrame:
     return bucket.join(ends.filter("least < most").drop("most"), "bucket")
 
 
-def _open(buckets: DataFrame, root: DataFrame) -> DataFrame:
-    """line and root of the lines in buckets of several components; a line without links is its own root."""
-    of = buckets.join(root, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
-    ends = of.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return of.join(ends.select("bucket"), "bucket", "left_semi").select("line", "root").distinct()
-
-
-def _across(unlinked: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different roots: all that are alike are among them."""
-    chars = lines.select("line", "chars").join(unlinked, "line", "left_semi").groupBy("line").agg(F.min("chars").alias("chars"))
-    sets = chars.select("line", F.transform(all_shingles(F.col("chars")), lambda g: F.xxhash64(g)).alias("set"))
-    held = stage(sets.select("line", F.size("set").alias("n"), F.explode("set").alias("h")), "line-shingles")
-    times = held.groupBy("h").agg(F.count("*").alias("times"))
-    # of two sets with 0.8 in common, those shingles that are not the last 0.8 of either in one order have one in common
-    few = (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1).cast("int")
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("times", "h"))), F.lit(1), few)
-    rare = held.join(times, "h").groupBy("line", "n").agg(rarest.alias("rarest"))
-    rare = rare.select("line", "n", F.explode("rarest").alias("one")).filter("one.times > 1")
-    rare = stage(rare.select("line", "n", F.col("one.h").alias("h")).join(unlinked, "line"), "line-rarest")
-    side = lambda x, y: rare.select("h", F.col("line").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(y))
-    met = side("a", "p").join(side("b", "q"), "h").filter("b < a and p <> q")
+def _sets(buckets: DataFrame, lines: DataFrame) -> DataFrame:
+    """line, the hashes of its shingles, how many they are, and their parity bitmap, of all lines that share a bucket."""
+    wanted = stage(buckets.select("line").distinct(), "line-wanted")
+    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
+    picked = lines.select("line", "chars").join(small(wanted), "line", "left_semi")
+    held = picked.groupBy("line").agg(F.min("chars").alias("chars")).select(
+        "line", F.array_distinct(F.transform(shingles(F.col("chars")), lambda g: F.xxhash64(g))).alias("set")
+    )
+    bit = f"if(shiftright(h, 6) & {WORDS - 1} = {{}}, shiftleft(1L, cast(h & 63 as int)), 0L)"
+    words = [F.expr(f"aggregate(set, 0L, (word, h) -> word ^ {bit.format(w)})").alias(f"w{w}") for w in range(WORDS)]
+    return held.select("line", "set", F.size("set").alias("n"), *words)
+
+
+def _may_be_alike() -> Column:
+    """What sizes and bitmaps of sets with ``SIMILARITY`` in common must fulfil, of the sides a and b."""
     fits = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b") - 1e-6
-    return met.filter(fits).select("a", "b").distinct()
+    apart = sum(F.bit_count(F.col(f"w{w}_a").bitwiseXOR(F.col(f"w{w}_b"))) for w in range(WORDS))
+    return fits & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+
+
+def _side(held: DataFrame, side: str, *more: str) -> DataFrame:
+    """The columns of one side of a pair: its line as ``side``, the others with its name at their end."""
+    names = ["n", *(f"w{w}" for w in range(WORDS)), *more]
+    return held.select(F.col("line").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    left, right = _side(sets, "a", "set"), _side(sets, "b", "set")
+    met = pairs.join(left, "a").join(right, "b").filter(_may_be_alike())
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return met.filter(common >= SIMILARITY * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+
+
+def _across(buckets: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a bucket, have different roots and may be alike.
+
+    The bound stands in the condition of the join, so only pairs that pass it are made. A bucket of many lines is dealt
+    to several tasks: its lines fall to tiles, and each tile meets the whole bucket.
+    """
+    of = buckets.join(root, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
+    ends = of.groupBy("bucket").agg(
+        F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")
+    )
+    open_ = of.join(ends.filter("first < last").select("bucket", "tiles"), "bucket")
+    slim = sets.drop("set")
+    held = stage(open_.join(slim, "line"), "line-open")
+    own = held.withColumn("tile", F.pmod(F.xxhash64("line", "bucket"), "tiles").cast("int"))
+    every = held.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = _side(own, "a", "root", "bucket", "tile")
+    right = _side(every, "b", "root", "bucket", "tile")
+    same = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("tile_a") == F.col("tile_b"))
+    met = left.join(right, same & (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b")) & _may_be_alike())
+    return met.select("a", "b").distinct()
 
 
 def _groups(signatures: DataFrame, lines: DataFrame) -> DataFrame:
     """line and root of all lines that are linked."""
     buckets = stage(_buckets(signatures), "line-buckets")
+    sets = stage(_sets(buckets, lines), "line-sets")
     first = buckets.filter("least < line").select(F.col("line").alias("a"), F.col("least").alias("b")).distinct()
-    links = stage(_verified(first, lines), "line-links")
+    links = stage(_verified(first, sets), "line-links")
     root = components(links).withColumnRenamed("node", "line")
-    unlinked = stage(_open(buckets, root), "line-open")
-    if unlinked.isEmpty():
-        return root
-    more = stage(_verified(_across(unlinked, lines), lines), "line-links")
+    more = stage(_verified(_across(buckets, root, sets), sets), "line-links")
     if more.isEmpty():
         return root
     # the first links as one link from each line to its root
@@ -141,22 +145,6 @@ def _groups(signatures: DataFrame, lines: DataFrame) -> DataFrame:
     return components(known.union(more)).withColumnRenamed("node", "line")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    pairs = stage(pairs, "line-pairs")
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    wanted = stage(wanted, "line-wanted")
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
-    picked = lines.select("line", "chars").join(small(wanted), "line", "left_semi")
-    chars = stage(picked.groupBy("line").agg(F.min("chars").alias("chars")), "line-chars")
-    met = (
-        pairs.join(chars.select(F.col("line").alias("a"), F.col("chars").alias("x")), "a")
-        .join(chars.select(F.col("line").alias("b"), F.col("chars").alias("y")), "b")
-        .select("a", "b", *(all_shingles(F.col(side)).alias(side) for side in ("x", "y")))
-    )
-    common = F.size(F.array_intersect("x", "y"))
-    return met.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """doc, and the places of the lines to remove from it."""
     lines = _lines(docs)
@@ -172,18 +160,24 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, report: bool = False) -> DataFrame:
-    """The documents without the lines that repeat another; ``report`` adds n_lines and n_removed."""
-    marked = docs.withColumn("__doc", F.xxhash64("doc_id", "text"))
-    places = stage(repeated(docs), "line-removals").withColumnRenamed("doc", "__doc").withColumnRenamed("places", "__places")
-    # a column of its own, so that the text is split once and not once per line
-    joined = marked.join(places, "__doc", "left").withColumn("__lines", F.split("text", "\n"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__places"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(kept).alias("text")
-    columns = [text if name == "text" else F.col(name) for name in docs.columns]
+    """The documents without the lines that repeat another; ``report`` adds n_lines and n_removed.
+
+    A column with one of these two names is then an error.
+    """
+    clash = {"n_lines", "n_removed"} & set(docs.columns) if report else ()
+    if clash:
+        raise ValueError(f"the table has columns named {sorted(clash)} already")
+    places = stage(repeated(docs), "line-removals")
+    # the row as one column, so that no name of it can clash; the lines as one, so that the text is split once
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.struct(*[f"`{x}`" for x in docs.columns]).alias("row"))
+    joined = rows.join(places, "doc", "left").withColumn("lines", F.split("row.text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept)
+    columns = [(text if name == "text" else F.col(f"row.`{name}`")).alias(name) for name in docs.columns]
     if report:
         columns += [
-            F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
+            F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
         ]
     return joined.select(*columns)
