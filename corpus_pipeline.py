@@ -18,23 +18,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _columns(docs: DataFrame) -> list:
+    """The columns of ``docs`` whatever their names."""
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``docs`` has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Positive-unlabelled toxicity: documents with a score of 0.5 or more go."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
+    name = _free(docs, "toxicity")
+    return toxicity.score(docs, model, name=name).filter(F.col(name) < 0.5).select(*_columns(docs))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fuzzy line dedup: of each component of alike lines one stays. Documents stay, if need be with an empty text."""
+    """Fuzzy line dedup: of each component of alike lines one stays.
+
+    Documents stay, if need be with an empty text: which of them are copies is for the next stage to say, and a row a
+    document lets every stage be judged on its own input. Where there is a column n_chars, it is counted anew.
+    """
     changed = lines.remove(docs)
-    return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return changed
+    return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document with the smallest id of each group stays."""
     groups = stage(jaccard.join(docs), "pipeline-groups")
     copies = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stage(copies, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stage(copies, "pipeline-copies"), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
