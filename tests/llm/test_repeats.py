@@ -75,3 +75,23 @@ def test_empty_and_repeated_ids(make_docs):
     assert repeats.digest(docs.limit(0)).count() == 0
     rows = repeats.digest(docs.union(docs)).collect()
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(0, 600), (0, 600), (1, 0), (1, 0)]
+
+
+def test_planted_passages_of_over_fifty_words(make_docs):
+    """Of passages of 51 to 120 words in two documents each, all of 400 bytes and more go, whole, and no shorter one.
+
+    What tells is the length in bytes, not in words, and ``n_removed``, not ``n_bytes``.
+    """
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(rng.randrange(51, 121)) for _ in range(80)]
+    texts = [f"{prose(40)} {p} {prose(40)}" for p in passages for _ in range(2)] + [prose(200) for _ in range(40)]
+    rows = rows_of(repeats.digest(make_docs(texts)))
+    long = [i for i, p in enumerate(passages) if len(p) + 2 >= N]
+    assert 20 < len(long) < 70
+    for i, p in enumerate(passages):
+        for doc in (2 * i, 2 * i + 1):
+            # the blanks around a passage are shared as well, and so may be a character or two beyond them
+            assert rows[doc][1] == 0 if i not in long else len(p) + 2 <= rows[doc][1] <= len(p) + 6
+    assert all(rows[i][1] == 0 for i in range(160, 200))

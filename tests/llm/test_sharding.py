@@ -48,3 +48,35 @@ def test_packing_balances_all_resources():
 
 def test_empty(make_docs):
     assert sharding.assign(make_docs(["x"]).filter("doc_id < 0")).count() == 0
+
+
+def plain_pack(sizes, shards, weights):
+    """Vector bin packing item by item in plain Python: the largest first, to where the dot product is highest."""
+    fair = [max(sum(column) / shards, 1e-9) for column in zip(*sizes, strict=True)]
+    shares = [[x / f for x, f in zip(row, fair, strict=True)] for row in sizes]
+    room, where = [[1.0] * len(fair) for _ in range(shards)], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-max(shares[i]), i)):
+        dots = [sum(r * w * x for r, w, x in zip(held, weights, shares[i], strict=True)) for held in room]
+        where[i] = max(range(shards), key=lambda s: (dots[s], -s))
+        room[where[i]] = [r - x for r, x in zip(room[where[i]], shares[i], strict=True)]
+    return where
+
+
+def test_packing_against_a_plain_form():
+    rng = np.random.default_rng(4)
+    for n, shards in ((1, 3), (40, 4), (300, 16)):
+        sizes = rng.integers(1, 1 << 12, (n, 3)).astype(float)
+        assert sharding.pack(sizes, shards).tolist() == plain_pack(sizes.tolist(), shards, sharding.WEIGHTS)
+
+
+def test_null_ids_and_long_texts(make_docs, spark):
+    texts = ["x " * 400_000, "日" * 100_000, *[f"doc {i}" for i in range(50)]]
+    docs = make_docs(texts).unionByName(spark.createDataFrame(
+        [(None, "no id", "en", "s", 5, 1), (None, None, None, None, None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long, score int"))
+    rows = sharding.assign(docs, shards=4).collect()
+    assert len(rows) == 54 and sum(r.doc_id is None for r in rows) == 2
+    held = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in held.values())
