@@ -28,6 +28,12 @@ NAV = '<nav><ul><li><a href="/a">Home</a></li><li>About us</li></ul></nav>'
         (page("<article>cut &amp; <p>off <a hre").removesuffix("</body></html>"), "cut & off"),
         (page("<p>a</p><div class='cookie-notice'>c</div><div class=\"content-header2\">d</div><p>b</p>"), "a b"),
         (page("<article><p>x <span class='ad'>buy</span> y</p><style>p{}</style><textarea>t</textarea></article>"), "x y"),
+        (page("<article><div class='section-header'>Part one</div><h2 id='comment-on-the-law'>Law</h2><p class='ad'>said</p>"
+              "<div class='comment-list'>c</div><div class='ad-slot top'>buy</div></article>"), "Part one Law said"),
+        ('<article><p class="x>Hello <b>you</b></p><p>more</p></article>', "Hello you more"),
+        ("<p title='never ends>one</p><a href=\"x>two</a>", "one two"),
+        ('<p title="a > b">kept</p>', "kept"),
+        ("<article><p>text</p><article class='comment'><p>a reply</p></article></article>", "text"),
         ("<p>1 < 2 &nbsp; &copy; &#233; &bogus; <3</p>", "1 < 2 © é &bogus; <3"),
     ],
 )
@@ -85,6 +91,25 @@ def test_template_is_deleted(site, handed, monkeypatch):
     assert pages.digest(df.limit(0)).count() == 0
 
 
+def test_long_repeated_and_clashing(site, monkeypatch):
+    """A very long page, repeated rows, and columns named like helpers, in both ways of handing the template on."""
+    df, expected = site
+    long = page("<div>Site 0 top</div>" + "".join(f"<p>Line {i} of many.</p>" for i in range(20_000)))
+    spark = df.sparkSession
+    more = spark.createDataFrame([(50, "http://h0.example/a/0001", long)], df.schema)
+    held = df.union(df.limit(5)).union(more).selectExpr("*", "page_id as owner", "url as host", "1 as keys", "2 as `row`")
+    for handed in (0, 1_000_000):
+        monkeypatch.setattr(pages, "HANDED", handed)
+        rows = pages.extract(held).collect()
+        assert len(rows) == df.count() + 6
+        for r in rows:
+            assert (r["owner"], r["host"], r["keys"], r["row"]) == (r.page_id, r.url, 1, 2)
+            if r.page_id != 50:
+                assert r.text == expected[r.page_id]
+            else:
+                assert r.text.startswith("Line 0 of many.") and r.text.endswith("Line 19999 of many.")
+
+
 def test_query(spark, sf_dir):
     """The test pages mark their article, so its text can be cut out plainly."""
     source = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}

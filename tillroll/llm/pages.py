@@ -2,7 +2,8 @@
 
 1. A page is cut into lines: the text of each block element, white space folded, references decoded. A line is content
    if it lies in an article (or, without one, in ``main``), furniture if it lies in an element that never holds main
-   text (menus, footers, forms, adverts, comments; by tag, role, class or id), and open otherwise.
+   text (menus, footers, forms, adverts, comments; by tag, role, class or id), and open otherwise. Within an article class
+   and id count for less (see ``_marked_inside``).
 2. Within each host the pages are ordered by URL path and each is paired with the next one; pages with the same lines
    count once. The lines of a pair outside articles are aligned by their longest common subsequence. Shared lines are
    the host's template. Two pages that share more than two thirds of their open lines are copies of each other,
@@ -10,8 +11,9 @@
 3. The text of a page is its content lines or, if it has no article, its open lines without those of the template.
 
 Pairing moves hashes of lines only, never pages: hosts are range-partitioned with their paths, so a host of any size is
-spread over tasks. Template lines are sent to the tasks if they are few, else joined on the host. A null page has no
-text. A page whose URL has no host is not paired.
+spread over tasks. Template lines are sent to the tasks if they are few, else joined line by line. A null or empty page
+has no text. A page whose URL has no host is not paired. Repeated pages count once in the pairing and each get their text;
+an empty table gives an empty one; a column named like the new one is an error, others stay.
 """
 
 from __future__ import annotations
@@ -50,25 +52,42 @@ MARKS = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)"
+    r"|</?[a-zA-Z][^<>]*(?:>|(?=<)|\Z)",  # a quote that never ends: up to the next bracket
     re.DOTALL,
 )
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _URL = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 CONTENT, OPEN, FURNISHED, MAIN = 0, 1, 2, 3
 
+#: Elements that hold an article's own text, whatever their class or id.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th figcaption section".split())
+
 
 def _marked(attributes: str) -> bool:
     """Whether class, id or role name furniture."""
+    return any(not MARKS.isdisjoint(_WORD.findall(name)) for name in _names(attributes))
+
+
+def _names(attributes: str) -> list[str]:
+    """The names in class, id and role, in lower case."""
     if "=" not in attributes:
-        return False
-    for found in _NAMES.finditer(attributes):
-        value = next(x for x in (*found.groups(), "") if x is not None)
-        if not MARKS.isdisjoint(_WORD.findall(value.lower())):
-            return True
-    return False
+        return []
+    values = (next(x for x in (*found.groups(), "") if x is not None) for found in _NAMES.finditer(attributes))
+    return [name for value in values for name in value.lower().split()]
+
+
+def _marked_inside(tag: str, attributes: str) -> bool:
+    """The same within an article, where a name is a vote among others.
+
+    Only one that begins with a word for furniture counts (``comment-list``, not ``section-header``), a heading of the
+    article's own is no menu, and elements of prose are text whatever they are called (``<h2 id="comment-on-x">``).
+    """
+    first = (_WORD.match(name) for name in _names(attributes))
+    return tag not in PROSE and any(word and word.group() in MARKS - {"header"} for word in first)
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -95,14 +114,19 @@ def lines(page: str) -> list[tuple[int, str]]:
         if token.start() > at:
             held.append(page[at : token.start()])
         at = token.end()
-        tag = (token.group(2) or "").lower()
-        if not tag or tag in INLINE and not _marked(token.group(3)):
-            if tag and token.group(1) and stack and stack[-1][0] == tag:  # ends an inline element that is furniture
+        part = token
+        if not token.group(2) and token.group()[1] not in "!?":
+            part = _LOOSE.match(token.group())
+        tag = (part.group(2) or "").lower() if part.re is _LOOSE or token.group(2) else ""
+        slash, attributes = (part.group(1), part.group(3)) if tag else ("", "")
+        marked = _marked_inside(tag, attributes) if inside else _marked(attributes)
+        if not tag or tag in INLINE and not marked:
+            if tag and slash and stack and stack[-1][0] == tag:  # ends an inline element that is furniture
                 flush()
                 depth -= stack.pop()[1]
             continue
         flush()
-        if token.group(1):
+        if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     for name, furniture in stack[i:]:
@@ -114,11 +138,9 @@ def lines(page: str) -> list[tuple[int, str]]:
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not token.group(3).endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             own = tag in ("html", "body", "main")
-            furniture = not own and (
-                tag in FURNITURE or tag == "header" and not inside or _marked(token.group(3))
-            )
+            furniture = not own and (tag in FURNITURE or tag == "header" and not inside or marked)
             stack.append((tag, int(furniture)))
             depth += furniture
             inside += tag == "article"
@@ -247,7 +269,10 @@ def _joint(host: str, key: int) -> int:
 
 def extract(pages: DataFrame, url: str = "url", column: str = "html", name: str = "text") -> DataFrame:
     """Adds the main text of every page."""
-    template = stage(templates(pages.select(F.col(url).alias("url"), F.col(column).alias("html"))), "templates")
+    source = pages.select(F.col(url).alias("url"), F.col(column).alias("html"))
+    # of the lines that pages share, only open ones can stand in a text
+    template = stage(templates(source).filter(F.col("key").bitwiseAND(1) == 1), "templates")
+    place = pages.columns.index(column)
 
     def texts(batch, known):
         found = []
@@ -263,27 +288,43 @@ def extract(pages: DataFrame, url: str = "url", column: str = "html", name: str
         return pa.array(found, pa.string())
 
     if template.count() <= HANDED:
-        held = frozenset(_joint(r.host, r.key) for r in template.filter(F.col("key").bitwiseAND(1) == 1).collect())
+        held = frozenset(_joint(r.host, r.key) for r in template.collect())
 
         def run(batches):
             for batch in slices(batches, place):
                 yield added(batch, {name: texts(batch, lambda i, host, key: _joint(host, key) in held)})
 
-        place = pages.columns.index(column)
         return pages.mapInArrow(tidy(run), wider(pages, **{name: "string"}))
 
-    hosts = template.groupBy(F.col("host").alias("__host")).agg(F.collect_set("key").alias("__keys"))
-    host_of = F.lower(F.regexp_extract(F.col(url), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
-    joined = pages.withColumn("__host", host_of).join(hosts, "__host", "left").select(*pages.columns, "__keys")
+    def open_lines(batches):
+        for batch in slices(batches, 1):
+            owners, hosts, keys = [], [], []
+            for owner, address, page in zip(*(batch.column(i).to_pylist() for i in (2, 0, 1)), strict=True):
+                cut = lines(page) if page else []
+                if not any(what == CONTENT for what, _ in cut):
+                    own = {line_key(what, text) for what, text in cut if what == OPEN}
+                    owners += [owner] * len(own)
+                    hosts += [url_parts(address)[0]] * len(own)
+                    keys += own
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owners, pa.int64()), pa.array(hosts, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))],
+                names=["owner", "host", "key"],
+            )
+
+    # Line by line, so that no host's template is ever in one place; a page gets the template lines it has itself.
+    owner = F.xxhash64("url", "html").alias("owner")
+    each = source.select("url", "html", owner).mapInArrow(tidy(open_lines), "owner long, host string, key long").distinct()
+    shared = each.join(template, ["host", "key"]).groupBy("owner").agg(F.collect_set("key").alias("keys"))
+    row = F.struct(*[F.col(f"`{x}`") for x in pages.columns]).alias("row")
+    joined = pages.select(row, F.xxhash64(F.col(url), F.col(column)).alias("owner")).join(shared, "owner", "left")
 
     def run_joined(batches):
-        for batch in slices(batches, place):
-            sets = [{k & 0xFFFFFFFFFFFFFFFF for k in x or ()} for x in batch.column("__keys").to_pylist()]
-            value = texts(batch, lambda i, host, key: key in sets[i])
-            yield added(batch.drop_columns(["__keys"]), {name: value})
+        for batch in batches:
+            rows = pa.RecordBatch.from_struct_array(batch.column(0))
+            sets = [{k & 0xFFFFFFFFFFFFFFFF for k in x or ()} for x in batch.column(1).to_pylist()]
+            yield added(rows, {name: texts(rows, lambda i, host, key: key in sets[i])})
 
-    place = pages.columns.index(column)
-    return joined.mapInArrow(tidy(run_joined), wider(pages, **{name: "string"}))
+    return joined.select("row", "keys").mapInArrow(tidy(run_joined), wider(pages, **{name: "string"}))
 
 
 def digest(pages: DataFrame) -> DataFrame:
