@@ -50,8 +50,9 @@ def jaccard_components(texts, percent=75):
 
 def line_shingles(line, k=8):
     """``k`` characters from each word start on, and from every place from which a word has as many."""
-    at = (p for p in range(len(line)) if p == 0 or line[p - 1] == " " or (len(line) - p >= k and " " not in line[p : p + k]))
-    return frozenset(line[p : p + k] for p in at)
+    starts = (p for p in range(len(line)) if line[p] != " " and (p == 0 or line[p - 1] == " "))
+    inner = (p for p in range(len(line) - k + 1) if " " not in line[p : p + k])
+    return frozenset(line[p : p + k] for p in (*starts, *inner))
 
 
 def line_dedup(texts, similarity=0.8):

@@ -1,12 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 1. Every line that is not blank (trimmed) has a set of character shingles: ``SHINGLE`` characters from each word start on,
-   over following words, and from every place within a word from which it has as many. One rule for lines of every
+   over following words, and from every place within a word from which the word has as many. One rule for lines of every
    script and length; every character is in a shingle, and a changed one touches only shingles around it. The signature
    are the minima of the shingles' hashes, each under another exclusive-or and hashed again. Lines are keyed by a
    64-bit hash of their characters and signatures are minima, so equal lines fall together before the shuffle.
 2. ``BANDS`` bands of ``ROWS`` minima each propose candidates. Lines that are alike to ``SIMILARITY`` or more share a
-   bucket with a chance of 98.6 percent or more. Every line of a bucket first meets the bucket's smallest line. Where
+   bucket with a chance of 98.6 percent or more. Every line of a bucket first meets its smallest and its largest line. Where
    that leaves a bucket in several components, all its lines of different components meet that their sizes and
    parity bitmaps allow to be alike: bits that differ are shingles that differ, of which alike sets have few.
 3. Candidates are verified exactly: the Jaccard similarity of their shingle sets, each hashed once.
@@ -37,8 +37,8 @@ TILE = 2000
 #: A table of ids of this many rows may be broadcast.
 BROADCAST_ROWS = 300_000
 
-#: Word starts, and the places from which a word goes on long enough; never between the halves of a character.
-_PLACES = rf"(?s)(?![\uDC00-\uDFFF])(?:(?<![^ ])|(?=[^ ]{{{SHINGLE}}}))(?=(.{{1,{SHINGLE}}}))"
+#: A shingle, then on to the next place: past the word if no more of it is left than a shingle holds, else by one character.
+_PLACES = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^ ]{{1,{SHINGLE}}}+(?![^ ]) *+|[^ ])"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -67,11 +67,11 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """line, bucket and the bucket's smallest line, of the buckets with several lines."""
+    """line, bucket, and the bucket's smallest and largest line, of the buckets with several lines."""
     band = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     bucket = signatures.select("line", F.explode(F.array(*band)).alias("bucket"))
     ends = bucket.groupBy("bucket").agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    return bucket.join(ends.filter("least < most").drop("most"), "bucket")
+    return bucket.join(ends.filter("least < most"), "bucket")
 
 
 def _sets(buckets: DataFrame, lines: DataFrame) -> DataFrame:
@@ -109,32 +109,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a bucket, have different roots and may be alike.
+    """Pairs (a, b) of lines that share a bucket, have different roots and may be alike, each pair once.
 
-    The bound stands in the condition of the join, so only pairs that pass it are made. A bucket of many lines is dealt
-    to several tasks: its lines fall to tiles, and each tile meets the whole bucket.
+    The bound stands in the condition of the join, so only pairs that pass it are made, and only in the first of the
+    buckets they share. A bucket of many lines is dealt to several tasks: its lines fall to tiles, and each tile meets
+    the whole bucket.
     """
     of = buckets.join(root, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
     ends = of.groupBy("bucket").agg(
         F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")
     )
     open_ = of.join(ends.filter("first < last").select("bucket", "tiles"), "bucket")
-    slim = sets.drop("set")
-    held = stage(open_.join(slim, "line"), "line-open")
+    mine = open_.groupBy("line").agg(F.collect_set("bucket").alias("mine"))
+    held = stage(open_.join(sets.drop("set").join(mine, "line"), "line"), "line-open")
     own = held.withColumn("tile", F.pmod(F.xxhash64("line", "bucket"), "tiles").cast("int"))
     every = held.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = _side(own, "a", "root", "bucket", "tile")
-    right = _side(every, "b", "root", "bucket", "tile")
+    left = _side(own, "a", "root", "bucket", "tile", "mine")
+    right = _side(every, "b", "root", "bucket", "tile", "mine")
     same = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("tile_a") == F.col("tile_b"))
-    met = left.join(right, same & (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b")) & _may_be_alike())
-    return met.select("a", "b").distinct()
+    apart = (F.col("b") < F.col("a")) & (F.col("root_a") != F.col("root_b"))
+    first = F.array_min(F.array_intersect("mine_a", "mine_b")) == F.col("bucket_a")
+    return left.join(right, same & apart & _may_be_alike() & first).select("a", "b")
 
 
 def _groups(signatures: DataFrame, lines: DataFrame) -> DataFrame:
     """line and root of all lines that are linked."""
     buckets = stage(_buckets(signatures), "line-buckets")
     sets = stage(_sets(buckets, lines), "line-sets")
-    first = buckets.filter("least < line").select(F.col("line").alias("a"), F.col("least").alias("b")).distinct()
+    lead = lambda name: buckets.select(F.greatest("line", name).alias("a"), F.least("line", name).alias("b"))
+    first = lead("least").union(lead("most")).filter("b < a").distinct()
     links = stage(_verified(first, sets), "line-links")
     root = components(links).withColumnRenamed("node", "line")
     more = stage(_verified(_across(buckets, root, sets), sets), "line-links")
