@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.staging import stage
+from tillroll.functions.staging import delete_stages, owned_stages, stage
 from tillroll.llm import bpe, catalog, contamination, jaccard, lines, toxicity
 
 
@@ -79,8 +79,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+    What a stage writes on its way goes when its result is written, and that goes when the next one's is; the last
+    result stays for its reader.
+    """
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with owned_stages(spark) as paths:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            own = [paths.pop()]
+        delete_stages(spark, before)
+        before = own
     return docs

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from tillroll.functions.staging import stage
+from tillroll.functions.staging import folder_names, shared_folder, stage
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,49 @@ def test_tokens(kept):
 
 def test_run_gives_the_same(spark, sf_dir, kept):
     assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(kept[5][1])
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    before = set(folder_names(spark, folder))
+    docs = corpus_pipeline.run(spark, sf_dir)
+    left = set(folder_names(spark, folder)) - before
+    assert len(left) == 1 and left.pop().startswith(f"pipeline-{corpus_pipeline.STAGES[-1][0]}")
+    assert docs.count() > 0
+
+
+ODD = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "one word each here is not like any other text of this table at all"),
+    (5, " ".join(f"w{i}x{i * 7 % 13}" for i in range(40_000))), (6, "日本語の文章です。" * 3000), (7, "🙂" * 5000),
+    (8, "the same text twice under one id and once under another, word for word, long enough to count"),
+    (8, "the same text twice under one id and once under another, word for word, long enough to count"),
+    (9, "the same text twice under one id and once under another, word for word, long enough to count"),
+    (None, "a text of its own without any id, which says something no other text of the table has said"),
+]
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_odd_rows(spark, sf_dir, number):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns named like the stages' own."""
+    name, step = corpus_pipeline.STAGES[number]
+    rows = [(i, t, None, "s", 7, 0.5, "k", [1]) for i, t in ODD]
+    schema = "doc_id long, text string, lang string, source string, toxicity int, component_id double, doc string, places array<int>"
+    docs = spark.createDataFrame(rows, schema)
+    found = step(spark, docs, sf_dir)
+    held = found.collect()
+    assert step(spark, docs.limit(0), sf_dir).count() == 0
+    if number == len(corpus_pipeline.STAGES) - 1:
+        assert sorted(str(r.doc_id) for r in held) == sorted(str(i) for i, _ in ODD)
+        return
+    assert found.columns == docs.columns
+    assert all((r.toxicity, r.component_id, r.doc, r.places) == (7, 0.5, "k", [1]) for r in held)
+    kept = [(r.doc_id, r.text) for r in held]
+    copies = {8, 9} | ({None} if name == "jaccard_join" else set())
+    expected = [x for x in ODD if x[0] not in copies]
+    assert sorted((str(i), t or "") for i, t in kept if i not in copies) == sorted((str(i), t or "") for i, t in expected)
+    if name == "line_dedup":  # rows of one id and text are one document; its copy under another id loses the line
+        assert [t for i, t in kept if i in copies] == [ODD[7][1]] * 2 + [""]
+    elif name == "jaccard_join":
+        assert {i for i, _ in kept} >= {8} and 9 not in {i for i, _ in kept}
+    else:
+        assert sum(i in copies for i, _ in kept) == 3
