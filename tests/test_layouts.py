@@ -15,7 +15,8 @@ from tillroll.functions import ranking, staging
 from tillroll.functions.columns import SOURCE_HEADERS, SOURCE_SCHEMA
 from tillroll.functions.staging import new_path
 from tillroll.operators import customers, profiling, sketches, views
-from tillroll.plans.workspace import workspace
+from tillroll.plans import catalog
+from tillroll.plans.workspace import Workspace, workspace
 from tillroll.sources import readers, writers
 
 
@@ -332,3 +333,15 @@ def test_folders_of_any_file_system(spark):
     assert staging.delete_folder(spark, "viewfs://tillroll/in/b")
     assert not staging.delete_folder(spark, "viewfs://tillroll/in/b")
     assert Counter(staging.folder_names(spark, base)) == Counter()
+
+
+def test_a_dropped_workspace_leaves_nothing(spark, sf_dir):
+    """Stages, published folders and sheets that queries wrote go with the workspace they ran in."""
+    folder = f"{staging.shared_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    before = set(staging.folder_names(spark, folder))
+    ws = Workspace(spark, sf_dir)
+    for name in ("quantile_table", "publish_version", "append_lines", "reject_report", "layout_tables", "retention_matrix"):
+        assert ws.run(catalog.query_named(name)).count() > 0
+    assert len(set(staging.folder_names(spark, folder)) - before) > 10
+    ws.drop()
+    assert set(staging.folder_names(spark, folder)) == before
