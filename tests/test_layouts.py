@@ -303,6 +303,17 @@ def test_quantiles_of_any_number_of_rows(spark, n):
     assert [found[p] for p in ps] == pytest.approx(list(np.quantile(values, ps)), rel=1e-12, abs=1e-12)
 
 
+def test_invoice_receipts_are_made_of_v_sales_alone(spark, clean, tables, sales_view):
+    by_hand = tables["order_items"].join(clean.select("invoice", "customer_id", "invoice_date", "country"), "invoice")
+    for lines in (clean, by_hand):
+        with pytest.raises(ValueError, match="v_sales"):
+            views.invoice_receipts(lines)
+    path = new_path(spark, "sold")
+    sales_view.filter("quantity > 1").write.parquet(path)
+    for lines in (staging.stage(sales_view, "sold"), spark.read.parquet(path)):
+        assert views.invoice_receipts(lines).by_invoice
+
+
 # --- stages ----------------------------------------------------------------------------------
 
 

@@ -12,6 +12,10 @@ from tillroll.functions.columns import LOAD_ORDER, RETAIL, SERVICE_CODES, LineCo
 from tillroll.functions.expressions import money, month_of, quotient
 
 
+# Marks the invoice column of lines whose customer, time and country are those of their order.
+_OF_ORDER = {"tillroll.header": "order"}
+
+
 def v_sales(
     order_items: DataFrame, orders: DataFrame, products: DataFrame, *, codes: Sequence[str] = SERVICE_CODES
 ) -> DataFrame:
@@ -28,8 +32,8 @@ def v_sales(
         goods.join(standing, "invoice")
         .join(products, "stock_code")
         .select(
-            "order_item_id", "invoice", "customer_id", "invoice_date", "country", "stock_code", "description",
-            "quantity", "price", "line_total",
+            "order_item_id", F.col("invoice").alias("invoice", metadata=_OF_ORDER), "customer_id", "invoice_date", "country",
+            "stock_code", "description", "quantity", "price", "line_total",
         )
     )
 
@@ -80,9 +84,11 @@ def receipts(sales: DataFrame, *, c: LineColumns = RETAIL) -> Receipts:
 def invoice_receipts(sales: DataFrame, *, c: LineColumns = RETAIL) -> Receipts:
     """Receipts of ``v_sales``, whose lines have the customer, time and country of their order.
 
-    That makes one row per invoice. Lines that do not come from ``v_sales`` are refused.
+    That makes one row per invoice. Lines that do not come from ``v_sales`` are refused: it marks its invoice column, and
+    the mark stays through filters, stages and files.
     """
-    if "order_item_id" not in sales.columns:
+    marks = [f.metadata for f in sales.schema if f.name == c.invoice]
+    if not marks or any(marks[0].get(name) != value for name, value in _OF_ORDER.items()):
         raise ValueError("invoice receipts are made of v_sales; use receipts for other lines")
     return dataclasses.replace(receipts(sales, c=c), by_invoice=True)
 
