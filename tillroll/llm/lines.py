@@ -34,8 +34,8 @@ SIMILARITY = 0.8
 WORDS = 4
 #: Lines of a bucket that one task holds against the others of the bucket; larger buckets are dealt to several.
 TILE = 2000
-#: A table of ids of this many rows may be broadcast.
-BROADCAST_ROWS = 300_000
+#: A table of this many ids or places may be broadcast.
+BROADCAST_ROWS = 500_000
 
 #: A shingle, then on to the next place: past the word if no more of it is left than a shingle holds, else by one character.
 _PLACES = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^ ]{{1,{SHINGLE}}}+(?![^ ]) *+|[^ ])"
@@ -77,8 +77,7 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 def _sets(buckets: DataFrame, lines: DataFrame) -> DataFrame:
     """line, the hashes of its shingles, how many they are, and their parity bitmap, of all lines that share a bucket."""
     wanted = stage(buckets.select("line").distinct(), "line-wanted")
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
-    picked = lines.select("line", "chars").join(small(wanted), "line", "left_semi")
+    picked = lines.select("line", "chars").join(_small(wanted, wanted.count()), "line", "left_semi")
     held = picked.groupBy("line").agg(F.min("chars").alias("chars")).select(
         "line", F.array_distinct(F.transform(shingles(F.col("chars")), lambda g: F.xxhash64(g))).alias("set")
     )
@@ -148,14 +147,20 @@ def _groups(signatures: DataFrame, lines: DataFrame) -> DataFrame:
     return components(known.union(more)).withColumnRenamed("node", "line")
 
 
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """``df`` to be broadcast where its ``size``, the rows or values it holds, is bounded."""
+    return F.broadcast(df) if size <= BROADCAST_ROWS else df
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """doc, and the places of the lines to remove from it."""
     lines = _lines(docs)
     signatures = stage(_signatures(lines), "line-signatures")
     root = _groups(signatures, lines)
     often = signatures.filter("times > 1").select("line").join(root, "line", "left_anti")
-    groups = root.unionByName(often.withColumn("root", F.col("line")))
-    found = stage(lines.select("doc_id", "doc", "place", "line").join(groups, "line").drop("line"), "line-places")
+    groups = stage(root.unionByName(often.withColumn("root", F.col("line"))), "line-groups")
+    held = lines.select("doc_id", "doc", "place", "line")
+    found = stage(held.join(_small(groups, groups.count()), "line").drop("line"), "line-places")
     one = F.struct("doc_id", "doc", "place")
     first = found.groupBy("root").agg(F.min(one).alias("first"))
     rest = found.join(first, "root").filter(~one.eqNullSafe(F.col("first")))
@@ -171,9 +176,10 @@ def remove(docs: DataFrame, report: bool = False) -> DataFrame:
     if clash:
         raise ValueError(f"the table has columns named {sorted(clash)} already")
     places = stage(repeated(docs), "line-removals")
+    size = places.agg(F.coalesce(F.sum(F.size("places") + 1), F.lit(0))).first()[0]
     # the row as one column, so that no name of it can clash; the lines as one, so that the text is split once
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.struct(*[f"`{x}`" for x in docs.columns]).alias("row"))
-    joined = rows.join(places, "doc", "left").withColumn("lines", F.split("row.text", "\n"))
+    joined = rows.join(_small(places, size), "doc", "left").withColumn("lines", F.split("row.text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
     text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(kept)
