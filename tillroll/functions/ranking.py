@@ -126,26 +126,28 @@ def _slotted(df: DataFrame, columns: Sequence[str], brackets: dict[str, list[tup
     Slots count up: 0 below the first bracket, 1 in it, 2 above it and so on. A bracket is cut into equal parts.
     """
 
-    def placed(x: str) -> Column:
-        value = f"nanvl(cast(`{x}` as double), null)"
+    def slot(i: int, x: str) -> str:
         cases = " ".join(
-            f"when {value} < double('{lo!r}') then {2 * i} when {value} <= double('{hi!r}') then {2 * i + 1}"
-            for i, (lo, hi) in enumerate(brackets[x])
+            f"when v{i} < double('{lo!r}') then {2 * k} when v{i} <= double('{hi!r}') then {2 * k + 1}"
+            for k, (lo, hi) in enumerate(brackets[x])
         )
+        return f"case {cases} when v{i} is not null then {2 * len(brackets[x])} end" if cases else "cast(null as int)"
+
+    def row(i: int, x: str) -> Column:
         parts = " ".join(
-            f"when slot = {2 * i + 1} then cast(least(floor((value - double('{lo!r}'))"
+            f"when s{i} = {2 * k + 1} then cast(least(floor((v{i} - double('{lo!r}'))"
             f" / (double('{hi!r}') - double('{lo!r}')) * {_PARTS}), {_PARTS} - 1) as int)"
-            for i, (lo, hi) in enumerate(brackets[x]) if lo < hi
+            for k, (lo, hi) in enumerate(brackets[x]) if lo < hi
         )
-        slot = f"case {cases} when {value} is not null then {2 * len(brackets[x])} end" if cases else "cast(null as int)"
-        part = f"case {parts} else 0 end" if parts else "0"
-        return F.expr(
-            f"transform(array(named_struct('slot', {slot}, 'value', {value})), s -> named_struct('field', '{x}',"
-            f" 'slot', s.slot, 'part', {part.replace('slot', 's.slot').replace('value', 's.value')},"
-            f" 'value', if(s.slot % 2 = 1, s.value, null)))[0]"
+        return F.struct(
+            F.lit(x).alias("field"), F.col(f"s{i}").alias("slot"),
+            F.expr(f"case {parts} else 0 end" if parts else "0").alias("part"),
+            F.expr(f"if(s{i} % 2 = 1, v{i}, null)").alias("value"),
         )
 
-    rows = df.select(F.inline(F.array(*[placed(x) for x in columns]))).filter("slot is not null")
+    values = df.select(*[_number(df, x).alias(f"v{i}") for i, x in enumerate(columns)])
+    slots = values.select("*", *[F.expr(slot(i, x)).alias(f"s{i}") for i, x in enumerate(columns)])
+    rows = slots.select(F.inline(F.array(*[row(i, x) for i, x in enumerate(columns)]))).filter("slot is not null")
     return rows.groupBy("field", "slot", "part", "value").agg(F.count("*").alias("n"))
 
 
