@@ -124,16 +124,16 @@ def _opened(slim: np.ndarray) -> np.ndarray:
     """The bitmap of what ``_slim`` made of it."""
     if slim.dtype == np.uint8:
         return slim
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[slim] = True
-    return np.packbits(bits, bitorder="little")
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    np.bitwise_or.at(held, slim >> 3, np.uint8(1) << (slim & 7).astype(np.uint8))
+    return held
 
 
 class Tally:
     """Counts by fingerprint, with further columns that are added up, kept least, greatest or first."""
 
-    def __init__(self, how: dict[str, str]):
-        self.how, self.rows, self.parts = how, 0, []
+    def __init__(self, how: dict[str, str], most: int | None = None):
+        self.how, self.rows, self.parts, self.most = how, 0, [], most or HELD
 
     def add(self, key: np.ndarray, **columns: np.ndarray) -> None:
         if len(key):
@@ -153,10 +153,10 @@ class Tally:
 
     def full(self) -> bool:
         """Whether the task should hand on what it has; folds it first."""
-        if self.rows < HELD:
+        if self.rows < self.most:
             return False
         self._fold()
-        return self.rows > HELD // 2
+        return self.rows > self.most // 2
 
     def _fold(self) -> None:
         if len(self.parts) > 1:
@@ -303,7 +303,7 @@ def pointed(texts: DataFrame, longest: int, frequent, bits: int, least: int) ->
             yield {"k": [k], "bucket": [bucket], "fp": [_planes(key[at])]} | held
 
     def work(batches):
-        tally = {k: Tally(how) for k in range(longest + 1)}
+        tally = {k: Tally(how, HELD // (longest + 1)) for k in range(longest + 1)}
         held_bits = {k: _opened(held) for k, held in frequent.value.items()}
         for batch in batches:
             grams = Grams(batch.column(2), batch.column(1), bits, check=True)
