@@ -55,6 +55,31 @@ def test_risk_falls_and_hidden_positives_are_found():
     assert (((x_unl @ w + b) > 0) == (mix[:, 0] > 0)).mean() > 0.98
 
 
+def test_gradient_of_the_risk():
+    """Against differences of the risk, with the second part above zero and, where the gradient turns, below it."""
+    rng = np.random.default_rng(6)
+    seen = set()
+    for _ in range(40):
+        p, u = rng.normal(size=(30, 4)), rng.normal(size=(50, 4)) - 3 * rng.random()
+        w, prior = rng.normal(size=5) * 2, rng.uniform(0.05, 0.9)
+        positive, negative = toxicity.risk_parts(w, p, u, prior)
+        seen.add(negative >= 0)
+        aim = (lambda w: sum(toxicity.risk_parts(w, p, u, prior))) if negative >= 0 else (
+            lambda w: -toxicity.risk_parts(w, p, u, prior)[1]
+        )
+        step = 1e-6 * np.eye(5)
+        want = [(aim(w + e) - aim(w - e)) / 2e-6 for e in step]
+        assert np.allclose(toxicity.risk_gradient(w, p, u, prior), want, atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_repeated_ids_have_one_fit(corpus):
+    docs, labels = corpus
+    again = docs.union(docs.filter("doc_id < 50").selectExpr("doc_id", "concat(text, ' more') as text"))
+    one, two = (toxicity.fit(df, labels) for df in (again, again.repartition(7)))
+    assert np.array_equal(one.keys, two.keys) and np.allclose(one.weights, two.weights, atol=1e-4)
+
+
 def test_features_do_not_cross_texts():
     h, row = toxicity.features(pa.array(["abc", None, "", "abcdefghi abc"]))
     assert sorted(set(row.tolist())) == [0, 3]

@@ -88,6 +88,30 @@ class Model:
         return total / max(1, len(self.bias))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def risk_parts(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk of positives, and the estimated risk of negatives, of weights with the bias at their end."""
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    return float(prior * loss(zp)), float(loss(-zu) - prior * loss(-zp))
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the sum of both parts; where the second is negative, which no risk is, against its own alone."""
+    zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    loss = lambda z: np.logaddexp(0, -z)
+    negative = loss(-zu).mean() - prior * loss(-zp).mean()
+    gp_neg, gu_neg = _sigmoid(zp) / len(p), _sigmoid(zu) / len(u)
+    if negative >= 0:
+        gp, gu = prior * (_sigmoid(zp) - 1) / len(p) - prior * gp_neg, gu_neg
+    else:
+        gp, gu = prior * gp_neg, -gu_neg
+    return np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+
+
 def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of one linear classifier, trained on a bootstrap draw with Adam."""
     rng = np.random.default_rng(seed)
@@ -96,18 +120,9 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, seed: int) -> t
     w = np.zeros(p.shape[1] + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    prior = np.float32(prior)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    loss = lambda z: np.logaddexp(0, -z)
     for step in range(1, STEPS + 1):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        gp_neg, gu_neg = sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        if negative >= 0:
-            gp, gu = prior * (sigmoid(zp) - 1) / len(p) - prior * gp_neg, gu_neg
-        else:  # the estimate has gone below what a risk can be: step back
-            gp, gu = prior * gp_neg, -gu_neg
-        grad = np.append(p.T @ gp + u.T @ gu + DECAY * w[:-1], gp.sum() + gu.sum())
+        grad = risk_gradient(w, p, u, np.float32(prior))
+        grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -172,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 names=["is_pos", "is_unl", "hits"],
             )
 
-    rows = sample.orderBy("doc_id").mapInArrow(tidy(vectors), "is_pos boolean, is_unl boolean, hits array<int>").collect()
+    # by text as well, so that rows of one id have an order
+    rows = sample.orderBy("doc_id", "text").mapInArrow(tidy(vectors), "is_pos boolean, is_unl boolean, hits array<int>").collect()
     x = np.zeros((len(rows), len(keys)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.hits] = 1
