@@ -7,7 +7,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.staging import stage
@@ -166,10 +166,15 @@ def bracketed_quantiles(
     found = known or sketch_brackets(df, columns, probabilities)
     brackets, open_, done, targets = dict(found.brackets), [x for x in columns if found.rows[x]], [], []
     while open_:
-        counted = stage(_slotted(df, open_, {x: brackets[x] for x in open_}), "brackets")
+        # The size of each slot is added up while the counts are written.
+        seen, at = Observation(), [(x, k) for x in open_ for k in range(2 * len(brackets[x]) + 1)]
+        size = lambda x, k: F.sum(F.when((F.col("field") == x) & (F.col("slot") == k), F.col("n")))
+        sums = [size(x, k).alias(f"n{i}") for i, (x, k) in enumerate(at)]
+        counted = stage(_slotted(df, open_, {x: brackets[x] for x in open_}).observe(seen, *sums), "brackets")
         sizes: dict[str, dict[int, int]] = {x: {} for x in open_}
-        for field, slot, n in counted.groupBy("field", "slot").agg(F.sum("n").alias("n")).collect():
-            sizes[field][slot] = n
+        for i, (x, k) in enumerate(at):
+            if seen.get[f"n{i}"]:
+                sizes[x][k] = seen.get[f"n{i}"]
         missed = []
         for x in open_:
             wanted, n = _targets(x, probabilities, sizes[x], found.rows[x])

@@ -42,8 +42,8 @@ SEGMENT_ACTIONS = (
 
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Months in one whole number of a month set: its sign bit is used too.
-_MONTHS_A_WORD = 64
+# Months in one whole number of a month set: all bits but the sign.
+_MONTHS_A_WORD = 63
 
 
 def orders_per_customer(rc: Receipts, *, c: LineColumns = RETAIL) -> DataFrame:
@@ -132,7 +132,7 @@ def month_sets(
 ) -> DataFrame:
     """(customer_id, first_month, months): the months in which each known customer bought, as a set of bits.
 
-    Bit k of ``months``, 64 in each of its whole numbers, stands for the k-th month after ``first_month``, the month of
+    Bit k of ``months``, 63 in each of its whole numbers, stands for the k-th month after ``first_month``, the month of
     ``first`` (the earliest sale, unless given) and the same in every row. Receipts after ``last`` or before ``first`` do not
     count. A customer is one row of fixed size from the first task on, whatever they bought; sets of equal bounds
     merge with ``merge_month_sets``.
@@ -177,14 +177,16 @@ def merge_month_sets(*sets: DataFrame, c: LineColumns = RETAIL) -> DataFrame:
 def activity_of_sets(sets: DataFrame, *, c: LineColumns = RETAIL) -> DataFrame:
     """(customer_id, cohort_month, order_month, month_number) of ``month_sets``, one row per active month.
 
-    A customer's months come out of their own row, in order, so neither a join nor a second shuffle is needed.
+    A customer's months come out of their own row, so neither a join nor a second shuffle is needed.
     """
     n = _MONTHS_A_WORD
-    active = F.expr(
-        f"filter(sequence(0, size(months) * {n} - 1), k -> shiftright(months[cast(k div {n} as int)], k % {n}) & 1L = 1L)"
-    )
-    rows = sets.select(c.customer_id, "first_month", active.alias("_at")).filter(F.size("_at") > 0)
-    rows = rows.select(c.customer_id, "first_month", F.col("_at")[0].alias("_from"), F.explode("_at").alias("_k"))
+    # The first month: zeros below the lowest bit of the first word that has one.
+    place = "array_position(transform(months, x -> x > 0), true) - 1"
+    word = sets.filter("exists(months, x -> x > 0)").withColumn("_w", F.expr(f"cast({place} as int)"))
+    first = word.withColumn("_from", F.expr(f"_w * {n} + bit_count(~months[_w] & (months[_w] - 1))"))
+    each = first.select(c.customer_id, "first_month", "_from", F.posexplode("months").alias("_at", "_bits"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_bit"))
+    rows = each.filter(F.expr("shiftright(_bits, _bit) & 1L = 1L")).withColumn("_k", F.col("_at") * n + F.col("_bit"))
     return rows.select(
         c.customer_id,
         F.add_months("first_month", F.col("_from")).alias("cohort_month"),
@@ -252,10 +254,9 @@ def retention_matrix(
         maps = maps.filter(F.col("cohort_month") >= F.lit(first).cast("date"))
     if last:
         maps = maps.filter(F.col("cohort_month") <= F.lit(last).cast("date"))
-    # A cohort without activity up to the last of the months asked for has no row, as in cohort_retention.
-    known = F.exists(F.map_keys("active"), lambda k: k.between(0, max(months, default=0)))
-    rate = lambda k: percent(F.try_element_at("active", F.lit(k)), F.try_element_at("active", F.lit(0)))
-    return maps.filter(known).select("cohort_month", *[rate(k).alias(f"month_{k}") for k in months]).orderBy("cohort_month")
+    rate = F.transform_values("active", lambda _, n: percent(n, F.try_element_at("active", F.lit(0))))
+    rates = maps.select("cohort_month", rate.alias("rates"))
+    return rates.selectExpr("cohort_month", *[f"try_element_at(rates, {k}) as month_{k}" for k in months]).orderBy("cohort_month")
 
 
 def retention_summary(
