@@ -80,6 +80,18 @@ def test_repeated_ids_have_one_fit(corpus):
     assert np.array_equal(one.keys, two.keys) and np.allclose(one.weights, two.weights, atol=1e-4)
 
 
+def test_shares_learn_from_all_rows(corpus, monkeypatch):
+    """Small shares choose the features that one share of all rows chooses, and tell as well what is toxic."""
+    docs, labels = corpus
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "POSITIVES", 20)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 150)
+    model = toxicity.fit(docs, labels)
+    assert np.array_equal(model.keys, whole.keys)
+    rows = toxicity.score(docs.filter("doc_id < 900"), model).collect()
+    assert sum((r.toxicity >= 0.5) == (r.doc_id % 8 == 0) for r in rows) / len(rows) > 0.97
+
+
 def test_features_do_not_cross_texts():
     h, row = toxicity.features(pa.array(["abc", None, "", "abcdefghi abc"]))
     assert sorted(set(row.tolist())) == [0, 3]

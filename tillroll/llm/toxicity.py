@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; the unlabelled set is a draw from all labelled documents with the labels
+Confirmed toxic documents are the positives; the unlabelled set is all labelled documents with the labels
 hidden, so its share of toxic ones is the class prior, which is counted over all training rows. The classifiers are
 linear in the presence of words and of word beginnings and minimise, in numpy,
 
@@ -8,9 +8,10 @@ linear in the presence of words and of word beginnings and minimise, in numpy,
 
 with the logistic loss. A score is the mean probability of the classifiers.
 
-Training reads at most about ``POSITIVES`` + ``UNLABELLED`` rows, chosen by a hash of the id (a documented bound);
-counts of labels cover all rows and every whole text is scored. A null text counts as an empty one. Without a
-confirmed toxic row every score is 0.
+Training reads all labelled rows that are not held out. They are dealt by a hash of the id into shares of about
+``UNLABELLED`` rows, each joined by one of the groups of at least ``POSITIVES`` positives (all of them where they are
+fewer); every share is fitted in a task, and the weights are averaged over the shares by their rows. A null text counts
+as an empty one. Without a confirmed toxic row every score is 0.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.staging import stage
 from tillroll.llm.text import FOLDED_VALUES, NOT_ALNUM, held_out, rolling, slices, span_hash, tidy, utf8, wider, words
 
+#: Rows of a group of positives at least, and of a share of the unlabelled about.
 POSITIVES, UNLABELLED = 3_000, 5_000
 #: Bytes of a word's beginning that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7)
@@ -128,8 +130,9 @@ def fit_nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, seed: int) -> t
     return w[:-1], float(w[-1])
 
 
-def _below(share: float):
-    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 20)) < int(share * (1 << 20))
+def _dealt(parts: int):
+    """Which of ``parts`` a row belongs to, by its id."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(parts)).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -139,26 +142,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not counts.p:
         return Model(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
     prior = min(max(counts.p / counts.n, 1e-4), 0.9)
-    chosen = known.select(
-        "doc_id",
-        ((F.col("toxic") == 1) & _below(min(1, POSITIVES / counts.p))).alias("is_pos"),
-        _below(min(1, UNLABELLED / counts.n)).alias("is_unl"),
-    ).filter("is_pos or is_unl")
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    groups = max(1, counts.p // POSITIVES)
+    shares = max(groups, -(-counts.n // UNLABELLED))
+    chosen = known.select("doc_id", (F.col("toxic") == 1).alias("is_pos"))
+    sample = stage(docs.select("doc_id", "text").join(chosen, "doc_id"), "toxicity-labelled")
 
     def count(batches):
         for batch in slices(batches, 1):
             h, row = distinct(*features(batch.column(1)))
             pos = batch.column(2).to_numpy(zero_copy_only=False)[row]
-            unl = batch.column(3).to_numpy(zero_copy_only=False)[row]
             key, which = np.unique(h, return_inverse=True)
-            n_pos, n_unl = np.bincount(which, pos, len(key)), np.bincount(which, unl, len(key))
+            n_pos, n_unl = np.bincount(which, pos, len(key)), np.bincount(which, minlength=len(key))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(n_pos.astype(np.int64)), pa.array(n_unl.astype(np.int64))],
                 names=["key", "pos", "unl"],
             )
 
-    n = sample.agg(F.count_if("is_pos").alias("pos"), F.count_if("is_unl").alias("unl")).first()
+    n = sample.agg(F.count_if("is_pos").alias("pos"), F.count("*").alias("unl")).first()
     if not n.pos or not n.unl:
         return Model(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
     table = sample.mapInArrow(tidy(count), "key long, pos long, unl long").groupBy("key").agg(
@@ -183,18 +183,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for i, r in zip(which.tolist(), row.tolist(), strict=True):
                 held[r].append(i)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(3), pa.array(held, pa.list_(pa.int32()))],
-                names=["is_pos", "is_unl", "hits"],
+                [batch.column(0), batch.column(2), pa.array(held, pa.list_(pa.int32()))],
+                names=["doc_id", "is_pos", "hits"],
             )
 
-    # by text as well, so that rows of one id have an order
-    rows = sample.orderBy("doc_id", "text").mapInArrow(tidy(vectors), "is_pos boolean, is_unl boolean, hits array<int>").collect()
-    x = np.zeros((len(rows), len(keys)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.hits] = 1
-    x_pos, x_unl = x[[r.is_pos for r in rows]], x[[r.is_unl for r in rows]]
-    trained = [fit_nnpu(x_pos, x_unl, prior, seed) for seed in range(CLASSIFIERS)]
-    return Model(shape.keys, np.array([w for w, _ in trained]), np.array([b for _, b in trained]))
+    def train(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                found.setdefault(r["share"], []).append((r["as_pos"], r["doc_id"], r["hits"]))
+        out = {"share": [], "rows": [], "weights": []}
+        for share, rows in found.items():
+            rows.sort()  # rows of one id have an order by their hits
+            x = np.zeros((len(rows), len(keys)), np.float32)
+            for i, (_, _, hits) in enumerate(rows):
+                x[i, hits] = 1
+            pos = np.array([as_pos for as_pos, _, _ in rows])
+            if pos.any() and not pos.all():
+                trained = [np.append(*fit_nnpu(x[pos], x[~pos], prior, seed)) for seed in range(CLASSIFIERS)]
+                out["share"].append(share)
+                out["rows"].append(int((~pos).sum()))
+                out["weights"].append(np.array(trained, np.float64).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out["share"], pa.int32()), pa.array(out["rows"], pa.int64()), pa.array(out["weights"], pa.binary())],
+            names=list(out),
+        )
+
+    rows = sample.mapInArrow(tidy(vectors), "doc_id long, is_pos boolean, hits array<int>")
+    rows = stage(rows, "toxicity-hits")
+    hidden = rows.select("doc_id", "hits", F.lit(False).alias("as_pos"), _dealt(shares).alias("share"))
+    joined = F.explode(F.sequence(_dealt(groups), F.lit(shares - 1), F.lit(groups)))
+    shown = rows.filter("is_pos").select("doc_id", "hits", F.lit(True).alias("as_pos"), joined.alias("share"))
+    dealt = hidden.union(shown).repartition(shares, "share")
+    made = sorted(dealt.mapInArrow(tidy(train), "share int, rows long, weights binary").collect(), key=lambda r: r.share)
+    total = sum(r.rows for r in made)
+    if not total:
+        return Model(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
+    mean = sum(np.frombuffer(bytes(r.weights)).reshape(CLASSIFIERS, -1) * (r.rows / total) for r in made)
+    return Model(shape.keys, mean[:, :-1], mean[:, -1])
 
 
 def score(docs: DataFrame, model: Model, column: str = "text", name: str = "toxicity") -> DataFrame:
