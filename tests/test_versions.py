@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import LOAD_ORDER
-from tillroll.functions.staging import folder_names, new_path
+from tillroll.functions.staging import folder_names, new_path, stage
 from tillroll.operators import checks, cleaning, entities
 from tillroll.sources import increments, versions, writers
 
@@ -211,3 +211,13 @@ def test_fingerprints_tell_missing_from_empty(spark):
         [(None, ""), ("", None), ("a", "b"), ("ab", ""), ("", "ab"), (None, None), ("1:a", "")], "x string, y string"
     )
     assert held.select(increments.fingerprint(["x", "y"])).distinct().count() == 7
+
+
+def test_stages_and_published_tables_are_packed(spark, tables, clean):
+    """Stages, publications and appended loads are written with the smaller packing."""
+    folder = new_path(spark, "packed")
+    versions.publish_version(tables, folder)
+    increments.append_lines(spark, f"{folder}/grown", clean)
+    held = [path for frame in versions.published(spark, folder).values() for path in frame.inputFiles()]
+    held += stage(tables["orders"], "packed").inputFiles() + versions.published(spark, f"{folder}/grown")["order_items"].inputFiles()
+    assert len(held) >= 6 and all(".zstd." in path for path in held)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import LOAD_ORDER, RETAIL, LineColumns
-from tillroll.functions.staging import delete_folder, owned_stages, stage
+from tillroll.functions.staging import COMPRESSION, delete_folder, owned_stages, stage
 from tillroll.operators import checks, entities
 from tillroll.sources import versions
 
@@ -62,7 +62,7 @@ def append_lines(
         """Write this load's part of a table, its row rules counted on the way."""
         done.append(path(table))
         watched, counted = checks.watched(frame, rules or {})
-        watched.write.parquet(path(table))
+        watched.write.option("compression", COMPRESSION).parquet(path(table))
         checks.raise_broken({name: n for name, n in counted().items() if name != "rows"})
         return spark.read.schema(frame.schema).parquet(path(table))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.columns import LOAD_ORDER, RETAIL, SERVICE_CODES, LineColumns
 from tillroll.functions.expressions import month_of
 from tillroll.functions.ranking import range_partition
-from tillroll.functions.staging import delete_folder, folder_exists, move_folder
+from tillroll.functions.staging import COMPRESSION, delete_folder, folder_exists, move_folder
 from tillroll.operators import checks
 from tillroll.sources.readers import CSV_OPTIONS
 
@@ -76,7 +76,8 @@ def load_checked(entities: Mapping[str, DataFrame], paths: Mapping[str, str], *,
     written = {}
     for name in LOAD_ORDER:
         frame, counted = checks.watched(entities[name], checks.row_rules(name))
-        frame.write.format(fmt).save(paths[name])
+        packed = {"compression": COMPRESSION} if fmt == "parquet" else {}
+        frame.write.options(**packed).format(fmt).save(paths[name])
         broken |= {rule: n for rule, n in counted().items() if rule != "rows"}
         written[name] = spark.read.format(fmt).schema(entities[name].schema).load(paths[name])
     broken |= {row["constraint"]: row["violations"] for row in checks.key_violations(written).collect()}
