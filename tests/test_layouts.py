@@ -58,6 +58,24 @@ def test_items_meet_orders_without_a_shuffle(spark, bucketed, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_large_buckets_are_several_files(spark, sf_dir, monkeypatch):
+    """Tasks that sort and write grow in number with the rows; the join still needs no shuffle."""
+    monkeypatch.setattr(writers, "_FILE_ROWS", 250)
+    ws, schema, before = workspace(spark, sf_dir), "tillroll_parts", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    path = new_path(spark, "buckets")
+    writers.bucket_tables(ws.entities, schema, path, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items, orders = (spark.table(f"{schema}.{name}") for name in ("order_items", "orders"))
+        sizes = [r["count"] for r in items.groupBy(F.input_file_name()).count().collect()]
+        assert len(sizes) > 8 and max(sizes) < 1_000
+        assert "Exchange" not in executed(items.join(orders, "invoice")).toString()
+        assert rows(items) == rows(ws.order_items) and rows(orders) == rows(ws.orders)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"drop schema {schema} cascade")
+
+
 def _scanned(spark, df):
     """Rows that the scan of a table handed on, as its metrics say."""
     plan = executed(df)

@@ -191,6 +191,9 @@ def layout_tables(
     return path
 
 
+# So many rows of a bucket are sorted and written by one task.
+_FILE_ROWS = 500_000
+
 #: Columns by which the tables are looked up, besides those they are bucketed by.
 LOOKUPS = {"orders": ("customer_id", "invoice"), "order_items": ("stock_code", "invoice")}
 
@@ -204,13 +207,17 @@ def bucket_tables(
     sorted by the first lookup column (customer, stock code), so that row groups, of ``block_bytes`` if given, hold
     narrow ranges of it; Parquet bloom filters tell which row groups lack a looked-up value. An invoice is in one bucket
     however many lines it has: for data in which one invoice dominates, ``layout_tables`` spreads it.
+
+    A large bucket is several files: the shuffle has a multiple of ``buckets`` partitions, so each of them lies within one
+    bucket, and tasks grow in number with the rows, which are counted first.
     """
     spark, base = entities[LOAD_ORDER[0]].sparkSession, folder.rstrip("/")
     spark.sql(f"create schema if not exists {schema}")
     for name in LOAD_ORDER:
         frame = entities[name]
         if name in LOOKUPS:
-            writer = frame.repartition(buckets, "invoice").write.bucketBy(buckets, "invoice").sortBy(LOOKUPS[name][0])
+            files = max(1, -(-frame.count() // (buckets * _FILE_ROWS)))
+            writer = frame.repartition(buckets * files, "invoice").write.bucketBy(buckets, "invoice").sortBy(LOOKUPS[name][0])
             for column in LOOKUPS[name]:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
             if block_bytes:
