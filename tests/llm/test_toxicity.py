@@ -102,3 +102,25 @@ def test_query(spark, sf_dir):
     rows = catalog.registered()["op1_nnpu_toxicity"](spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    plans, stage, before = [], toxicity.stage, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(toxicity, "stage", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = toxicity.fit(docs, labels)
+        assert "SortMergeJoin" not in plans[0]
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+        plans.clear()
+        shuffled = toxicity.fit(docs, labels)
+        assert "SortMergeJoin" in plans[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (model.keys == shuffled.keys).all() and np.allclose(model.weights, shuffled.weights)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tillroll.functions.staging import stage
 from tillroll.llm.text import FOLDED_VALUES, NOT_ALNUM, held_out, rolling, slices, span_hash, tidy, utf8, wider, words
 
+#: Labels that are broadcast to the texts at most; with more of them texts and labels are shuffled to meet.
+BROADCAST_LABELS = 8_000_000
 #: Rows of a group of positives at least, and of a share of the unlabelled about.
 POSITIVES, UNLABELLED = 3_000, 5_000
 #: Bytes of a word's beginning that are features beside the whole word.
@@ -145,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     groups = max(1, counts.p // POSITIVES)
     shares = max(groups, -(-counts.n // UNLABELLED))
     chosen = known.select("doc_id", (F.col("toxic") == 1).alias("is_pos"))
+    if counts.n <= BROADCAST_LABELS:  # texts stay where they are
+        chosen = F.broadcast(chosen)
     sample = stage(docs.select("doc_id", "text").join(chosen, "doc_id"), "toxicity-labelled")
 
     def count(batches):
