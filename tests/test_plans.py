@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import checks, cleaning, customers, entities, profiling, sales, views
 from tillroll.plans.workspace import workspace
+from tillroll.sources import writers
 
 
 def plan(df):
@@ -88,3 +89,21 @@ def test_no_sort_below_the_first_aggregate(ws):
 def test_no_python_in_the_plans(ws):
     for frame in (ws.line_receipts.rows, customers.rfm_segments(customers.rfm_scores(ws.rfm))):
         assert "Python" not in plan(frame) and "Pandas" not in plan(frame)
+
+
+def shuffled_joins(spark, build):
+    """Keys of the joins of a frame, the last one first, as they are planned for tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return re.findall(r"SortMergeJoin \[(\w+)#", plan(build()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_view_of_months_shuffles_lines_twice(spark, ws):
+    """To their products and to their orders, by whose shuffle they fold to receipts."""
+    views.register_tables(ws.entities, prefix="months_")
+    texts = {name: text.replace("s.", "months_") for name, text in writers.view_texts("s", ["M"]).items()}
+    text = texts["v_monthly_metrics"].replace("months_v_sales", f"({texts['v_sales']})")
+    assert shuffled_joins(spark, lambda: spark.sql(text)) == ["invoice", "stock_code"]
