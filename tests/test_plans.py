@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import checks, cleaning, customers, entities, profiling, sales, views
-from tillroll.plans.workspace import workspace
+from tillroll.plans.workspace import Workspace, workspace
 from tillroll.sources import writers
 
 
@@ -101,6 +101,25 @@ def shuffled_joins(spark, build):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_receipts_join_only_their_columns(spark, sf_dir):
+    """Receipts alone write no sales lines with texts and keys; they are those of the sales lines all the same."""
+    own = Workspace(spark, sf_dir)
+    try:
+        rows = own.receipts.rows
+        assert "sales" not in own._tables
+        wide = views.invoice_receipts(own.sales).rows
+        assert rows.count() > 0 and rows.exceptAll(wide).isEmpty() and wide.exceptAll(rows).isEmpty()
+        assert shuffled_joins(spark, own._v_sales) == ["invoice", "stock_code"]
+    finally:
+        own.drop()
+
+
+def test_orders_last_changes_no_line(ws):
+    lines = [views.v_sales(ws.order_items, ws.orders, ws.products, orders_last=last) for last in (False, True)]
+    assert lines[0].schema == lines[1].schema
+    assert lines[0].exceptAll(lines[1]).isEmpty() and lines[1].exceptAll(lines[0]).isEmpty()
+
+
 def test_view_of_months_shuffles_lines_twice(spark, ws):
     """To their products and to their orders, by whose shuffle they fold to receipts."""
     views.register_tables(ws.entities, prefix="months_")
