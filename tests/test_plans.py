@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import checks, cleaning, customers, entities, profiling, sales, views
+from tillroll.plans import catalog
 from tillroll.plans.workspace import Workspace, workspace
 from tillroll.sources import writers
 
@@ -126,3 +127,8 @@ def test_view_of_months_shuffles_lines_twice(spark, ws):
     texts = {name: text.replace("s.", "months_") for name, text in writers.view_texts("s", ["M"]).items()}
     text = texts["v_monthly_metrics"].replace("months_v_sales", f"({texts['v_sales']})")
     assert shuffled_joins(spark, lambda: spark.sql(text)) == ["invoice", "stock_code"]
+
+
+def test_exported_orders_meet_customers_before_lines(spark, ws):
+    found = shuffled_joins(spark, lambda: catalog.query_named("sink_csv_tables")(ws))
+    assert found[0] == "invoice" and sorted(found[1:]) == ["customer_id", "stock_code"]
