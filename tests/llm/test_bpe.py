@@ -48,3 +48,26 @@ def test_query_against_the_other_library(spark, sf_dir, reference):
 
 def test_empty_table(make_docs):
     assert bpe.digest(make_docs([None]).filter("doc_id < 0"), PATH).count() == 0
+
+
+def test_pieces_met_again_are_encoded_once(reference, monkeypatch):
+    """However many rare pieces pass by, common ones are not encoded anew, and ids stay those of the whole text."""
+    tokenizer, _, bounds = bpe.vocabulary(PATH)
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(bpe, "PIECES_KEPT", 50)
+    pieces = bpe._Pieces(Counting(), bounds[1:] - bounds[:-1])
+    for turn in range(20):
+        rare = " ".join(f"rare{turn}x{i}, é{i}\nß{turn}" for i in range(40))
+        texts = ["a common phrase, a common phrase, too", rare, *(x or "" for x in ODD), "", "x  y z  w a\x1c b c"]
+        ids, begins = pieces.encode(texts)
+        held = [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        assert held == [reference.encode_ordinary(x) for x in texts]
+    assert sum(x.count(" phrase,") for x in asked) == 1
+    # different pieces of one call are few texts
+    assert sum("rare7x" in x for x in asked) <= 2

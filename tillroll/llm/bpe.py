@@ -2,7 +2,7 @@
 
 The rank file (one base64 token and its rank a line) becomes a byte-level BPE model: every byte stands as one printable
 character, and each way to cut a token into two known tokens is a merge of that token's rank. Texts are cut before
-single spaces, which the split pattern never crosses, so each distinct piece of a task is encoded once.
+single spaces, which the split pattern never crosses, so a distinct piece is encoded once as long as a task remembers it.
 
 Token offsets come from the byte lengths of the tokens and a byte-to-character map of the text. Decoding reverses the
 byte table; a token may hold part of a character, so bytes are joined before they are read as UTF-8.
@@ -14,21 +14,27 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from tillroll.llm.text import added, slices, tidy, utf8, wider
 
-#: Distinct pieces a task remembers before it starts anew; bounds memory, not results.
-PIECES_KEPT = 100_000
+#: Distinct pieces a task remembers before it forgets the rare ones; bounds memory, not results.
+PIECES_KEPT = 250_000
+#: Pieces that are encoded as one text.
+JOINED = 256
 #: Before one space between two visible characters: the pattern always splits there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A space that has white space beside it, which is no place to cut.
+_WIDE = re.compile(r"\s | \s")
 
 
 def byte_alphabet() -> list[str]:
@@ -74,38 +80,80 @@ def gathered(values: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tupl
     return values[take], begins
 
 
-class _Pieces:
-    """Ids of the pieces a task has met, flat, by number of the piece."""
+def _cut(text: str | None) -> list[str]:
+    """The text's pieces: cut before every single space between two visible characters."""
+    if not text:
+        return []
+    if text[0] == " " or text[-1] == " " or _WIDE.search(text):
+        return _CUT.split(text)
+    first, *others = text.split(" ")
+    return [first, *[" " + word for word in others]]
+
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-        self.clear()
+class _Pieces:
+    """Ids of the pieces a task has met, flat, by number of the piece; when they grow too many, those met again stay."""
 
-    def clear(self) -> None:
+    def __init__(self, tokenizer: Tokenizer, length: np.ndarray):
+        self.tokenizer, self.length = tokenizer, length
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.bounds = np.zeros(1 << 16, np.int64)
+        self.met = np.zeros(1 << 16, np.int64)
+
+    def thin(self) -> None:
+        """Forgets the pieces that were met once since they were last thinned, and of the others the rarer ones."""
+        met = self.met[: len(self.number)]
+        again = np.flatnonzero(met > 1)
+        stay = np.sort(again[np.argsort(-met[again], kind="stable")[: PIECES_KEPT // 2]])
+        ids, bounds = gathered(self.ids, self.bounds[: len(self.number) + 1], stay)
+        pieces = list(self.number)
+        self.number = {pieces[n]: at for at, n in enumerate(stay.tolist())}
+        self.ids[: len(ids)], self.bounds[: len(bounds)] = ids, bounds
+        self.met[:] = 0
+
+    def _encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces one after the other, and where each piece's end.
+
+        Pieces that begin with a space and are visible on both sides are encoded as one text, ``JOINED`` at a time: the
+        split pattern cuts them there, and where their bytes end tells which tokens are theirs.
+        """
+        whole = [len(p) > 1 and p[0] == " " and p.strip() == p[1:] for p in fresh]
+        joined = [p for p, one in zip(fresh, whole, strict=True) if one]
+        texts = ["".join(joined[at : at + JOINED]) for at in range(0, len(joined), JOINED)]
+        texts += [p for p, one in zip(fresh, whole, strict=True) if not one]
+        fresh[:] = joined + [p for p, one in zip(fresh, whole, strict=True) if not one]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.asarray(x.ids, np.int32) for x in found])
+        size = pc.binary_length(pa.array(fresh, pa.large_string())).to_numpy(zero_copy_only=False)
+        return ids, np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size)) + 1
+
+    def _add(self, fresh: list[str]) -> None:
+        at = len(self.number)
+        ids, ends = self._encoded(fresh)
+        ends += self.bounds[at]
+        while at + len(fresh) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.bounds[at] : ends[-1]] = ids
+        self.bounds[at + 1 : at + 1 + len(fresh)] = ends
+        self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin."""
         if len(self.number) > PIECES_KEPT:
-            self.clear()
-        cut = [_CUT.split(text) if text else [] for text in texts]
-        fresh = list(dict.fromkeys(piece for pieces in cut for piece in pieces if piece not in self.number))
-        if fresh:
-            at = len(self.number)
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            ends = self.bounds[at] + np.cumsum([len(x) for x in found])
-            while at + len(fresh) >= len(self.bounds):
-                self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            while ends[-1] > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.bounds[at] : ends[-1]] = np.concatenate([np.asarray(x, np.int32) for x in found])
-            self.bounds[at + 1 : at + 1 + len(fresh)] = ends
-            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-        number = self.number.__getitem__
-        wanted = np.fromiter((number(p) for pieces in cut for p in pieces), np.int64)
-        of_text = np.concatenate([[0], np.cumsum([len(pieces) for pieces in cut])])
+            self.thin()
+        cut = [_cut(text) for text in texts]
+        pieces = list(itertools.chain.from_iterable(cut))
+        wanted = np.fromiter(map(self.number.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(wanted < 0)
+        if len(missing):
+            unknown = [pieces[i] for i in missing.tolist()]
+            self._add(list(dict.fromkeys(unknown)))
+            wanted[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
+        self.met[: len(self.number)] += np.bincount(wanted, minlength=len(self.number))
+        of_text = np.concatenate([[0], np.cumsum([len(part) for part in cut])])
         ids, begins = gathered(self.ids, self.bounds[: len(self.number) + 1], wanted)
         return ids, begins[of_text]
 
@@ -136,7 +184,8 @@ def encode(
 
     def run(batches):
         tokenizer, table, token_bounds = vocabulary(path)
-        pieces, length = _Pieces(tokenizer), token_bounds[1:] - token_bounds[:-1]
+        length = token_bounds[1:] - token_bounds[:-1]
+        pieces = _Pieces(tokenizer, length)
         for batch in slices(batches, place):
             ids, begins = pieces.encode(batch.column(place).to_pylist())
             more = {"ids": _lists(ids, begins)}
