@@ -221,3 +221,15 @@ def test_stages_and_published_tables_are_packed(spark, tables, clean):
     held = [path for frame in versions.published(spark, folder).values() for path in frame.inputFiles()]
     held += stage(tables["orders"], "packed").inputFiles() + versions.published(spark, f"{folder}/grown")["order_items"].inputFiles()
     assert len(held) >= 6 and all(".zstd." in path for path in held)
+
+
+def test_lines_of_one_fingerprint(spark, monkeypatch):
+    """Of several lines the smallest stays, by broadcast or not; lines without repeats are not written again."""
+    rows = [(1, "b", b"x"), (1, "a", b"x"), (2, None, b"y"), (3, "c", b"z"), (0, "z", b"z")]
+    made = lambda held: spark.createDataFrame(held, "n int, name string, _fp binary")
+    alone = made(rows[1:4])
+    assert increments._one_of_each(alone) is alone
+    for most in (10, 0):
+        monkeypatch.setattr(increments, "REPEATED", most)
+        found = [(r.n, r.name, bytes(r._fp)) for r in increments._one_of_each(made(rows)).collect()]
+        assert sorted(found) == [(0, "z", b"z"), (1, "a", b"x"), (2, None, b"y")]

@@ -27,6 +27,9 @@ STATE = ("fingerprints", "headers", "descriptions", "last_key")
 #: Tables to which a load adds; of the others a publication names one load.
 GROWING = ("order_items", "fingerprints", "headers", "descriptions")
 
+#: A list of this many repeated fingerprints may be broadcast.
+REPEATED = 2_000_000
+
 
 def fingerprint(columns: list[str]) -> Column:
     """128 bits that tell rows with different values apart, missing ones from empty ones included."""
@@ -43,6 +46,24 @@ def _stored(spark: SparkSession, folder: str) -> tuple[int, str, dict[str, list[
     return seq, version, loads, versions.published(spark, folder) if loads else {}
 
 
+def _one_of_each(fresh: DataFrame) -> DataFrame:
+    """Of the written lines that share a fingerprint the smallest; fingerprints are counted first.
+
+    Lines whose fingerprint occurs once pass as they are, so they are neither shuffled nor sorted whole.
+    """
+    counted = fresh.groupBy("_fp").agg(F.count("*").alias("n"))
+    repeated = stage(counted.filter("n > 1").select("_fp"), "repeated")
+    n = repeated.count()
+    if not n:
+        return fresh
+    small = F.broadcast if n <= REPEATED else lambda df: df
+    alone = fresh.join(small(repeated), "_fp", "left_anti").select(*fresh.columns)
+    others = fresh.join(small(repeated), "_fp", "left_semi")
+    row = F.min(F.struct(*(name for name in fresh.columns if name != "_fp"))).alias("row")
+    smallest = others.groupBy("_fp").agg(row).select("row.*", "_fp")
+    return stage(alone.unionByName(smallest), "fresh")
+
+
 def append_lines(
     spark: SparkSession, folder: str, clean: DataFrame, *, ignore_source: bool = False, c: LineColumns = RETAIL
 ) -> str:
@@ -72,12 +93,11 @@ def append_lines(
     try:
         with owned_stages(spark):
             marked = clean.withColumn("_fp", fingerprint(seen))
-            if ignore_source:
-                keep = [F.min(F.struct(*clean.columns)).alias("row")]
-                marked = marked.groupBy("_fp").agg(*keep).select("row.*", "_fp")
             if "fingerprints" in old:
                 marked = marked.join(old["fingerprints"].withColumnRenamed("fp", "_fp"), "_fp", "left_anti")
             fresh = stage(marked, "fresh")
+            if ignore_source:
+                fresh = _one_of_each(fresh)
             lines = fresh.drop("_fp")
             add("fingerprints", fresh.select(F.col("_fp").alias("fp")))
             headers = merged("headers", add("headers", entities.header_counts(lines, c=c)))
