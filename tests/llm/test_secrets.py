@@ -219,3 +219,55 @@ def test_coded_windows_are_small():
     brief = secrets.coded([w for n in range(1, 80) for w in secrets.windows("ab" * (n % 3), "k" * n, "c" * (n % 2))])
     assert np.allclose(network.logits(brief), network.forward(brief)[4], atol=1e-4)
     assert len(network.logits(brief[:0])) == 0 and secrets.coded([]).shape == (0, secrets.WIDTH)
+
+
+def calibrated(network, shown):
+    return secrets._sigmoid(network.scale[0] * network.logits(secrets.coded(shown)) + network.scale[1])
+
+
+def plain_probabilities(texts, network):
+    """Of every candidate of the texts, read window by window where it stands."""
+    at, shown = [], []
+    for i, text in enumerate(t or "" for t in texts):
+        for m in re.finditer("[A-Za-z0-9+/_=-]{6,}", text):
+            for one in secrets.windows(text[: m.start()], m.group(), text[m.end() :]):
+                at.append((i, m.start(), m.end()))
+                shown.append(one)
+    found = {}
+    for where, p in zip(at, calibrated(network, shown).tolist(), strict=True):
+        found[where] = max(p, found.get(where, 0.0))
+    return found
+
+
+@pytest.mark.parametrize("places", [70, 4096])
+def test_shared_convolution_gives_what_windows_give(monkeypatch, places):
+    monkeypatch.setattr(secrets, "PLACES", places)
+    rng = np.random.default_rng(6)
+    network = secrets.Network.new(4)
+    network.out[:], network.shift[:] = rng.normal(0, 0.3, len(network.out)), rng.normal(0, 0.5, len(network.shift))
+    texts = [None, "", "abcdef", "é" + "y" * 35 + "é", "x" * 36, "x" * 37, "z" * 36 + "." + "q" * 41 + " " + "w" * 90, "\0" * 30 + "nothing\0\0\0x"]
+    texts += ["".join(rng.choice(list("abcXYZ019+/_=- .,é日🙂\0\n\x7f"), n)) for n in rng.integers(0, 900, 40)]
+    texts += ["".join(rng.choice(list("abcdef ="), 200)) for _ in range(20)]
+    column = pa.array(["cut away", *texts]).slice(1)
+    runs = secrets._Runs(column)
+    some = np.arange(len(runs.row))
+    found = secrets._Reader(network).probability(column, runs, some)
+    want = plain_probabilities(texts, network)
+    assert runs.characters(some) == list(want) and np.allclose(found, list(want.values()), atol=1e-5)
+    few = some[::7]
+    assert np.allclose(secrets._Reader(network).probability(column, runs, few), found[few], atol=1e-5)
+
+
+def test_every_candidate_is_read_where_it_stands(spark, learned):
+    """Values that look harmless by themselves too: their surroundings may make them spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    want = set()
+    for (i, start, end), p in plain_probabilities(texts, learned).items():
+        if p >= learned.threshold and not any(a < end and start < b for a, b, _ in secrets.rule_spans(texts[i] or "")):
+            want.add((i, f"model:{start}:{end}"))
+    rows = secrets.digest(docs, learned).orderBy("doc_id").collect()
+    found = {(i, s) for i, r in enumerate(rows) for s in r.spans.split(",") if s.startswith("model")}
+    alone = [texts[i][slice(*map(int, s.split(":")[1:]))] for i, s in want]
+    assert min(calibrated(learned, secrets.windows("", value, "")).max() for value in alone) < 0.5 * learned.threshold
+    assert found == want
