@@ -165,3 +165,43 @@ def test_recall_against_brute_force(spark):
         exact |= {(r.doc_id, r.item_id) for r in contamination._leaks(docs, part, latent).collect()}
     print("recall", len(found & exact), "of", len(exact), "found", len(found))
     assert len(exact) > 10 and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """The leading axes against those of the whole matrix, in memory; rows are of three kinds, some of them thousands."""
+    monkeypatch.setattr(contamination, "RANK", 2)
+    monkeypatch.setattr(contamination, "OVERSAMPLE", 200)
+    monkeypatch.setattr(contamination, "CAPTURED", -1)
+    rng = np.random.default_rng(9)
+    first = [(0, 0, 0, 33, 33, 66)[i % 6] for i in range(6000)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(at, at + 33, rng.integers(1, 90))) for at in first]
+    items = [(i, " ".join(f"w{x}" for x in range(i, 100, 7))) for i in range(7)]
+    pieces = contamination.Pieces.of(items)
+    docs = spark.createDataFrame([*enumerate(texts), (6001, None), (6002, "")], "doc_id long, text string")
+    frequency, n = contamination.document_frequency(docs, pieces)
+    idf = np.log((n + 1) / (frequency + 1)) + 0.1
+    rows, count = [], np.zeros(len(idf), int)
+    for text in texts:
+        ids = pieces.ids(contamination.hashed_words(pa.array([text]))[0])
+        for at in range(0, len(ids), contamination.HALF):
+            held = np.unique(ids[at : at + contamination.WINDOW])
+            rows.append(np.zeros(len(idf)))
+            rows[-1][held[held >= 0]] = idf[held[held >= 0]]
+            count[held[held >= 0]] += 1
+    assert n == len(rows) and (frequency == count).all()
+    for words in pieces.words:
+        rows.append(np.zeros(len(idf)))
+        rows[-1][words] = idf[words]
+    x = np.array(rows)
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+    x[-len(items) :] *= np.sqrt(n / len(items))
+    values, axes = np.linalg.eigh(x.T @ x)
+    assert (values[-2:] > 1.2 * values[-3:-1]).all()
+    for cells, sent, frequent in ((1 << 24, 1 << 18, 256), (2000, 300, 16), (500, 50, 3)):
+        monkeypatch.setattr(contamination, "CELLS", cells, raising=False)
+        monkeypatch.setattr(contamination, "CELLS_SENT", sent, raising=False)
+        monkeypatch.setattr(contamination, "FREQUENT", frequent, raising=False)
+        latent = contamination.fit(docs, pieces)
+        right = latent.space / latent.idf[:, None]
+        assert np.allclose(latent.idf, idf) and right.shape == (len(idf), 2)
+        assert np.linalg.svd(axes[:, -2:].T @ right)[1].min() > 1 - 1e-6, cells
