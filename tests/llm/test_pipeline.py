@@ -4,12 +4,14 @@ import base64
 import hashlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 import corpus_pipeline
 from tillroll.functions.staging import folder_names, shared_folder, stage
+from tillroll.llm import contamination
 
 
 @pytest.fixture(scope="module")
@@ -125,3 +127,27 @@ def test_odd_rows(spark, sf_dir, number):
         assert {i for i, _ in kept} >= {8} and 9 not in {i for i, _ in kept}
     else:
         assert sum(i in copies for i, _ in kept) == 3
+
+
+def test_benchmark_items_are_sought_in_axes_of_all_documents(spark, tmp_path, monkeypatch):
+    """Each document is one passage, so the matrix is easily made whole; its leading axis is that of the stage's space."""
+    monkeypatch.setattr(contamination, "RANK", 1)
+    monkeypatch.setattr(contamination, "OVERSAMPLE", 100)
+    monkeypatch.setattr(contamination, "CAPTURED", -1)
+    seen, fit = [], contamination.fit
+    monkeypatch.setattr(contamination, "fit", lambda docs, pieces: seen.append((pieces, fit(docs, pieces))) or seen[-1][1])
+    rng = np.random.default_rng(12)
+    rows = [rng.choice(40, rng.integers(1, 30), replace=False).tolist() for _ in range(6000)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(rows)], "doc_id long, text string")
+    item = list(range(40))
+    spark.createDataFrame([(0, " ".join(f"w{x}" for x in item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.benchmark_items(spark, docs, str(tmp_path)).count()
+    (pieces, latent), = seen
+    place = pieces.ids(contamination.hashed_words(contamination.pa.array([" ".join(f"w{x}" for x in item)]))[0])
+    x = np.zeros((len(rows) + 1, len(item)))
+    for at, row in zip(x, [*rows, item], strict=True):
+        at[place[row]] = latent.idf[place[row]]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[-1] *= np.sqrt(len(rows))
+    axis = np.linalg.eigh(x.T @ x)[1][:, -1]
+    assert abs(axis @ (latent.space[:, 0] / latent.idf)) > 1 - 1e-7
